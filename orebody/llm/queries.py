@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orebody.llm.leaks import find_leaks
+from orebody.llm.mixture import mixture, plan_mixture, shares
 from orebody.llm.ngrams import all_records, mark_frequency, ngram_counts
 from orebody.llm.setjoin import expand, similar_sets
 from orebody.llm.terms import distinctive_terms
@@ -88,7 +90,40 @@ def p7_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d, 3)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_log_likelihood, p4_found, p4_top_neighbours, p6_found, p6_links, p7_found, p7_terms, p7_ngrams)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_review"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: in how many documents, and the longest run of its words in one of them."""
+    return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_documents"), F.max("longest").alias("longest"))
+
+
+def _mixture(spark: SparkSession, d: str):
+    return plan_mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_target"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    plan = _mixture(spark, d)
+    return spark.createDataFrame([(r["source"],) for r in plan.report if r["short"]], "source string")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    plan = _mixture(spark, d)
+    return shares(plan, mixture(plan))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's records with their texts and how often each comes."""
+    chosen = mixture(_mixture(spark, d)).withColumnRenamed("id", "doc_id")
+    return chosen.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_log_likelihood, p4_found, p4_top_neighbours, p6_found, p6_links, p7_found, p7_terms, p7_ngrams, p8_found, p8_items, p9_found, p9_shares, p9_mixture)}
 
 _SETS_SQL = """
     m AS (SELECT DISTINCT business_id AS r, user_id AS t FROM train_review WHERE business_id IS NOT NULL AND user_id IS NOT NULL),
