@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orebody.llm.leaks import find_leaks
 from orebody.llm.mixture import mixture, plan_mixture, shares
 from orebody.llm.ngrams import all_records, mark_frequency, ngram_counts
+from orebody.llm.pii import find_pii, mask_pii
 from orebody.llm.setjoin import expand, similar_sets
 from orebody.llm.terms import distinctive_terms
 from orebody.llm.topn import top_n
@@ -123,7 +124,15 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return chosen.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_log_likelihood, p4_found, p4_top_neighbours, p6_found, p6_links, p7_found, p7_terms, p7_ngrams, p8_found, p8_items, p9_found, p9_shares, p9_mixture)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_pii(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "person_name")).select(F.col("doc").alias("doc_id"), "kind", "surface").distinct()
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return mask_pii(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "person_name")).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_log_likelihood, p4_found, p4_top_neighbours, p6_found, p6_links, p7_found, p7_terms, p7_ngrams, p8_found, p8_items, p9_found, p9_shares, p9_mixture, p10_found, p10_masked)}
 
 _SETS_SQL = """
     m AS (SELECT DISTINCT business_id AS r, user_id AS t FROM train_review WHERE business_id IS NOT NULL AND user_id IS NOT NULL),
