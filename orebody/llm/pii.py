@@ -101,6 +101,7 @@ class Texts:
         words, gaps, self.start, self.end, self.first = [""] * PAD, [3] * PAD, [0] * PAD, [0] * PAD, []
         self.extra: list[tuple[int, str]] = []
         self.inside: dict[str, list[int]] = {"E": [], "A": [], "N": []}
+        self.hull: dict[int, tuple[int, int]] = {}
         for text in texts:
             base = len(words)
             self.first.append(base)
@@ -128,6 +129,8 @@ class Texts:
                 line = _outline(text[a:b]) if kind == "N" else ""
                 left1, left2 = (left[-1] if left else ""), " ".join(left[-2:])
                 self.inside[kind] += range(t, j)
+                if kind == "E":
+                    self.hull.update(dict.fromkeys(range(t, j), (s, e)))
                 for i in range(t, j):
                     where = "P" if starts[i] < a else "T" if starts[i] >= b else "B" if starts[i] == a else "I"
                     tag = kind + where
@@ -427,7 +430,11 @@ def pieces(field: Field, names: dict[str, str], texts: list[str]) -> list[list[t
         for k in np.flatnonzero(labels).tolist():
             prefix, kind = LABELS[labels[k]].split("-", 1)
             t = batch.first[d] + k
-            if prefix == "B" or not found or found[-1][2] != kind:
+            if kind == "email":
+                # an e-mail address is the whole chunk, or none of it
+                if not found or found[-1][:2] != list(batch.hull[t]):
+                    found.append([*batch.hull[t], kind])
+            elif prefix == "B" or not found or found[-1][2] != kind:
                 found.append([batch.start[t], batch.end[t], kind])
             else:
                 found[-1][1] = batch.end[t]
