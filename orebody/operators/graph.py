@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orebody.operators.numbering import running_sum
 from orebody.operators.similar import shared_members
 from orebody.plans.session import materialise
 
-MOST_VERTICES = 20_000
+MOST_VERTICES = 5_000
 
 
 def both_directions(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -142,12 +143,13 @@ def _split(adjacent: dict) -> list[list]:
 
 
 def girvan_newman(edges: DataFrame) -> DataFrame:
-    """(id, community, modularity): the best partition when the edge of the highest betweenness (equal ones by edge) is cut
-    again and again; the first partition of the strictly highest modularity holds, and the uncut graph is not a candidate.
+    """(id, community, modularity): the best partition when the edge of the highest betweenness (equal ones by component
+    and edge) is cut again and again; the first partition of the highest modularity holds, the uncut graph is no candidate.
 
-    What a cut does stays inside its component, so every component is cut on its own, in parallel, and only the sequences
-    of (value, modularity) are merged in the order of the cuts. A component must have at most MOST_VERTICES vertices,
-    beyond which the cubic method is out of reach anyway."""
+    What a cut does stays inside its component, so every component is cut on its own, in parallel. The global order of the
+    cuts follows from a sort: a cut comes when the least value that its component has shown so far is the highest of all.
+    A running sum of the changes in modularity over that order finds the best moment. A component must have at most
+    MOST_VERTICES vertices, beyond which the cubic method is out of reach anyway."""
     edges = materialise(edges.select("src", "dst"), "edges")
     placed = materialise(edges.join(components(edges), edges.src == F.col("id")).select("component", "src", "dst"), "placed")
     most = placed.groupBy("component").agg(F.countDistinct("src").alias("n")).agg(F.max("n")).first()[0]
@@ -159,52 +161,41 @@ def girvan_newman(edges: DataFrame) -> DataFrame:
     m2 = float(edges.count())
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows of steps (id null: what the cut cost, and the value of the edge) and of vertices whose community changed."""
         adjacent: dict = {}
         for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
             adjacent.setdefault(a, set()).add(b)
-        k = {v: len(x) for v, x in adjacent.items()}
-        own = {(a, b) for a in adjacent for b in adjacent[a]}
-        rows, step = [], 0
-        component = pdf["component"].iloc[0]
+        degree = {v: len(x) for v, x in adjacent.items()}
+        first = {v: frozenset(x) for v, x in adjacent.items()}
+        component, rows, at, step, before, lowest = pdf["component"].iloc[0], [], {}, 0, 0.0, float("inf")
         while True:
-            groups = _split(adjacent)
-            q = 0.0
+            groups, q = _split(adjacent), 0.0
             for g in groups:
-                inside, members = 0, set(g)
-                for v in g:
-                    inside += sum((v, w) in own for w in members)
-                q += inside / m2 - (sum(k[v] for v in g) / m2) ** 2
-            score = _edge_credit(adjacent)
-            top = min(score, key=lambda e: (-round(score[e], 9), e)) if score else None
-            for g in groups:
-                rows += [(component, step, q, round(score[top], 9) if top else None, v, g[0]) for v in g]
-            if top is None:
-                return pd.DataFrame(rows, columns=["component", "step", "q", "top", "id", "community"])
+                members = set(g)
+                q += sum(len(first[v] & members) for v in g) / m2 - (sum(degree[v] for v in g) / m2) ** 2
+                rows += [(component, step, None, None, v, g[0]) for v in g if at.get(v) != g[0]]
+                at.update(dict.fromkeys(g, g[0]))
+            rows.append((component, step, q - before, None if step == 0 else lowest, None, None))
+            before, score = q, _edge_credit(adjacent)
+            if not score:
+                return pd.DataFrame(rows, columns=["component", "step", "gain", "level", "id", "community"], dtype=object)
+            top = min(score, key=lambda e: (-round(score[e], 9), e))
+            lowest = min(lowest, round(score[top], 9))
             adjacent[top[0]].discard(top[1])
             adjacent[top[1]].discard(top[0])
             step += 1
 
-    schema = T.StructType([T.StructField("component", kind), T.StructField("step", T.IntegerType()), T.StructField("q", T.DoubleType()), T.StructField("top", T.DoubleType()), T.StructField("id", kind), T.StructField("community", kind)])
+    schema = T.StructType([T.StructField("component", kind), T.StructField("step", T.IntegerType()), T.StructField("gain", T.DoubleType()), T.StructField("level", T.DoubleType()), T.StructField("id", kind), T.StructField("community", kind)])
     states = materialise(placed.groupBy("component").applyInPandas(cut, schema), "cuts")
-    line = states.select("component", "step", "q", "top").distinct()
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps = {c: g.sort_values("step")[["q", "top"]].to_numpy() for c, g in pdf.groupby("component")}
-        at = dict.fromkeys(steps, 0)
-        q = sum(x[0][0] for x in steps.values())
-        best, chosen = None, dict(at)
-        while True:
-            c = min((c for c in at if steps[c][at[c]][1] == steps[c][at[c]][1]), key=lambda c: (-steps[c][at[c]][1], c), default=None)
-            if c is None:
-                break
-            q += steps[c][at[c] + 1][0] - steps[c][at[c]][0]
-            at[c] += 1
-            if best is None or q > best + 1e-12:
-                best, chosen = q, dict(at)
-        return pd.DataFrame({"component": list(chosen), "step": list(chosen.values()), "modularity": round(best if best is not None else q, 6)})
-
-    picked = line.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(merge, T.StructType([schema["component"], schema["step"], T.StructField("modularity", T.DoubleType())]))
-    return states.join(F.broadcast(picked), ["component", "step"]).select("id", "community", "modularity")
+    lines = states.where("id is null")
+    base = lines.where("step = 0").agg(F.sum("gain")).first()[0]
+    order = ["down", "component", "step"]
+    timed = running_sum(lines.where("step > 0").select((-F.col("level")).alias("down"), "component", "step", "gain"), order, "gain", "q")
+    best = timed.agg(F.min_by(F.struct(*order, "q"), F.struct(-F.round("q", 9), *order)).alias("b")).first().b
+    taken = timed.where(F.struct(*order) <= F.struct(F.lit(best.down), F.lit(best.component).cast(kind), F.lit(best.step))).groupBy("component").agg(F.max("step").alias("last"))
+    known = states.where("id is not null").join(taken, "component", "left").where(F.col("step") <= F.coalesce("last", F.lit(0)))
+    final = known.groupBy("id").agg(F.max_by("community", "step").alias("community"))
+    return final.withColumn("modularity", F.lit(round(base + best.q, 6)))
 
 
 def vertices(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Dense numbers for keys in sorted order, without bringing all keys into one task."""
+"""Dense numbers and running sums in a global order, without bringing all rows into one task."""
 
 from __future__ import annotations
 
@@ -21,3 +21,17 @@ def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     offsets = spark.createDataFrame(moves, "__p int, __before bigint")
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
     return placed.withColumn("__r", rank).join(F.broadcast(offsets), "__p").select(key, (F.col("__r") + F.col("__before")).alias(name))
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to this one in the given order, which must be a unique key. Rows are
+    range-partitioned; sums inside a partition are moved by the total of the partitions before it."""
+    spark = df.sparkSession
+    placed = materialise(df.repartitionByRange(shuffle_partitions(spark), *order).withColumn("__p", F.spark_partition_id()), "ordered")
+    before, moves = 0.0, []
+    for r in placed.groupBy("__p").agg(F.sum(value).alias("v")).orderBy("__p").collect():
+        moves.append((r["__p"], before))
+        before += r.v or 0.0
+    offsets = spark.createDataFrame(moves, "__p int, __before double")
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order))
+    return placed.withColumn("__s", inside).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__s") + F.col("__before")).drop("__p", "__s", "__before")

@@ -1,6 +1,6 @@
 """Sinks: JSON reports, models and rows, CSV, and the text layouts of itemsets, communities and edges.
 
-Each writes a folder of part files. Layouts with an order are written in it by one final task over the formatted lines."""
+Each writes a folder of part files. Layouts with an order are written as part files in that order."""
 
 from __future__ import annotations
 
@@ -54,7 +54,8 @@ def edge_lines(df: DataFrame, value: str = "betweenness") -> DataFrame:
 
 
 def text_lines(df: DataFrame, path: str) -> None:
-    df.select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Lines in the order of df: part files are numbered in that order."""
+    df.select("value").write.mode("overwrite").text(path)
 
 
 def prediction_line(df: DataFrame, row: str = "row", pred: str = "pred") -> DataFrame:

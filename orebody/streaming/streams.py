@@ -15,8 +15,11 @@ from orebody.plans.session import shared_path
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, ts: str | None = None, files: int = 1) -> DataFrame:
-    """A stream over Parquet files with the schema of `like`; the time column becomes a timestamp with zone."""
-    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A stream over Parquet files (a folder or one file) with the schema of `like`; the time column becomes a timestamp
+    with zone."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    pattern = f"{folder}/[{name[0]}]{name[1:]}"  # as a pattern, the path may also be that of a single file
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(pattern)
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 
