@@ -79,7 +79,11 @@ def summaries(assigned: DataFrame) -> dict[int, Summary]:
                     own = vecs[c == k]
                     yield pd.DataFrame({"c": [k], "n": [len(own)], "s": [own.sum(0)], "q": [(own * own).sum(0)]})
 
-    parts = assigned.where("c >= 0").select("vec", "c").mapInPandas(run, "c int, n bigint, s array<double>, q array<double>")
+    return _collected(assigned.where("c >= 0").select("vec", "c").mapInPandas(run, "c int, n bigint, s array<double>, q array<double>"))
+
+
+def _collected(parts: DataFrame) -> dict[int, Summary]:
+    """Partial sums added up per cluster and dimension: as many rows reach the driver."""
     flat = parts.select("c", "n", F.posexplode(F.arrays_zip("s", "q")).alias("i", "z")).groupBy("c", "i").agg(F.sum("n").alias("n"), F.sum("z.s").alias("s"), F.sum("z.q").alias("q"))
     out: dict[int, list] = {}
     for r in flat.collect():
@@ -87,32 +91,54 @@ def summaries(assigned: DataFrame) -> dict[int, Summary]:
     return {c: Summary(rows[0][1], np.array([s / n for _, n, s, _ in rows]), np.array([q / n for _, n, _, q in rows])) for c, rows in ((c, sorted(x)) for c, x in sorted(out.items()))}
 
 
+def _partial_sums(points: DataFrame, means: np.ndarray, far: float) -> tuple[dict[int, Summary], int]:
+    """(summaries by nearest mean, points farther than `far` from all) in one pass over the points."""
+    sent = points.sparkSession.sparkContext.broadcast(means)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            if len(batch):
+                vecs = np.stack(batch["vec"].to_numpy()).astype(float)
+                c, dist = _nearest(vecs, sent.value, None)
+                c = np.where(dist < far, c, -1)
+                for k in np.unique(c).tolist():
+                    own = vecs[c == k]
+                    n, s, q = total.get(k, (0, 0.0, 0.0))
+                    total[k] = (n + len(own), s + own.sum(0), q + (own * own).sum(0))
+        yield pd.DataFrame({"c": list(total), "n": [x[0] for x in total.values()], "s": [x[1] for x in total.values()], "q": [x[2] for x in total.values()]})
+
+    out = _collected(points.select("vec").mapInPandas(run, "c int, n bigint, s array<double>, q array<double>"))
+    gone = out.pop(-1, None)
+    return out, gone.n if gone else 0
+
+
 def kmeans(points: DataFrame, k: int, rounds: int, far: float = 3000.0, seed: int = 666) -> tuple[DataFrame, dict[int, Summary]]:
     """(assigned, summaries): Euclidean k-means from k points of the least hash. A point farther than `far` from its nearest
-    mean is out for good (c = -1); clusters without points vanish; it ends when no mean moves, or after so many rounds."""
+    mean is out for good (c = -1); clusters without points vanish; it ends when no mean moves, or after so many rounds.
+    Clusters are numbered from 0 in both results."""
     points = materialise(points.select("id", F.col("vec").cast("array<double>").alias("vec")), "points")
     first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()
     means, live, out = np.array([r.vec for r in first]), points, None
     for _ in range(rounds):
         if not len(means):
             break
-        assigned = assign(live, means, None, far)
-        gone = assigned.where("c < 0").select("id", "vec")
-        stats = summaries(assigned)
-        if sum(s.n for s in stats.values()) < live.count():
-            gone = materialise(gone, "gone")
+        stats, n_gone = _partial_sums(live, means, far)
+        if n_gone:
+            assigned = assign(live, means, None, far)
+            gone = materialise(assigned.where("c < 0").select("id", "vec"), "gone")
             out = gone if out is None else out.unionByName(gone)
             live = materialise(assigned.where("c >= 0").select("id", "vec"), "live")
-        new = np.array([s.mean for s in stats.values()])
+        new = np.array([stats[c].mean for c in sorted(stats)])
         if new.shape == means.shape and np.allclose(new, means, rtol=0, atol=1e-12):
             break
         means = new
+    stats = _partial_sums(live, means, math.inf)[0] if len(means) else {}
+    means = np.array([means[c] for c in sorted(stats)])  # those that have points
     final = materialise(assign(live, means), "assigned")
-    stats = summaries(final)
-    number = {c: i for i, c in enumerate(stats)}
     if out is not None:
         final = final.unionByName(out.withColumn("c", F.lit(-1)))
-    return final, {number[c]: s for c, s in stats.items()}
+    return final, {i: stats[c] for i, c in enumerate(sorted(stats))}
 
 
 def _matrix(of: dict[int, Summary]) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -153,8 +179,7 @@ class State:
 def _compress(retained: DataFrame, k: int, start: int, far: float) -> tuple[dict[int, Summary], DataFrame, DataFrame]:
     """Clusters of more than one point among the retained points: (new clusters by number, members, the rest)."""
     assigned, stats = kmeans(retained, 3 * k, 10, far)
-    order = {c: i for i, c in enumerate(sorted({r.c for r in assigned.where("c >= 0").select("c").distinct().collect()}))}
-    keep = {c: stats[i] for c, i in order.items() if stats[i].n > 1}
+    keep = {c: s for c, s in stats.items() if s.n > 1}
     chosen = assigned.where(F.col("c").isin([int(c) for c in keep])) if keep else assigned.where("false")
     rest = assigned.where(~F.col("c").isin([int(c) for c in keep])) if keep else assigned
     members = chosen.select("id", F.lit("cs").alias("set"), (F.col("c") + start).alias("cid"))
@@ -165,19 +190,18 @@ def bfr(rounds: list[DataFrame], k: int, far: float = 3000.0, fix_n: bool = Fals
     """(report, assignment) over batches of points (id, vec), each id once: per round (round_id, nof_cluster_discard,
     nof_point_discard, nof_cluster_compression, nof_point_compression, nof_point_retained); (point_id, cluster), -1 for
     points that end up in no discard cluster. Clusters are numbered 0..k-1. With one batch there is no final merge. Counts
-    of a discard cluster are not raised by the final merge unless fix_n, which changes the distances of later merges."""
+    of a discard cluster are not raised by the final merge unless fix_n, which changes the distances of later merges. Empty
+    batches change nothing; without any point the counts are 0."""
     report, state, next_cs = [], None, 1_000_000
+    d = next((len(x.vec) for x in (r.select("vec").first() for r in rounds) if x), 0)
     for i, batch in enumerate(rounds):
         batch = materialise(batch.select("id", F.col("vec").cast("array<double>").alias("vec")), "batch")
-        d = len(batch.first().vec)
         near = 3 * math.sqrt(d)
         if state is None:
             n = batch.count()
             head = batch.orderBy("id").limit(math.ceil(0.75 * n))
             assigned, ds = kmeans(head, k, 30, far)
-            order = {c: j for j, c in enumerate(sorted({r.c for r in assigned.where("c >= 0").select("c").distinct().collect()}))}
-            number = F.create_map(*(F.lit(x) for p in order.items() for x in p))
-            members = assigned.where("c >= 0").select("id", F.lit("ds").alias("set"), number[F.col("c")].alias("cid"))
+            members = assigned.where("c >= 0").select("id", F.lit("ds").alias("set"), F.col("c").alias("cid"))
             rest = batch.join(members.select("id"), "id", "left_anti")
             keys, means, stds = _matrix(ds)
             close = materialise(assign(rest, means, stds, math.sqrt(d) / 2), "close")
@@ -207,7 +231,7 @@ def bfr(rounds: list[DataFrame], k: int, far: float = 3000.0, fix_n: bool = Fals
             moved = F.when(F.col("set") == "cs", F.coalesce(*(F.when(F.col("cid") == b, F.lit(a)) for b, a in went.items()), F.col("cid"))).otherwise(F.col("cid")) if went else F.col("cid")
             state = replace(state, members=materialise(members.unionByName(new).withColumn("cid", moved), "members"), retained=retained)
             if i == len(rounds) - 1:
-                for c in sorted(state.cs):
+                for c in sorted(state.cs) if state.ds else []:
                     s = state.cs[c]
                     dist, best = min((mahalanobis(x.mean, s.mean, x.std), b) for b, x in state.ds.items())
                     if dist < near:

@@ -30,8 +30,9 @@ def apriori(pairs: DataFrame, support: int, max_size: int | None = None) -> Data
 
     Level k joins frequent sets of k items that share their first k - 1, keeps candidates all of whose subsets are
     frequent, and counts them in long form: an occurrence (basket, set) is extended by the basket's later live items, so
-    baskets are never arrays and no candidate is tested against a basket that lacks its prefix. Baskets with fewer live
-    items than the next level needs are dropped on the way."""
+    baskets are never arrays and no candidate is tested against a basket that lacks its prefix. A basket without an
+    occurrence of a frequent set takes no part in later levels."""
+    pairs = materialise(pairs.select("basket", "item"), "pairs")
     frequent = pairs.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support)
     frequent = materialise(frequent, "items")
     out = frequent.select(F.lit(1).alias("size"), F.array("item").alias("items"), "support")
@@ -50,6 +51,7 @@ def apriori(pairs: DataFrame, support: int, max_size: int | None = None) -> Data
                 made = made.withColumn("sub", sub).join(sets.select(F.col("items").alias("sub")), "sub", "left_semi").drop("sub")
         candidates = made.select(F.slice("items", 1, size).alias("head"), F.col("items")[size].alias("tail"), "items")
         grown = held.select("basket", F.col("items").alias("head")).join(candidates, "head").join(live.select("basket", F.col("item").alias("tail")), ["basket", "tail"])
+        grown = materialise(grown.select("basket", "items"), "grown")
         counted = grown.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support)
         found = materialise(counted.select(F.lit(size + 1).alias("size"), "items", "support"), "level")
         if found.isEmpty():
@@ -57,7 +59,7 @@ def apriori(pairs: DataFrame, support: int, max_size: int | None = None) -> Data
         out = out.unionByName(found)
         size += 1
         sets = found.select("items", F.col("items")[size - 1].alias("last"))
-        held = materialise(grown.join(found.select("items"), "items", "left_semi").select("basket", "items", F.element_at("items", -1).alias("last")), "held")
+        held = grown.join(found.select("items"), "items", "left_semi").select("basket", "items", F.element_at("items", -1).alias("last"))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orebody.operators.similar import candidates, hash_family, jaccard_of, signatures
 from orebody.operators.skew import TASK, plan_load, skew_join
+from orebody.plans.session import materialise
 
 
 def at_least(ratings: DataFrame, key: str, n: int) -> DataFrame:
@@ -35,7 +36,7 @@ def _sums(joined: DataFrame, keys: list[str]) -> DataFrame:
 def pearson_all(ratings: DataFrame, item: str, by: str, least: int = 3) -> DataFrame:
     """(i1, i2, sim, n), i1 < i2: Pearson over the raters both items have, for all pairs with `least` or more of them; -1
     where the numerator or a variance is 0. Raters of many items are cut into shards, with sums added up inside a task."""
-    r = ratings.select(F.col(item).alias("i"), F.col(by).alias("k"), "stars").dropna()
+    r = materialise(ratings.select(F.col(item).alias("i"), F.col(by).alias("k"), "stars").dropna(), "ratings")
     plan = plan_load(r, ["k"])
     left, right = r.select(F.col("i").alias("i1"), "k", F.col("stars").alias("x")), r.select(F.col("i").alias("i2"), "k", F.col("stars").alias("y"))
     sums = _sums(skew_join(left, right, plan, ["i1"]).where("i1 < i2"), ["i1", "i2"]).where(F.col("n") >= least)
@@ -57,7 +58,7 @@ def item_model(ratings: DataFrame, least: int = 3) -> DataFrame:
 
 def lsh_model(ratings: DataFrame, item: str, by: str, least: int, functions: int, p: int, m: int, high: int, jaccard: float = 0.01, seed: int = 42) -> DataFrame:
     """(i1, i2, sim) with sim > 0 among candidates of MinHash banding (one row a band) of enough Jaccard similarity."""
-    kept = at_least(ratings, item, least)
+    kept = materialise(at_least(ratings, item, least), "kept")
     sig = signatures(kept, item, by, hash_family(functions, high, seed), p, m)
     near = jaccard_of(candidates(sig, item), kept, item, by, jaccard)
     return pearson_of(near, kept, item, by).where("sim > 0").select("i1", "i2", "sim")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orebody.operators.numbering import dense_index
 from orebody.operators.skew import TASK, plan_load, skew_join
+from orebody.plans.session import materialise
 
 
 def hash_family(n: int, high: int, seed: int) -> list[tuple[int, int]]:
@@ -22,7 +23,7 @@ def signatures(df: DataFrame, record: str, member: str, family: Sequence[tuple[i
     """(record, i, h): the least value of each function ((a * x + b) mod p) mod m over the numbers x of a record's members.
 
     All functions are computed in one pass and minimised before the exchange; nulls are no members and no records."""
-    pairs = df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna()
+    pairs = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna(), "pairs")
     numbered = pairs.join(dense_index(pairs, "t"), "t")
     least = numbered.groupBy("r").agg(*(F.min(((F.lit(a) * F.col("idx") + F.lit(b)) % p) % m).alias(f"h{i}") for i, (a, b) in enumerate(family)))
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("h")) for i in range(len(family)))))
@@ -37,6 +38,7 @@ def candidates(sig: DataFrame, record: str, rows_per_band: int = 1, members: int
         keyed = banded.select("band", F.col("h").cast("string").alias("bucket"), "r")
     else:
         keyed = banded.groupBy("r", "band").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"].cast("string")), " ").alias("bucket")).select("band", "bucket", "r")
+    keyed = materialise(keyed, "buckets")
     plan = plan_load(keyed, ["band", "bucket"])
     left, right = keyed.withColumnRenamed("r", "r1"), keyed.withColumnRenamed("r", "r2")
     return skew_join(left, right, plan, ["r1"]).where("r1 < r2").select("r1", "r2").distinct()
@@ -44,7 +46,7 @@ def candidates(sig: DataFrame, record: str, rows_per_band: int = 1, members: int
 
 def jaccard_of(pairs: DataFrame, df: DataFrame, record: str, member: str, threshold: float) -> DataFrame:
     """(r1, r2, sim) of the given pairs whose exact Jaccard similarity reaches the threshold, counted by joins."""
-    sets = df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct()
+    sets = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct(), "sets")
     size = sets.groupBy("r").agg(F.count("*").alias("n"))
     one = pairs.join(sets.select(F.col("r").alias("r1"), "t"), "r1")
     shared = one.join(sets.select(F.col("r").alias("r2"), "t"), ["r2", "t"]).groupBy("r1", "r2").agg(F.count("*").alias("common"))
@@ -60,7 +62,7 @@ def _similarity(shared: DataFrame, size: DataFrame, threshold: float) -> DataFra
 def shared_members(df: DataFrame, record: str, member: str, least: int = 1) -> DataFrame:
     """(r1, r2, common), r1 < r2: pairs with at least `least` members in common, by an inverted self-join in which members
     with many records are cut into shards."""
-    sets = df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct()
+    sets = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct(), "sets")
     plan = plan_load(sets, ["t"])
     joined = skew_join(sets.withColumnRenamed("r", "r1"), sets.withColumnRenamed("r", "r2"), plan, ["r1"]).where("r1 < r2")
     # added up inside each task first: a pair meets in as many tasks as have members in common
@@ -69,8 +71,8 @@ def shared_members(df: DataFrame, record: str, member: str, least: int = 1) -> D
 
 def exact_pairs(df: DataFrame, record: str, member: str, threshold: float) -> DataFrame:
     """(r1, r2, sim) of all pairs of records whose sets reach the threshold (above 0)."""
-    sets = df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct()
-    return _similarity(shared_members(df, record, member), sets.groupBy("r").agg(F.count("*").alias("n")), threshold)
+    sets = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct(), "sets")
+    return _similarity(shared_members(sets, "r", "t"), sets.groupBy("r").agg(F.count("*").alias("n")), threshold)
 
 
 def quality(found: DataFrame, truth: DataFrame) -> DataFrame:

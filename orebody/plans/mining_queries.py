@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orebody.operators import clustering, content, explore, graph, itemsets, ratings, similar, sketches
 from orebody.operators.numbering import dense_index
 from orebody.sources import readers, sinks
-from orebody.plans.session import shared_path
+from orebody.plans.session import materialise, shared_path
 from orebody.sources.tables import BUSINESSES_SQL, REVIEWS_SQL, USERS_SQL, businesses, order_ratings, order_ratings_sql, reviews, table, users
 from orebody.streaming import streams
 
@@ -97,7 +97,7 @@ BRAND_SHARE, TYPE_SHARE, PLACE_SHARE = 0.0233, 0.085, 0.01
 
 def _order_items(spark: SparkSession, d: str, item: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
-    return itemsets.pairs_of(lines.join(table(spark, d, "part").select("p_partkey", item), "p_partkey"), "l_orderkey", item)
+    return materialise(itemsets.pairs_of(lines.join(table(spark, d, "part").select("p_partkey", item), "p_partkey"), "l_orderkey", item), "pairs")
 
 
 def _support(pairs: DataFrame, share: float) -> int:
@@ -199,8 +199,9 @@ def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_signature_sql(_PARTS, PRIME, PRIME)}, {_JACCARD_SQL} SELECT r1, r2, round(sim, 6) AS sim FROM jac JOIN cand USING (r1, r2)")
 def lsh_similar(spark: SparkSession, d: str) -> DataFrame:
-    r = order_ratings(spark, d)
-    return similar.jaccard_of(lsh_candidates(spark, d), r, "b", "u", 0.05).withColumn("sim", F.round("sim", 6))
+    r = materialise(order_ratings(spark, d), "ratings")
+    near = similar.candidates(similar.signatures(r, "b", "u", MINHASH, PRIME, PRIME), "b")
+    return similar.jaccard_of(near, r, "b", "u", 0.05).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""WITH {_signature_sql(_PARTS, PRIME, PRIME)}, {_JACCARD_SQL}, hit AS (SELECT count(*) AS n FROM jac JOIN cand USING (r1, r2)), truth AS (SELECT count(*) AS n FROM jac)
@@ -243,8 +244,9 @@ def user_profiles(spark: SparkSession, d: str) -> DataFrame:
           FROM p LEFT JOIN nu ON p.user_id = nu.user_id LEFT JOIN nb ON p.business_id = nb.business_id LEFT JOIN c ON p.user_id = c.user_id AND p.business_id = c.business_id)
     SELECT user_id, business_id, sim FROM x WHERE sim >= 0.01""")
 def content_similarity(spark: SparkSession, d: str) -> DataFrame:
-    profiles = _profiles(spark, d)
-    return content.content_similarity(table(spark, d, "test_review"), content.user_profiles(reviews(spark, d, "user_id", "business_id"), profiles), profiles)
+    profiles = materialise(_profiles(spark, d), "profiles")
+    people = materialise(content.user_profiles(reviews(spark, d, "user_id", "business_id"), profiles), "profiles")
+    return content.content_similarity(table(spark, d, "test_review"), people, profiles)
 
 
 # ratings
@@ -298,13 +300,13 @@ _USER_SQL = f"""{_TRAIN_SQL}, {_signature_sql("SELECT u AS r, b AS t FROM train
     {_pearson_sql("train", "u", "b", 3, "upear", "JOIN near_pairs np ON np.r1 = a.i AND np.r2 = b.i")}, umodel AS (SELECT i1, i2, sim FROM upear WHERE sim > 0)"""
 
 
-def _user_model(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.lsh_model(order_ratings(spark, d, False), "u", "b", 3, USER_HASHES, PRIME, PRIME, 50_000, seed=USER_SEED)
+def _user_model(train: DataFrame) -> DataFrame:
+    return ratings.lsh_model(train, "u", "b", 3, USER_HASHES, PRIME, PRIME, 50_000, seed=USER_SEED)
 
 
 @query(f"WITH {_USER_SQL} SELECT i1, i2, sim FROM umodel")
 def user_model(spark: SparkSession, d: str) -> DataFrame:
-    return _user_model(spark, d)
+    return _user_model(order_ratings(spark, d, False))
 
 
 @query()
@@ -315,7 +317,8 @@ def project_item_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ITEM_CF_SQL} SELECT u, b, round(stars + 1e-9, 5) AS stars FROM pred")
 def item_cf_predict(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ratings.predict_by_items(order_ratings(spark, d, True), order_ratings(spark, d, False), item_model(spark, d)))
+    train = materialise(order_ratings(spark, d, False), "train")
+    return _rounded(ratings.predict_by_items(order_ratings(spark, d, True), train, ratings.item_model(train)))
 
 
 @query(f"""WITH {_USER_SQL}, {_TEST_SQL}, both_ways AS (SELECT i1 AS u, i2 AS far, sim FROM umodel UNION ALL SELECT i2, i1, sim FROM umodel),
@@ -326,14 +329,15 @@ def item_cf_predict(spark: SparkSession, d: str) -> DataFrame:
     SELECT t.u, t.b, round(coalesce(ua.avg, 3.5) + CASE WHEN coalesce(num, 0) <> 0 THEN num / den ELSE 0 END + 1e-9, 5) AS stars
     FROM test t LEFT JOIN g ON t.u = g.u AND t.b = g.b LEFT JOIN ua ON t.u = ua.u WHERE t.b IN (SELECT b FROM train)""")
 def user_cf_predict(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ratings.predict_by_users(order_ratings(spark, d, True), order_ratings(spark, d, False), _user_model(spark, d)))
+    train = materialise(order_ratings(spark, d, False), "train")
+    return _rounded(ratings.predict_by_users(order_ratings(spark, d, True), train, _user_model(train)))
 
 
 @query(f"WITH {_ITEM_CF_SQL}, {_BLEND_SQL} SELECT DISTINCT u, b, round(stars + 1e-9, 5) AS stars FROM (SELECT * FROM blended UNION SELECT * FROM cold)")
 def hybrid_predict(spark: SparkSession, d: str) -> DataFrame:
     """Blended predictions for known users, cold starts for the others, as one result."""
-    train, test = order_ratings(spark, d, False), order_ratings(spark, d, True)
-    known = ratings.blend(ratings.predict_by_items(test, train, item_model(spark, d), default=3.5), train)
+    train, test = materialise(order_ratings(spark, d, False), "train"), materialise(order_ratings(spark, d, True), "test")
+    known = ratings.blend(ratings.predict_by_items(test, train, ratings.item_model(train), default=3.5), train)
     return _rounded(known.unionByName(ratings.cold_start(test, train))).distinct()
 
 

@@ -291,6 +291,12 @@ def test_bfr_conserves_points(spark):
     assert len(got) == 150 and set(got.values()) <= {-1, 0, 1, 2}
 
 
+def test_bfr_without_points(spark):
+    none = blobs(spark).limit(0)
+    report, assignment = clustering.bfr([none, none], 3)
+    assert [r[1:] for r in report] == [(0, 0, 0, 0, 0)] * 2 and assignment.count() == 0
+
+
 def test_merge_of_compressed():
     s = lambda m: clustering.Summary(2, np.array([m]), np.array([m * m + 1.0]))
     out, went = clustering.merge_compressed({1: s(0.0), 2: s(1.0), 3: s(1.5), 4: s(99.0)}, 3.0)
