@@ -167,6 +167,7 @@ def itemset_report(spark: SparkSession, d: str) -> DataFrame:
 
 MINHASH = similar.hash_family(50, 50_000, 42)
 PRIME = 2_147_483_647
+WIDE = similar.hash_family(50, PRIME - 1, 42)
 
 
 def _signature_sql(source: str, p: int, m: int, family=None) -> str:
@@ -192,19 +193,19 @@ def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
     return similar.signatures(order_ratings(spark, d), "b", "u", MINHASH, 22777, 20000)
 
 
-@query(f"WITH {_signature_sql(_PARTS, PRIME, PRIME)} SELECT r1, r2 FROM cand")
+@query(f"WITH {_signature_sql(_PARTS, PRIME, PRIME, WIDE)} SELECT r1, r2 FROM cand")
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return similar.candidates(similar.signatures(order_ratings(spark, d), "b", "u", MINHASH, PRIME, PRIME), "b")
+    return similar.candidates(similar.signatures(order_ratings(spark, d), "b", "u", WIDE, PRIME, PRIME), "b")
 
 
-@query(f"WITH {_signature_sql(_PARTS, PRIME, PRIME)}, {_JACCARD_SQL} SELECT r1, r2, round(sim, 6) AS sim FROM jac JOIN cand USING (r1, r2)")
+@query(f"WITH {_signature_sql(_PARTS, PRIME, PRIME, WIDE)}, {_JACCARD_SQL} SELECT r1, r2, round(sim, 6) AS sim FROM jac JOIN cand USING (r1, r2)")
 def lsh_similar(spark: SparkSession, d: str) -> DataFrame:
     r = materialise(order_ratings(spark, d), "ratings")
-    near = similar.candidates(similar.signatures(r, "b", "u", MINHASH, PRIME, PRIME), "b")
+    near = similar.candidates(similar.signatures(r, "b", "u", WIDE, PRIME, PRIME), "b")
     return similar.jaccard_of(near, r, "b", "u", 0.05).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"""WITH {_signature_sql(_PARTS, PRIME, PRIME)}, {_JACCARD_SQL}, hit AS (SELECT count(*) AS n FROM jac JOIN cand USING (r1, r2)), truth AS (SELECT count(*) AS n FROM jac)
+@query(f"""WITH {_signature_sql(_PARTS, PRIME, PRIME, WIDE)}, {_JACCARD_SQL}, hit AS (SELECT count(*) AS n FROM jac JOIN cand USING (r1, r2)), truth AS (SELECT count(*) AS n FROM jac)
     SELECT hit.n AS found, truth.n AS truth, 1.0::DOUBLE AS precision, round(hit.n / truth.n, 6) AS recall FROM hit, truth""")
 def lsh_quality(spark: SparkSession, d: str) -> DataFrame:
     return similar.quality(lsh_similar(spark, d), jaccard_pairs(spark, d)).withColumn("recall", F.round("recall", 6))
@@ -293,7 +294,7 @@ def item_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 USER_HASHES, USER_SEED = 25, 42
-_USER_SQL = f"""{_TRAIN_SQL}, {_signature_sql("SELECT u AS r, b AS t FROM train WHERE u IN (SELECT u FROM train GROUP BY u HAVING count(*) >= 3)", PRIME, PRIME, similar.hash_family(USER_HASHES, 50_000, USER_SEED))},
+_USER_SQL = f"""{_TRAIN_SQL}, {_signature_sql("SELECT u AS r, b AS t FROM train WHERE u IN (SELECT u FROM train GROUP BY u HAVING count(*) >= 3)", PRIME, PRIME, similar.hash_family(USER_HASHES, PRIME - 1, USER_SEED))},
     n AS (SELECT r, count(*) AS n FROM pairs GROUP BY r),
     common AS (SELECT a.r AS r1, b.r AS r2, count(*) AS c FROM pairs a JOIN pairs b ON a.t = b.t AND a.r < b.r GROUP BY ALL),
     near_pairs AS (SELECT r1, r2 FROM common JOIN cand USING (r1, r2) JOIN n p ON r1 = p.r JOIN n q ON r2 = q.r WHERE c / (p.n + q.n - c) >= 0.01),
@@ -301,7 +302,7 @@ _USER_SQL = f"""{_TRAIN_SQL}, {_signature_sql("SELECT u AS r, b AS t FROM train
 
 
 def _user_model(train: DataFrame) -> DataFrame:
-    return ratings.lsh_model(train, "u", "b", 3, USER_HASHES, PRIME, PRIME, 50_000, seed=USER_SEED)
+    return ratings.lsh_model(train, "u", "b", 3, USER_HASHES, PRIME, PRIME, PRIME - 1, seed=USER_SEED)
 
 
 @query(f"WITH {_USER_SQL} SELECT i1, i2, sim FROM umodel")
@@ -312,7 +313,7 @@ def user_model(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def project_item_model(spark: SparkSession, d: str) -> DataFrame:
     """Items of five or more ratings, 60 functions of one row each."""
-    return ratings.lsh_model(order_ratings(spark, d, False), "b", "u", 5, 60, PRIME, PRIME, 100_000)
+    return ratings.lsh_model(order_ratings(spark, d, False), "b", "u", 5, 60, PRIME, PRIME, PRIME - 1)
 
 
 @query(f"WITH {_ITEM_CF_SQL} SELECT u, b, round(stars + 1e-9, 5) AS stars FROM pred")
