@@ -76,7 +76,8 @@ def top_clustered(spark, path: str, n: int) -> DataFrame:
                 at, name = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
                 with at.open_input_file(name) as f:
                     best, _ = best_of_file(pq.ParquetFile(f), n)
-                yield best
+                if len(best):
+                    yield best.astype({"g": object, "i": object})
 
     listed = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, k int")
     survivors = listed.repartitionById(max(1, len(files)), F.col("k")).mapInPandas(read, "g string, i string, s double")
