@@ -4,7 +4,8 @@ Queries are the windows of `passage` words of every evaluation text, as sets of
 overlapping passages of bounded length, so that a window inside a document is wholly inside one of them, and passages are
 partitioned by their number of shingles. In a partition of at most u shingles a contained window of q shingles has a
 similarity of at least q / u, which fixes how many hash functions give the wanted recall. A passage that agrees with a
-window in the minimum of any of its functions is a candidate, and its document is then compared word for word.
+window in the minimum of any of its functions is a candidate, and its document is then compared word for word. Windows
+that repeat a shingle are smaller sets than that; passages with any of their shingles are candidates too.
 """
 
 from __future__ import annotations
@@ -105,6 +106,9 @@ class Index:
                 for q, x in enumerate(_shingles(h, passage).tolist()):
                     self.exact.setdefault(x, []).append((i, q))
         windows = np.concatenate(parts) if parts else np.zeros((0, self.window), np.uint64)
+        # a window that repeats itself has fewer distinct shingles than the functions are made for: all of them are looked up
+        ordered = np.sort(windows, 1)
+        self.repeats = np.unique(windows[(ordered[:, 1:] == ordered[:, :-1]).any(1)])
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         self.values = [np.unique((windows * a + c).min(1)) if len(windows) else np.zeros(0, np.uint64) for a, c in zip(self.a, self.c)]
         self.sorted_exact = np.sort(np.fromiter(self.exact, np.uint64, len(self.exact)))
@@ -114,6 +118,9 @@ class Index:
         hit, size = np.zeros(len(start), bool), stop - start
         if not len(self.owner):
             return hit
+        if len(self.repeats):
+            seen = np.concatenate(([0], np.cumsum(np.isin(s, self.repeats))))
+            hit = seen[stop] > seen[start]
         least = np.searchsorted(self.bounds, size)
         pad = np.append(s, np.uint64(0))
         for k in range(len(self.a)):
