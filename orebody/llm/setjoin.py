@@ -1,8 +1,8 @@
 """All similar pairs between set-valued records by chosen-path splitting.
 
 Records with equal sets are one class, represented by its least id. In each of several trees a record goes from a node to
-the children named by some of its tokens: token j is chosen where a hash of (node, j) is below 1 / (threshold * tokens
-left). Two sets above the threshold share on average at least one child at each level, so by the theory of branching
+the children named by some of its tokens: token j is chosen where a hash of (node, j) is below 1 / (threshold * size); a
+token may be chosen again, or what is left of two similar sets would be less alike at each level. Two sets above the threshold share on average at least one child at each level, so by the theory of branching
 processes a tree brings them together in a node of depth k with a probability of about 1 / (k + 1) or more. Nodes of few
 records are compared pair by pair; larger ones are split again; what is still large at the last level is compared in
 blocks, so no candidate is dropped. Comparison first bounds the overlap from sizes and 256-bit token maps (a bound that
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from orebody.plans.session import materialise
 
 NODE_LIMIT = 48
-MAX_DEPTH = 5
+MAX_DEPTH = 4
 MAPS = ["b0", "b1", "b2", "b3"]
 
 
-def trees_for(recall: float, depth: int = 3) -> int:
+def trees_for(recall: float, depth: int = MAX_DEPTH) -> int:
     """Trees needed so that a pair at the threshold meets with the given probability at the given depth."""
     meets = 1.0
     for _ in range(depth):
@@ -83,7 +83,7 @@ def candidate_pairs(members: DataFrame, profiles: DataFrame, threshold: float, t
     p = profiles.select("r", "size", *MAPS)
     tokens = members.join(p.select("r", "size"), "r").select("r", "size", F.xxhash64("t", F.lit(21)).alias("h"))
     chosen = tokens.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(_unit(F.col("tree"), F.col("h")) < 1 / (threshold * F.col("size")))
-    level = chosen.select(F.xxhash64("tree", "h").alias("node"), "r", F.array("h").alias("path"))
+    level = chosen.select(F.xxhash64("tree", "h").alias("node"), "r")
     out = None
     for k in range(1, depth + 1):
         held = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -98,11 +98,10 @@ def candidate_pairs(members: DataFrame, profiles: DataFrame, threshold: float, t
         if large.isEmpty():
             break
         if last:
-            out = out.unionByName(_pairs_within(_blocks(large.drop("path").join(p, "r"), limit), threshold))
+            out = out.unionByName(_pairs_within(_blocks(large.join(p, "r"), limit), threshold))
             break
-        left = F.col("size") - k
-        level = large.join(tokens, "r").where(~F.array_contains("path", F.col("h")) & (_unit(F.col("node"), F.col("h")) < 1 / (threshold * left)))
-        level = level.select(F.xxhash64("node", "h").alias("node"), "r", F.array_append("path", F.col("h")).alias("path"))
+        level = large.join(tokens, "r").where(_unit(F.col("node"), F.col("h")) < 1 / (threshold * F.col("size")))
+        level = level.select(F.xxhash64("node", "h").alias("node"), "r")
     return out.distinct()
 
 

@@ -115,7 +115,7 @@ def test_similar_sets_edges(spark):
 
 
 def test_trees_for_recall():
-    assert setjoin.trees_for(0.99) < setjoin.trees_for(0.9999) < 30
+    assert setjoin.trees_for(0.99) < setjoin.trees_for(0.9999) < 40
 
 
 # n-grams
