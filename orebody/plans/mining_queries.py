@@ -75,6 +75,11 @@ def partition_counts(spark: SparkSession, d: str) -> DataFrame:
     return explore.partition_report(explore.custom_partitioned(reviews(spark, d, "business_id"), "business_id", 27), 27)
 
 
+@query()
+def partition_counts_hash(spark: SparkSession, d: str) -> DataFrame:
+    return explore.partition_report(reviews(spark, d, "business_id").repartition(27, "business_id"), 27)
+
+
 @query("SELECT user_id, count(*) AS n FROM train_review WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) > 20")
 def keys_above(spark: SparkSession, d: str) -> DataFrame:
     return explore.keys_above(table(spark, d, "train_review"), "user_id", 20)
@@ -92,7 +97,7 @@ def user_index(spark: SparkSession, d: str) -> DataFrame:
 
 # frequent itemsets; supports are shares of the baskets, rounded up
 
-BRAND_SHARE, TYPE_SHARE, PLACE_SHARE = 0.0233, 0.085, 0.01
+BRAND_SHARE, TYPE_SHARE = 0.0233, 0.085
 
 
 def _order_items(spark: SparkSession, d: str, item: str) -> DataFrame:
@@ -104,13 +109,13 @@ def _support(pairs: DataFrame, share: float) -> int:
     return -(-pairs.select("basket").distinct().count() * round(share * 10_000) // 10_000)
 
 
-def _itemset_sql(pairs: str, share: float, most: int) -> str:
+def _itemset_sql(pairs: str, share: float, most: int, floor: int = 1) -> str:
     parts = []
     for k in range(1, most + 1):
         items = ", ".join(f"a{i}.item" for i in range(k))
         joins = " ".join(f"JOIN live a{i} ON a{i}.basket = a0.basket AND a{i}.item > a{i - 1}.item" for i in range(1, k))
         parts.append(f"SELECT {k} AS size, [{items}] AS items, count(*) AS support FROM live a0 {joins} GROUP BY {items} HAVING count(*) >= (SELECT s FROM least)")
-    return f"""pairs AS ({pairs}), least AS (SELECT ceil(count(DISTINCT basket) * {round(share * 10_000)} / 10000)::BIGINT AS s FROM pairs),
+    return f"""pairs AS ({pairs}), least AS (SELECT greatest({floor}, ceil(count(DISTINCT basket) * {round(share * 10_000)} / 10000)::BIGINT) AS s FROM pairs),
         live AS (SELECT basket, item FROM pairs WHERE item IN (SELECT item FROM pairs GROUP BY item HAVING count(*) >= (SELECT s FROM least))),
         sets AS ({" UNION ALL ".join(parts)})"""
 
@@ -120,6 +125,9 @@ _TYPES = "SELECT DISTINCT l_orderkey AS basket, p_type AS item FROM lineitem JOI
 _PLACES = """SELECT DISTINCT user_id AS basket, business_id AS item FROM train_review WHERE user_id IS NOT NULL AND business_id IS NOT NULL
     AND user_id IN (SELECT user_id FROM train_review WHERE business_id IS NOT NULL GROUP BY user_id HAVING count(DISTINCT business_id) > 3)"""
 
+_PEOPLE = """SELECT DISTINCT business_id AS basket, user_id AS item FROM train_review WHERE user_id IS NOT NULL AND business_id IS NOT NULL
+    AND business_id IN (SELECT business_id FROM train_review WHERE user_id IS NOT NULL GROUP BY business_id HAVING count(DISTINCT user_id) > 3)"""
+
 
 @query(f"WITH {_itemset_sql(_BRANDS, BRAND_SHARE, 4)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
 def freq_brands(spark: SparkSession, d: str) -> DataFrame:
@@ -146,17 +154,20 @@ def fpgrowth_vs_son(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.compare(itemsets.son(pairs, s), itemsets.fp_growth(pairs, s))
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    return itemsets.pairs_of(table(spark, d, "train_review"), "user_id", "business_id", more_than=3)
-
-
-@query()
+@query(f"WITH {_itemset_sql(_PLACES, 0.05, 6, 3)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
 def freq_places(spark: SparkSession, d: str) -> DataFrame:
     """Businesses that users of more than three businesses have in common."""
-    pairs = _places(spark, d)
+    pairs = materialise(itemsets.pairs_of(table(spark, d, "train_review"), "user_id", "business_id", more_than=3), "pairs")
     return itemsets.apriori(pairs, max(3, _support(pairs, 0.05))).withColumn("items", F.array_join("items", "|"))
 
 
+@query(f"WITH {_itemset_sql(_PEOPLE, 0.1, 6, 3)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
+def freq_users(spark: SparkSession, d: str) -> DataFrame:
+    """The other way round: users that many businesses have in common."""
+    pairs = materialise(itemsets.pairs_of(table(spark, d, "train_review"), "business_id", "user_id", more_than=3), "pairs")
+    return itemsets.apriori(pairs, max(3, _support(pairs, 0.1))).withColumn("items", F.array_join("items", "|"))
+
+
 @query()
 def itemset_report(spark: SparkSession, d: str) -> DataFrame:
     pairs = _order_items(spark, d, "p_type")

@@ -61,3 +61,9 @@ def text_lines(df: DataFrame, path: str) -> None:
 def prediction_line(df: DataFrame, row: str = "row", pred: str = "pred") -> DataFrame:
     """(value): the predictions in the order of their rows, separated by blanks."""
     return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(row, pred))), lambda x: x[pred].cast("string")), " ").alias("value"))
+
+
+def rank_lines(df: DataFrame, value: str, count: str = "n") -> DataFrame:
+    """(value): for each count among the ranked ones, a line of it and its values in order, the highest first."""
+    one = df.groupBy(count).agg(F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), ", ").alias("v"))
+    return one.orderBy(F.desc(count)).select(F.concat(F.col("v"), F.lit(" : "), F.col(count).cast("string")).alias("value"))

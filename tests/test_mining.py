@@ -242,6 +242,7 @@ def test_flajolet_martin(spark):
 
 def test_ranks_and_reservoir(spark):
     df = spark.createDataFrame([(t,) for t in "aaabbbccdef"] + [(None,)], "t string")
+    assert [r.value for r in sinks.rank_lines(sketches.ranked_values(df, "t", 2), "t").collect()] == ["a, b : 3", "c : 2"]
     assert rows(sketches.ranked_values(df, "t", 2)) == [("a", 3, 1), ("b", 3, 1), ("c", 2, 2)]
     ids = spark.range(1000)
     one, two = (sorted(r.id for r in sketches.reservoir(x, "id", 50).collect()) for x in (ids, ids.repartition(7)))
