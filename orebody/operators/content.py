@@ -19,7 +19,9 @@ def term_weights(reviews: DataFrame, stopwords: DataFrame) -> DataFrame:
     texts = rows.where("text is not null").select("business_id", "review_id", "text")
     plan = plan_load(texts, ["business_id"])
     words = fragment(texts, plan, ["review_id"]).select(TASK, "business_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''").join(stops, "word", "left_anti")
-    counts = words.groupBy(TASK, "business_id", "word").agg(F.count("*").alias("c")).groupBy("business_id", "word").agg(F.sum("c").alias("c"))
+    # one exchange by business serves the merge of shards and the maximum; a business has at most one row per word and shard
+    parts = words.groupBy(TASK, "business_id", "word").agg(F.count("*").alias("c")).repartition("business_id")
+    counts = parts.groupBy("business_id", "word").agg(F.sum("c").alias("c"))
     frequency = F.col("c") / F.max("c").over(Window.partitionBy("business_id"))
     spread = counts.groupBy("word").agg(F.count("*").alias("d"))
     return counts.withColumn("tf", frequency).join(spread, "word").select("business_id", "word", F.round(F.col("tf") * F.log2(n / F.col("d")), 6).alias("score"))

@@ -60,13 +60,13 @@ def explore_report(spark: SparkSession, d: str) -> DataFrame:
     SELECT category, floor((20 * s + n) / (2 * n))::DOUBLE / 10 AS avg, n FROM s ORDER BY avg DESC, category LIMIT 100""")
 def category_avg(spark: SparkSession, d: str) -> DataFrame:
     """Categories as commas alone separate them; of 100 categories, the best."""
-    return explore.comma_averages(reviews(spark, d, "business_id", "stars"), businesses(spark, d)).orderBy(F.desc("avg"), "category").limit(100)
+    return explore.comma_averages(reviews(spark, d, "business_id", "stars"), businesses(spark, d, "categories")).orderBy(F.desc("avg"), "category").limit(100)
 
 
 @query()
 def category_avg_packed(spark: SparkSession, d: str) -> DataFrame:
     """Categories however they are packed."""
-    return explore.category_averages(reviews(spark, d, "business_id", "stars"), businesses(spark, d)).orderBy(F.desc("avg"), "category")
+    return explore.category_averages(reviews(spark, d, "business_id", "stars"), businesses(spark, d, "categories")).orderBy(F.desc("avg"), "category")
 
 
 @query(f"""WITH {REVIEWS_SQL}, p AS (SELECT coalesce(ascii(business_id[1]), 0) % 27 AS partition FROM reviews)
@@ -87,7 +87,7 @@ def keys_above(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {REVIEWS_SQL}, {BUSINESSES_SQL} SELECT user_id, business_id FROM reviews WHERE business_id IN (SELECT business_id FROM businesses WHERE state = 'NV')")
 def semi_join_extract(spark: SparkSession, d: str) -> DataFrame:
-    return explore.extract(reviews(spark, d, "user_id", "business_id"), businesses(spark, d), F.col("state") == "NV")
+    return explore.extract(reviews(spark, d, "user_id", "business_id"), businesses(spark, d, "state"), F.col("state") == "NV")
 
 
 @query("SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM train_review WHERE user_id IS NOT NULL)")

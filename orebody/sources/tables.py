@@ -20,10 +20,11 @@ REVIEWS_SQL = """reviews AS (
     FROM train_review GROUP BY review_id)"""
 
 
-def businesses(spark: SparkSession, d: str) -> DataFrame:
-    """The record of each business that was added last."""
-    last = F.max(F.struct("added_at", "name", "categories", "city", "state")).alias("r")
-    return table(spark, d, "business").where("business_id is not null").groupBy("business_id").agg(last).select("business_id", "r.name", "r.categories", "r.city", "r.state")
+def businesses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The given columns (by default all) of the record of each business that was added last."""
+    columns = columns or ("name", "categories", "city", "state")
+    last = F.max(F.struct("added_at", *columns)).alias("r")
+    return table(spark, d, "business").where("business_id is not null").groupBy("business_id").agg(last).select("business_id", *(f"r.{c}" for c in columns))
 
 
 BUSINESSES_SQL = """businesses AS (
