@@ -73,7 +73,8 @@ def top_clustered(spark, path: str, n: int) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for uri in batch["file"]:
-                at, name = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+                uri = uri.replace("s3a://", "s3://", 1) if "://" in uri else uri.replace("file:", "file://", 1)
+                at, name = fs.FileSystem.from_uri(uri)
                 with at.open_input_file(name) as f:
                     best, _ = best_of_file(pq.ParquetFile(f), n)
                 if len(best):
