@@ -56,7 +56,8 @@ def split_packed(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     Values stand between the delimiters , ; | tab, line break, bullet, or a slash with blanks on both sides. Double quotes
     protect what is between them (doubled inside, they are one sign); single quotes do so only where they enclose a whole
     value; a backslash protects the next byte. Brackets or braces around a whole field are dropped, as are void places and
-    the white space around a value. A field whose double quotes are odd in number has them as ordinary signs."""
+    the white space around a value. A field whose double quotes are odd in number has them as ordinary signs, and a
+    backslash at a field's end is one too."""
     off, b = _buffer(strings)
     fields, size = len(off) - 1, len(b)
     if not size:
@@ -109,8 +110,8 @@ def split_packed(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     cut = one | wide | loose
 
     double = (b == ord('"')) & ~guarded
-    many = np.add.reduceat(double, np.minimum(start, size - 1)) if fields else np.zeros(0, int)
-    odd = (np.where(length > 0, many, 0) % 2).astype(bool)
+    total = np.concatenate(([0], np.cumsum(double, dtype=np.int64)))
+    odd = (total[stop] - total[start]) % 2 == 1
     double &= ~odd[of]
     inside = (_seen(double, start, of) % 2 == 1) | double
     single = (b == ord("'")) & ~guarded & ~inside

@@ -29,7 +29,7 @@ FIELDS = [
     ('"a""b""" ; """q"""', ['a"b"', '"q"']),
     ("Diners, Diners, ,,", ["Diners", "Diners"]),
     ("naïve café, straße", ["naïve café", "straße"]),
-    (None, []), ("", []), ("[]", []), (" , ", []), ('""', []), ("{ }", []), ("\\", []), ("[", ["["]), ('"', ['"']), ("x" * 70_000 + ",y", ["x" * 70_000, "y"]),
+    (None, []), ("", []), ("[]", []), (" , ", []), ('""', []), ("{ }", []), ("\\", ["\\"]), ("[", ["["]), ('"', ['"']), ("x" * 70_000 + ",y", ["x" * 70_000, "y"]),
 ]
 
 
