@@ -109,6 +109,15 @@ def _support(pairs: DataFrame, share: float) -> int:
     return -(-pairs.select("basket").distinct().count() * round(share * 10_000) // 10_000)
 
 
+def _all_sets_sql(pairs: str, share: float, floor: int) -> str:
+    """Itemsets of any size: every set of frequent items in every basket, counted."""
+    return f"""pairs AS ({pairs}), least AS (SELECT greatest({floor}, ceil(count(DISTINCT basket) * {round(share * 10_000)} / 10000)::BIGINT) AS s FROM pairs),
+        live AS (SELECT basket, item FROM pairs WHERE item IN (SELECT item FROM pairs GROUP BY item HAVING count(*) >= (SELECT s FROM least))),
+        occ AS (SELECT basket, item AS last, item AS items, 1 AS size FROM live
+                UNION ALL SELECT o.basket, l.item, o.items || '|' || l.item, o.size + 1 FROM occ o JOIN live l ON l.basket = o.basket AND l.item > o.last)
+        SELECT size, items, count(*) AS support FROM occ GROUP BY size, items HAVING count(*) >= (SELECT s FROM least)"""
+
+
 def _itemset_sql(pairs: str, share: float, most: int, floor: int = 1) -> str:
     parts = []
     for k in range(1, most + 1):
@@ -154,14 +163,14 @@ def fpgrowth_vs_son(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.compare(itemsets.son(pairs, s), itemsets.fp_growth(pairs, s))
 
 
-@query(f"WITH {_itemset_sql(_PLACES, 0.05, 6, 3)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
+@query(f"WITH RECURSIVE {_all_sets_sql(_PLACES, 0.05, 3)}")
 def freq_places(spark: SparkSession, d: str) -> DataFrame:
     """Businesses that users of more than three businesses have in common."""
     pairs = materialise(itemsets.pairs_of(table(spark, d, "train_review"), "user_id", "business_id", more_than=3), "pairs")
     return itemsets.apriori(pairs, max(3, _support(pairs, 0.05))).withColumn("items", F.array_join("items", "|"))
 
 
-@query(f"WITH {_itemset_sql(_PEOPLE, 0.1, 6, 3)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
+@query(f"WITH RECURSIVE {_all_sets_sql(_PEOPLE, 0.1, 3)}")
 def freq_users(spark: SparkSession, d: str) -> DataFrame:
     """The other way round: users that many businesses have in common."""
     pairs = materialise(itemsets.pairs_of(table(spark, d, "train_review"), "business_id", "user_id", more_than=3), "pairs")
