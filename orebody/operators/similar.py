@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.operators.numbering import dense_index
@@ -59,14 +59,41 @@ def _similarity(shared: DataFrame, size: DataFrame, threshold: float) -> DataFra
     return both.withColumn("sim", F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).where(F.col("sim") >= threshold).select("r1", "r2", "sim")
 
 
+def _pairs_in(sets: DataFrame) -> float:
+    """How many pairs an inverted self-join of the sets meets."""
+    return sets.groupBy("t").agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+
+
+def _meeting(sets: DataFrame) -> DataFrame:
+    plan = plan_load(sets, ["t"])
+    return skew_join(sets.withColumnRenamed("r", "r1"), sets.withColumnRenamed("r", "r2"), plan, ["r1"]).where("r1 < r2")
+
+
 def shared_members(df: DataFrame, record: str, member: str, least: int = 1) -> DataFrame:
     """(r1, r2, common), r1 < r2: pairs with at least `least` members in common, by an inverted self-join in which members
-    with many records are cut into shards."""
+    with many records are cut into shards.
+
+    A record of fewer members is in no such pair. Of n members, with the rarest first in one order for all records, the
+    first n - least + 1 of two records of a pair must meet. Where that leaves less to do than all meetings, only pairs that
+    meet there are counted, over all their members."""
     sets = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct(), "sets")
-    plan = plan_load(sets, ["t"])
-    joined = skew_join(sets.withColumnRenamed("r", "r1"), sets.withColumnRenamed("r", "r2"), plan, ["r1"]).where("r1 < r2")
+    if least > 1:
+        size = sets.groupBy("r").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        sized = materialise(sets.join(size, "r"), "sets")
+        sets = sized.select("r", "t")
+        placed = sized.join(sets.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("f", "t")))
+        first = materialise(placed.where(F.col("k") <= F.col("n") - least + 1).select("r", "t"), "first")
+        mean = size.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
+        if _pairs_in(first) * (1 + mean) < _pairs_in(sets):
+            near = _meeting(first).select("r1", "r2").distinct()
+            near = near.join(size.toDF("r1", "n1"), "r1").join(size.toDF("r2", "n2"), "r2")
+            small, large = F.when(F.col("n1") <= F.col("n2"), F.col("r1")), F.when(F.col("n1") <= F.col("n2"), F.col("r2"))
+            near = materialise(near.select(small.otherwise(F.col("r2")).alias("a"), large.otherwise(F.col("r1")).alias("b")), "near")
+            both = near.join(sets.withColumnRenamed("r", "a"), "a").join(sets.withColumnRenamed("r", "b"), ["b", "t"])
+            counted = both.groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+            return counted.select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"), "common")
     # added up inside each task first: a pair meets in as many tasks as have members in common
-    return joined.groupBy(TASK, "r1", "r2").agg(F.count("*").alias("c")).groupBy("r1", "r2").agg(F.sum("c").alias("common")).where(F.col("common") >= least)
+    return _meeting(sets).groupBy(TASK, "r1", "r2").agg(F.count("*").alias("c")).groupBy("r1", "r2").agg(F.sum("c").alias("common")).where(F.col("common") >= least)
 
 
 def exact_pairs(df: DataFrame, record: str, member: str, threshold: float) -> DataFrame:

@@ -401,7 +401,7 @@ def cold_start_friends(spark: SparkSession, d: str) -> DataFrame:
 
 # graphs of customers that bought the same parts
 
-SHARED, SHARED_CUT = 7, 8
+SHARED = 7
 
 
 def _graph_sql(least: int) -> str:
@@ -410,8 +410,8 @@ def _graph_sql(least: int) -> str:
         edges AS (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half)"""
 
 
-def _graph(spark: SparkSession, d: str, least: int = SHARED) -> DataFrame:
-    return graph.overlap_graph(order_ratings(spark, d), "u", "b", least)
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.overlap_graph(order_ratings(spark, d), "u", "b", SHARED)
 
 
 def _lpa_sql(rounds: int) -> str:
@@ -443,23 +443,64 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.communities(graph.label_propagation(_graph(spark, d)))
 
 
-@query(f"""WITH {_graph_sql(SHARED)}, {_lpa_sql(5)}, mm AS (SELECT count(*)::DOUBLE AS m2 FROM edges),
+_MODULARITY_SQL = """mm AS (SELECT count(*)::DOUBLE AS m2 FROM edges),
     k AS (SELECT label, count(*) AS k FROM edges JOIN l5 ON src = id GROUP BY 1),
     a AS (SELECT x.label, count(*) AS a FROM edges JOIN l5 x ON src = x.id JOIN l5 y ON dst = y.id WHERE x.label = y.label GROUP BY 1)
-    SELECT round(coalesce(sum(coalesce(a, 0) / m2 - pow(k / m2, 2)), 0), 6) AS modularity FROM k LEFT JOIN a USING (label), mm""")
+    SELECT round(coalesce(sum(coalesce(a, 0) / m2 - pow(k / m2, 2)), 0), 6) AS modularity FROM k LEFT JOIN a USING (label), mm"""
+
+
+@query(f"WITH {_graph_sql(SHARED)}, {_lpa_sql(5)}, {_MODULARITY_SQL}")
 def modularity(spark: SparkSession, d: str) -> DataFrame:
     edges = _graph(spark, d)
     return graph.modularity(edges, graph.label_propagation(edges))
 
 
+# graphs of users that reviewed the same businesses
+
+_REVIEW_GRAPH_SQL = f"""m AS (SELECT DISTINCT user_id AS r, business_id AS t FROM train_review WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
+        half AS (SELECT a.r AS src, b.r AS dst FROM m a JOIN m b ON a.t = b.t AND a.r < b.r GROUP BY ALL HAVING count(*) >= {SHARED}),
+        edges AS (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half)"""
+
+
+def _review_graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.overlap_graph(table(spark, d, "train_review"), "user_id", "business_id", SHARED)
+
+
+@query(f"WITH {_REVIEW_GRAPH_SQL} SELECT src, dst FROM edges")
+def review_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _review_graph(spark, d)
+
+
+@query(f"""WITH RECURSIVE {_REVIEW_GRAPH_SQL}, walk AS (SELECT DISTINCT src AS id, src AS reach FROM edges UNION SELECT w.id, e.dst FROM walk w JOIN edges e ON w.reach = e.src)
+    SELECT id, min(reach) AS component FROM walk GROUP BY id""")
+def review_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(_review_graph(spark, d))
+
+
+@query(f"WITH {_REVIEW_GRAPH_SQL}, {_lpa_sql(5)} SELECT id, label FROM l5")
+def review_labels(spark: SparkSession, d: str) -> DataFrame:
+    return graph.label_propagation(_review_graph(spark, d))
+
+
+@query(f"""WITH {_REVIEW_GRAPH_SQL}, {_lpa_sql(5)} SELECT count(*) AS size, string_agg(id::VARCHAR, ', ' ORDER BY id) AS members FROM l5 GROUP BY label""")
+def review_communities(spark: SparkSession, d: str) -> DataFrame:
+    return graph.communities(graph.label_propagation(_review_graph(spark, d)))
+
+
+@query(f"""WITH {_REVIEW_GRAPH_SQL}, {_lpa_sql(5)}, {_MODULARITY_SQL}""")
+def review_modularity(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_review_graph(spark, d), "edges")
+    return graph.modularity(edges, graph.label_propagation(edges))
+
+
 @query()
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return graph.betweenness(_graph(spark, d))
+    return graph.betweenness(_review_graph(spark, d))
 
 
 @query()
 def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
-    return graph.girvan_newman(_graph(spark, d, SHARED_CUT))
+    return graph.girvan_newman(_review_graph(spark, d))
 
 
 # sketches
