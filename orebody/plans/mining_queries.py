@@ -333,7 +333,7 @@ def user_model(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def project_item_model(spark: SparkSession, d: str) -> DataFrame:
     """Items of five or more ratings, 60 functions of one row each."""
-    return ratings.lsh_model(order_ratings(spark, d, False), "b", "u", 5, 60, PRIME, PRIME, PRIME - 1)
+    return ratings.lsh_model(order_ratings(spark, d), "b", "u", 5, 60, PRIME, PRIME, PRIME - 1)
 
 
 @query(f"WITH {_ITEM_CF_SQL} SELECT u, b, round(stars + 1e-9, 5) AS stars FROM pred")
