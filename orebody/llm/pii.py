@@ -1,54 +1,76 @@
 """Personal information in free text: found by a linear-chain conditional random field, replaced by typed placeholders.
 
-Features of a token are word shapes: its letters' case, digits' number, whether it is on the list of names or was seen in
-training, the same of its neighbours, and, for tokens inside a chunk that looks like an address of some kind or a number,
-the chunk's shape and the words beside it. The field is trained on the rows of pii_table by full-batch gradient steps on
-the log-likelihood (forward-backward in numpy) and decoded by Viterbi over batches of texts of similar length.
+Features of a token are word shapes: the case of its letters, its number of digits, whether it is on the list of names, an
+ordinary or a proper word in the vocabulary of a public tokenizer, and a cue of some class (titles, roles, words for places,
+firms, streets, numbers of persons and of things); the same of its neighbours; and, for tokens of what looks like an address
+of some kind or a number, the outline of the whole and the cues around it. Only words that stand in several sentences of
+the training table are features themselves, so the field does not learn the table by heart. It is trained by full-batch
+gradient steps on the log-likelihood (forward-backward in numpy) and decoded by Viterbi over batches of texts; tokens that
+no path through another label can win are cut out first, by a bound that keeps the result exact.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import inspect
 import re
 from array import array
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.pii_table import KINDS, labelled_rows
+from orebody.llm import pii_table
+from orebody.llm.pii_table import CUES, KINDS, labelled_rows
+from orebody.operators.skew import TASK, plan_load, skew_join
+from orebody.plans.session import materialise, shared_folder
 
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 3000
 STEPS = 60
+#: Sentences of the training table in which a word must stand to be a feature itself.
+KNOWN_IN = 5
+#: Longer lists of names are joined to the texts' words instead of being sent to the tasks.
 MOST_NAMES = 200_000
+#: Vocabularies of public tokenizers; the words in them tell ordinary from proper words.
+LEXICON = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 PAD = 3
 _OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+_NEAR = 6
+_BATCH = 2000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 # The outer form of chunks. Whether one is personal, and of which kind, is left to the field.
-_B = "[  \t]"
+_B = "[ \\u00a0\\u202f\\u2009\\t]"
 _EMAIL = re.compile(
-    r"[\w.+-]*\w(?:@|＠|" + _B + r"?[(\[]at[)\]]" + _B + "?|" + _B + "@" + _B + r")[\w-]+(?:(?:\.|" + _B + r"?[(\[]dot[)\]]" + _B + r"?)[\w-]+)+"
-    r"|[\w.+-]*\w" + _B + "at" + _B + r"[\w-]+(?:" + _B + "dot" + _B + r"[\w-]+)+", re.I,
+    r"(?<![\w.+-])[\w.+-]*\w(?:@|＠|" + _B + r"?[(\[{]" + _B + r"?(?:at|@|ät)" + _B + r"?[)\]}]" + _B + "?|" + _B + "@" + _B + r")[\w-]+(?:(?:\.|" + _B + r"?[(\[{]" + _B + r"?(?:dot|\.|punkt|punto|point)" + _B + r"?[)\]}]" + _B + r"?|" + _B + "dot" + _B + r")[\w-]+)+"
+    r"|(?<![\w.+-])[\w.+-]*\w" + _B + "(?:at|arroba)" + _B + r"(?!www\.)[\w-]+(?:(?:" + _B + "(?:dot|punto)" + _B + r"|\.)[\w-]+)+", re.I,
 )
-_STREET = "st|street|rd|road|ave|avenue|ln|lane|dr|drive|blvd|boulevard|way|ct|court|pl|place|ter|terrace|sq|square|cir|circle|pkwy|parkway|hwy|highway|row|walk|close|crescent"
+#: An address has at most 254 signs, 64 of them before the @ (RFC 5321); with signs and blanks around.
+_BEFORE, _AFTER = 100, 300
+_STREET = "|".join(sorted((w for w in CUES["street"].split() if w not in "rue chemin quai allée impasse cours route calle avenida plaza paseo camino ronda cuesta travesía straße strasse weg gasse allee platz damm ufer".split()), key=len, reverse=True))
+_UNIT = r"(?:\.?,?" + _B + r"*(?:(?:apt|unit|suite|ste|apartment|flat|no)\b\.?" + _B + r"*#?\w{1,5}|\#" + _B + r"?\w{1,5}))?"
+_NAMED = r"(?:\d{1,3}(?:st|nd|rd|th)\b|[^\W\d_]{1,3}\.|[^\W\d_][\w'’-]*)"
 _STREET_FIRST = re.compile(
-    r"(?<![\w$.,/-])\d{1,5}(?:-[a-z])?" + _B + r"+(?:[^\W_][\w'’.-]*" + _B + r"+){1,4}?(?:" + _STREET + r")\b(?!['’-]\w)"
-    r"(?:,?" + _B + r"*(?:(?:apt|unit|suite|ste|apartment|flat)\b\.?" + _B + r"*#?\w{1,5}|\#" + _B + r"?\w{1,5}))?"
-    r"|(?<![\w$.,/-])\d{1,4}(?:" + _B + r"?(?:bis|ter))?,?" + _B + r"+(?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours|route)" + _B + r"+"
-    r"(?:(?:de" + _B + r"la|de" + _B + r"l['’]|des|du|de|d['’]|la|le|les)" + _B + r"*)?[^\W\d_][\w'’-]*(?P<tail>(?:" + _B + r"+[^\W\d_][\w'’-]*){0,2})", re.I,
+    r"\d{1,4}(?:" + _B + r"?(?:bis|ter|[a-d]\b))?,?" + _B + r"+(?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours|route|bd|av)\b\.?" + _B + r"+"
+    r"(?:(?:de" + _B + r"la|de" + _B + r"l['’]|des|du|de|d['’]|la|le|les)" + _B + r"*)?[^\W\d_][\w'’-]*(?P<tail>(?:" + _B + r"+[^\W\d_][\w'’-]*){0,2})"
+    r"|\d{1,5}(?:-?[a-z])?,?" + _B + r"+(?:" + _NAMED + _B + r"+){1,4}?(?:" + _STREET + r")\b(?!['’-]\w)(?:" + _B + r"+(?:n|s|e|w|ne|nw|se|sw|north|south|east|west)\b)?" + _UNIT, re.I,
 )
-_CALLE = ("calle", "avenida", "plaza", "paseo", "camino", "ronda", "cuesta", "travesía")
-_STREET_SPANISH = re.compile(r"\b(?:" + "|".join(_CALLE) + ")" + _B + r"+(?:[^\W\d_][\w'’-]*" + _B + r"+){1,4}?\d{1,4}[a-z]?\b", re.I)
-_GASSE = ("straße", "strasse", "weg", "gasse", "allee", "platz", "damm", "ufer")
-_STREET_GERMAN = re.compile(r"(?P<lead>(?:\b[^\W\d_]+" + _B + r"+)?)\b[^\W\d_][\w-]*(?:" + "|".join(_GASSE) + ")" + _B + r"+\d{1,4}" + _B + r"?(?:[a-z]\b)?", re.I)
+_STREET_CAPITALS = re.compile(r"\d{1,5}(?:-?[A-Da-d])?" + _B + r"+[A-ZÀ-Ý][a-zß-ÿ'’-]+(?P<tail>(?:" + _B + r"+[A-ZÀ-Ý][a-zß-ÿ'’-]+){0,3})" + _UNIT)
+_CALLE = frozenset("calle avenida avda plaza paseo camino ronda cuesta travesía c".split())
+_STREET_SPANISH = re.compile(r"(?:calle|avenida|avda\.?|plaza|paseo|camino|ronda|cuesta|travesía|c/)" + _B + r"+(?:[^\W\d_][\w'’.-]*,?" + _B + r"+){1,6}?(?:n[.º°o]*" + _B + r"*)?\d{1,4}(?:-?[a-z])?\b", re.I)
+_GASSE = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "damm", "ufer", "ring", "steig")
+_STREET_GERMAN = re.compile(r"[^\W\d_][\w-]*(?:" + "|".join(_GASSE) + r")\.?" + _B + r"+\d{1,4}(?:" + _B + r"?[a-z]\b)?", re.I)
 _NUMBER = re.compile(
-    r"(?<![\w$@])[a-z]{1,2}-?\d{2,}(?:-\d+)*\b|(?<![\w$@.-])\d{6,10}[a-z]\b"
-    r"|(?<![\w$@])(?:\+\d{1,3}" + _B + r"?[.-]?)?(?:\(\d{1,4}\)" + _B + r"?[.-]?)?\d+(?:(?:[./]|" + _B + "?[-–]" + _B + r"?)\d+|" + _B + r"\d{2,})*", re.I,
+    r"(?:[a-z]{1,3}[-.]?" + _B + r"?)?\d[\da-z]*(?:(?:[./]|" + _B + r"?[-–]" + _B + r"?)[\da-z]*\d[\da-z]*|" + _B + r"\d{2,}(?![\w'’])|" + _B + r"\d(?=" + _B + r"\d))*(?:-?[a-z]\b|" + _B + r"[A-Z]\b)?"
+    r"|(?:\+\d{1,3}" + _B + r"?[.-]?)?(?:\(\d{1,5}\)" + _B + r"?[.-]?)?\d+(?:(?:[./]|" + _B + "?[-–]" + _B + r"?)\d+|" + _B + r"\d{2,})*", re.I,
 )
+_PHONE = re.compile(r"(?:\+\d{1,3}" + _B + r"?[.-]?)?(?:\(\d{1,5}\)" + _B + r"?[.-]?)?\d+(?:(?:[./]|" + _B + "?[-–]" + _B + r"?)\d+|" + _B + r"\d{2,})*")
 
 
 def shape(word: str) -> str:
@@ -61,216 +83,504 @@ def shape(word: str) -> str:
     return "XX" if word.isupper() else "Xx" if word[0].isupper() else "xx"
 
 
-_DIGIT = re.compile(r"\d")
-#: The kinds that only a chunk of some type can be.
-_WITHIN = {"email": "E", "phone": "N", "id_number": "N", "address": "A"}
-_CACHE_WORDS = 100_000
+_CUES_OF: dict[str, tuple[str, ...]] = defaultdict(tuple)
+for _kind, _words in CUES.items():
+    for _word in dict.fromkeys(_words.split()):
+        _CUES_OF[_word] += (_kind,)
+_CUES_OF = dict(_CUES_OF)
+#: Cues that say of which kind a number or an address is.
+_OF_CHUNK = frozenset(("id", "code", "phone", "live"))
+
+
+def lexicon(paths: tuple[str, ...] = LEXICON) -> dict[str, str]:
+    """Lower-cased words of the vocabularies: o for ordinary words, p for those that are more frequent with a capital. As many
+    entries as the vocabularies have words, which bounds what is sent to the tasks."""
+    out: dict[str, str] = {}
+    for path in paths:
+        low, cap = {}, {}
+        with open(path, "rb") as f:
+            for rank, line in enumerate(f):
+                word = base64.b64decode(line.split()[0])
+                if word[:1] == b" " and len(word) > 2:
+                    text = word[1:].decode("utf-8", "ignore")
+                    if text.isalpha():
+                        if text.islower():
+                            low[text] = rank
+                        elif text[0].isupper() and text[1:].islower():
+                            cap[text.lower()] = rank
+        for w in low.keys() | cap.keys():
+            kind = "o" if low.get(w, 1 << 30) < cap.get(w, 1 << 30) else "p"
+            out[w] = "o" if "o" in (kind, out.get(w)) else "p"
+    return out
 
 
-def chunks(text: str) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, type, start and end of the sure part) of what looks like an address or a long number; no overlaps."""
-    low, found = text.casefold() if not text.isascii() else text.lower(), []
-    if "@" in text or "＠" in text or "at]" in low or "at)" in low or " dot " in low or "\xa0dot\xa0" in low:
-        found += [("E", m) for m in _EMAIL.finditer(text)]
-    if _DIGIT.search(text):
-        found += [("A", m) for m in _STREET_FIRST.finditer(text)]
-        if any(x in low for x in _CALLE):
-            found += [("A", m) for m in _STREET_SPANISH.finditer(text)]
-        if any(x in low for x in ("strasse", *_GASSE)):
-            found += [("A", m) for m in _STREET_GERMAN.finditer(text)]
-        found += [("N", m) for m in _NUMBER.finditer(text) if sum(map(str.isdigit, m.group())) >= 5]
-    out, taken = [], []
-    for kind, m in found:
-        s, e = m.span()
-        if any(s < b and a < e for a, b in taken):
-            continue
-        part = m.groupdict()
-        taken.append((s, e))
-        out.append((s, e, kind, m.end("lead") if part.get("lead") else s, m.start("tail") if part.get("tail") else e))
-    return sorted(out)
+def _outline(piece: str) -> str:
+    return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", piece))[:24]
 
 
-def _outline(piece: str) -> str:
-    return re.sub(r"[^\W\d_]+", lambda m: "x" if m.group().islower() else "X", re.sub(r"\d", "9", piece))[:24]
+# 0 white space, 1 letters, 2 digits, 3 any other sign: what _TOKEN tells apart
+_CLASS = np.full(0x110000, 3, np.uint8)
+for _c in range(0x110000):
+    _s = chr(_c)
+    if _s.isspace():
+        _CLASS[_c] = 0
+    elif _s.isdecimal():
+        _CLASS[_c] = 2
+    elif _s.isalnum():
+        _CLASS[_c] = 1
 
 
 class Texts:
-    """Tokens of a batch of texts on one axis, with PAD empty tokens between them."""
+    """Tokens of a batch of texts on one axis, with PAD empty tokens before, between and after them."""
 
     def __init__(self, texts: list[str]):
-        words, gaps, self.start, self.end, self.first = [""] * PAD, [3] * PAD, [0] * PAD, [0] * PAD, []
+        joined = "\n".join(texts)
+        sign = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _CLASS[sign]
+        base = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        before = np.concatenate(([0], kind[:-1])) if len(kind) else kind
+        starts = np.flatnonzero((kind > 0) & ((kind != before) | (kind == 3)))
+        after = np.concatenate((kind[1:], [0])) if len(kind) else kind
+        ends = np.flatnonzero((kind > 0) & ((kind != after) | (kind == 3))) + 1
+        words = _TOKEN.findall(joined)
+        if len(words) != len(starts):
+            raise ValueError("signs are classed in two ways")
+        owner = np.searchsorted(base, starts, side="right") - 1
+        n = len(starts)
+        per = np.bincount(owner, minlength=len(texts)) if n else np.zeros(len(texts), np.int64)
+        self.at = np.arange(n) + PAD * (owner + 1)
+        self.size = n + PAD * (len(texts) + 1)
+        self.first = (np.cumsum(per) - per + PAD * (np.arange(len(texts)) + 1)).astype(np.int64)
+        self.sizes = per.astype(np.int64)
+        self.start, self.end = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        self.start[self.at], self.end[self.at] = starts - base[owner], ends - base[owner]
+        lines = np.concatenate(([0], np.cumsum(sign == 10)))
+        gap = np.ones(n, np.int8)
+        if n:
+            previous = np.concatenate(([0], ends[:-1]))
+            gap[starts == previous] = 0
+            gap[lines[starts] > lines[previous]] = 2
+            gap[np.flatnonzero(np.diff(owner, prepend=-1))] = 3
+        self.gaps = np.full(self.size, 3, np.int8)
+        self.gaps[self.at] = gap
+        # numbers of the distinct words, 0 for none
+        of: dict[str, int] = dict.fromkeys(words, 0)
+        self.distinct = ["", *of]
+        for k, w in enumerate(of, 1):
+            of[w] = k
+        self.index = np.zeros(self.size, np.int64)
+        plain = np.fromiter(map(of.__getitem__, words), np.int64, n)
+        self.index[self.at] = plain
         self.extra: list[tuple[int, str]] = []
         self.inside: dict[str, list[int]] = {"E": [], "A": [], "N": []}
         self.hull: dict[int, tuple[int, int]] = {}
-        for text in texts:
-            base = len(words)
-            self.first.append(base)
-            at, before = {}, 0
-            for m in _TOKEN.finditer(text):
-                s, e = m.span()
-                at[s] = len(words)
-                gap = text[before:s]
-                gaps.append(3 if s == before == 0 else 0 if not gap else 2 if "\n" in gap else 1)
-                words.append(m.group())
-                self.start.append(s)
-                self.end.append(e)
-                before = e
-            size = len(words)
-            starts = self.start
-            for s, e, kind, a, b in chunks(text):
-                t = at.get(s)
-                if t is None:
-                    continue
-                left = [words[i].lower() for i in range(max(base, t - 3), t) if words[i] not in (":", "(", ",")]
-                j = t
-                while j < size and starts[j] < e:
-                    j += 1
-                right = words[j].lower() if j < size else ""
-                line = _outline(text[a:b]) if kind == "N" else ""
-                left1, left2 = (left[-1] if left else ""), " ".join(left[-2:])
-                self.inside[kind] += range(t, j)
-                if kind == "E":
-                    self.hull.update(dict.fromkeys(range(t, j), (s, e)))
-                for i in range(t, j):
-                    where = "P" if starts[i] < a else "T" if starts[i] >= b else "B" if starts[i] == a else "I"
-                    tag = kind + where
-                    self.extra += [(i, tag), (i, f"{tag}|{line}"), (i, f"{tag}<{left1}"), (i, f"{tag}<<{left2}"), (i, f"{tag}>{right}")]
-                if j < size:
-                    self.extra.append((j, "after" + kind))
-            words += [""] * PAD
-            gaps += [3] * PAD
-            self.start += [0] * PAD
-            self.end += [0] * PAD
-        self.words, self.gaps = words, np.array(gaps, np.int8)
-        self.sizes = np.diff([*self.first, len(words)]) - PAD
-
-
-def _word_features(word: str, names: dict[str, str], known: frozenset[str] | None) -> tuple[list[str], str]:
+        if n:
+            self._chunks(joined, sign, kind, base, owner, starts, ends, words, lines, plain)
+
+    def each(self, of, kind) -> np.ndarray:
+        """A value of every distinct word, at its tokens."""
+        return np.fromiter((of(w) for w in self.distinct), kind, len(self.distinct))[self.index]
+
+    def _chunks(self, joined, sign, kind, base, owner, starts, ends, words, lines, plain) -> None:
+        """What looks like an address or a long number; no overlaps."""
+        found: list[tuple[int, int, str, str, int]] = []  # start, end, type, form, start of a part that is not sure
+        taken = bytearray(len(joined) + 1)
+        lead: dict[int, int] = {}
+
+        def take(m: re.Match | None, what: str, form: str) -> None:
+            if m is None or m.end() == m.start() or taken.find(1, m.start(), m.end()) >= 0:
+                return
+            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+            tail = m.start("tail") if "tail" in m.re.groupindex and m.group("tail") else m.end()
+            found.append((m.start(), m.end(), what, form, tail))
+
+        def low(k: int) -> str:
+            return words[k].lower()
+
+        def where_word(test) -> list[int]:
+            return np.flatnonzero(np.fromiter((test(w) for w in self.distinct), bool, len(self.distinct))[plain]).tolist()
+
+        signs = np.flatnonzero((sign == 64) | (sign == 0xFF20)).tolist()
+        dots = ("dot", "punto", ".")
+        spelled = [k for k in where_word(lambda w: w.lower() in ("at", "arroba")) if any(low(i) in dots for i in range(k + 2, min(k + 9, len(words))))]
+        for p in signs + [int(starts[k]) for k in spelled]:
+            d = int(np.searchsorted(base, p, side="right")) - 1
+            a, b = max(int(base[d]), p - _BEFORE), min(int(base[d + 1]) - 1, p + _AFTER)
+            for m in _EMAIL.finditer(joined, a, b):
+                if m.start() <= p < m.end():
+                    take(m, "E", "@" if "@" in m.group() and " " not in m.group() else "at")
+        digit = (kind == 2).astype(np.int32)
+        count = np.concatenate(([0], np.cumsum(digit)))
+        runs = np.flatnonzero(kind[starts] == 2)
+
+        def number(k: int, s: int, least: int) -> None:
+            if taken[s]:
+                return
+            c, m = joined[s - 1] if s else " ", None
+            if c in "(+":
+                m = _PHONE.match(joined, s - (2 if c == "(" and s > 1 and joined[s - 2] == "+" else 1))
+                if m and c == "(" and ")" not in m.group():
+                    m = None
+            if m is None:
+                a, b = (int(starts[k - 1]), int(ends[k - 1])) if k else (-9, -9)
+                if k and kind[a] == 1 and b == s and b - a <= 3:
+                    s = a
+                elif k > 1 and words[k - 1] in "-." and b == s and kind[starts[k - 2]] == 1 and ends[k - 2] == a and ends[k - 2] - starts[k - 2] <= 3:
+                    s = int(starts[k - 2])
+                elif k and kind[a] == 1 and b == s - 1 and c in " \u00a0" and b - a <= 3 and words[k - 1].isupper() and not _OF_CHUNK.intersection(_CUES_OF.get(low(k - 1), ())):
+                    m = _NUMBER.match(joined, a)
+                    if m and sum(map(str.isdigit, m.group())) >= 6:
+                        s = a
+                c = joined[s - 1] if s else " "
+                if c.isalnum() or c in "_$€£@":
+                    return
+                m = _NUMBER.match(joined, s)
+            if m and sum(map(str.isdigit, m.group())) >= least:
+                take(m, "N", "number")
+
+        if len(runs):
+            p = starts[runs]
+            inside = count[np.minimum(p + 30, len(joined))] - count[p]
+            for k, s in zip(runs[inside >= 7].tolist(), p[inside >= 7].tolist()):
+                number(k, s, 7)
+            for k, s in zip(runs.tolist(), p.tolist()):
+                c = joined[s - 1] if s else " "
+                if ends[k] - s <= 5 and not taken[s] and not (c.isalnum() or c in "_$.,/-€£#@"):
+                    m = _STREET_FIRST.match(joined, s)
+                    if m:
+                        take(m, "A", "street")
+                    else:
+                        take(_STREET_CAPITALS.match(joined, s), "A", "capitals")
+        for k in where_word(lambda w: w.lower() in _CALLE or len(w) > 2 and w.lower().endswith(_GASSE)):
+            if low(k) in _CALLE:
+                take(_STREET_SPANISH.match(joined, int(starts[k])), "A", "calle")
+            elif k + 2 < len(words):
+                # the name may have parts before a hyphen
+                j = k
+                while j > 1 and words[j - 1] == "-" and starts[j] == ends[j - 1] and starts[j - 1] == ends[j - 2]:
+                    j -= 2
+                m = _STREET_GERMAN.match(joined, int(starts[j]))
+                if m and taken.find(1, m.start(), m.end()) < 0:
+                    # words before may be part of it: am, alte, an der; the field decides
+                    i = j
+                    while i and j - i < (2 if low(i - 1) in ("der", "dem", "den") else 1) and kind[starts[i - 1]] == 1 and ends[i - 1] == starts[i] - 1 and owner[i - 1] == owner[j] and lines[starts[i - 1]] == lines[starts[j]] and not taken[starts[i - 1]]:
+                        i -= 1
+                    taken[starts[i] : m.end()] = b"\1" * (m.end() - int(starts[i]))
+                    found.append((int(starts[i]), m.end(), "A", "gasse", m.end()))
+                    lead[int(starts[i])] = int(starts[j])
+        if len(runs):
+            for k, s in zip(runs[inside >= 5].tolist(), p[inside >= 5].tolist()):
+                number(k, s, 5)
+        index_of = {int(s): k for k, s in enumerate(starts.tolist())} if found else {}
+        n = len(words)
+        for s, e, what, form, tail in sorted(found):
+            k = index_of.get(s)
+            if k is None:
+                continue
+            j = k
+            while j < n and starts[j] < e:
+                j += 1
+            d = owner[k]
+            line_from, line_to = lines[s], lines[e]
+            left: list[str] = []
+            right: list[str] = []
+            near_left = near_right = "-"
+            for i in range(k - 1, max(-1, k - 1 - _NEAR), -1):
+                if owner[i] != d or lines[starts[i]] < line_from - 1:
+                    break
+                if kind[starts[i]] == 1 or not left:
+                    left.append(low(i))
+                if words[i] in ".!?" and words[i + 1][:1].isupper():
+                    break
+                if near_left == "-":
+                    near_left = "+".join(c for c in _CUES_OF.get(low(i), ()) if c in _OF_CHUNK) or "-"
+            for i in range(j, min(n, j + _NEAR)):
+                if owner[i] != d or lines[starts[i]] > line_to:
+                    break
+                if words[i] in ".!?" and right:
+                    break
+                right.append(low(i))
+                if near_right == "-":
+                    near_right = "+".join(c for c in _CUES_OF.get(low(i), ()) if c in _OF_CHUNK) or "-"
+            outline = _outline(joined[s:e])
+            groups = "-".join(str(len(x)) for x in re.findall(r"\d+", joined[s:e]))
+            head, last = ("A" if outline[:1] == "A" else outline[:1]), outline[-1:]
+            lefts = [w for w in left if w and (w[0].isalpha())][:2]
+            about = [f"f{form}", f"cl{near_left}", f"cr{near_right}", f"c{near_left}/{near_right}", f"<{lefts[0] if lefts else ''}", f"<<{' '.join(lefts)}", f"l{left[0] if left else ''}", f">{right[0] if right else ''}"]
+            if what == "N":
+                digits = sum(c == "9" for c in outline)
+                zero = joined[s : s + 2].startswith("0")
+                about += [f"|{outline}", f"g{groups}", f"h{head}{last}{digits}", f"z{zero}{digits}", f"|{outline}{near_left}", f"g{groups}{near_left}/{near_right}", f"h{head}{last}{near_left}", f"h{head}{last}{near_left}/{near_right}"]
+            elif what == "A":
+                about += [f"u{sum(w[:1].isupper() for w in words[k:j] if w[:1].isalpha()) > 0}{form}", f"n{min(j - k, 8)}{form}"]
+            at = self.at[k:j].tolist()
+            self.inside[what] += at
+            if what == "E":
+                span = (int(s - base[d]), int(e - base[d]))
+                self.hull.update(dict.fromkeys(at, span))
+            for i, t in enumerate(at):
+                sure = lead.get(s, s)
+                where = "P" if starts[k + i] < sure else "T" if starts[k + i] >= tail else "B" if starts[k + i] == sure else "I"
+                tag = what + where
+                self.extra.append((t, tag))
+                self.extra += [(t, f"{tag}{x}") for x in about]
+            if j < n and owner[j] == d:
+                self.extra.append((int(self.at[j]), "after" + what))
+            if k and owner[k - 1] == d:
+                self.extra.append((int(self.at[k - 1]), "before" + what))
+
+
+def _word_features(word: str, names: dict[str, str], known: frozenset[str] | None, words: dict[str, str]) -> tuple[list[str], str]:
     """Features of a word for any offset, and its class for pairs of neighbours."""
     if not word:
-        return ["pad"], "pad"
+        return ["pad"], "pad|pad"
     low, s = word.lower(), shape(word)
-    listed = names.get(low, "-") if word[0].isalpha() else "-"
-    seen = known is None or low in known
-    novel = word[0].isalpha() and not seen
-    kind = f"{s}{listed}{'?' if novel else ''}"
-    return [f"w{low}" if seen else "w?", f"s{s}", f"g{listed}", f"c{kind}"], kind
+    letters = word[0].isalpha()
+    listed = names.get(low, "-") if letters else "-"
+    common = words.get(low, "n") if letters else "-"
+    cues = _CUES_OF.get(low, ())
+    kind = f"{s}{listed}{common}{cues[0] if cues else ''}|{s if letters or not low.isdigit() else 'd'}{'L' if listed != '-' else ''}"
+    out = [f"s{s}", f"g{listed}", f"x{common}", f"c{s}{listed}{common}", *(f"k{c}" for c in cues), *(f"k{c}{s}" for c in cues)]
+    if known is None or low in known:
+        out.append(f"w{low}")
+    if letters and not cues:
+        out.append(f"nk{s}{listed}{common}")
+    return out, kind
+
+
+_DETERMINERS = frozenset("the a an our my your his her their this that der die das ein eine el la los las un una le les une des du unser mein mi su mon ma notre".split())
+_RUN = 5
+
+
+def _run_class(word: str) -> tuple[bool, bool, str, str]:
+    """(capitalised, joins capitalised words, cue at the end of a run of them, class as the word before such a run)."""
+    if not word:
+        return False, False, "", "pad"
+    low, cues = word.lower(), _CUES_OF.get(word.lower(), ())
+    if not word[0].isalpha():
+        return False, word in "-.&'’", "", word if word in ".,:;!?()-\"“>" else "#"
+    if word[0].isupper():
+        return True, False, next((c for c in cues if c in ("firm", "town", "street")), ""), "cap"
+    return False, low == "s", "", cues[0] if cues else "det" if low in _DETERMINERS else "low"
+
+
+def _runs(texts: Texts) -> list[tuple[list[str], np.ndarray]]:
+    """Features of the capitalised words of a batch: what their run of capitalised words ends with, within a few words, and
+    what stands before it; per feature the names and the tokens' numbers among them."""
+    info = [_run_class(w) for w in texts.distinct]
+    ahead_names, back_names = sorted({x[2] for x in info} | {""}), sorted({x[3] for x in info} | {""})
+    a_of, b_of = {x: i for i, x in enumerate(ahead_names)}, {x: i for i, x in enumerate(back_names)}
+    at = texts.index
+    cap = np.fromiter((x[0] for x in info), bool, len(info))[at]
+    goes = cap | np.fromiter((x[1] for x in info), bool, len(info))[at]
+    ahead = np.fromiter((a_of[x[2]] for x in info), np.int64, len(info))[at]
+    back = np.fromiter((b_of[x[3]] for x in info), np.int64, len(info))[at]
+    line = texts.gaps < 2
+    none_a, none_b = a_of[""], b_of[""]
+    end, before = np.full(len(at), none_a), np.full(len(at), none_b)
+    going, coming = cap.copy(), cap.copy()
+    for d in range(1, _RUN + 1):
+        going &= np.roll(goes & line, -d)
+        here = np.roll(ahead, -d)
+        end = np.where(going & (end == none_a), here, end)
+        open_ = np.roll(goes, d)
+        ended = coming & ~(open_ & np.roll(line, d - 1))
+        before = np.where(ended & (before == none_b), np.where(np.roll(line, d - 1), np.roll(back, d), b_of.get("pad", none_b)), before)
+        coming &= ~ended
+    return [(["r" + x for x in ahead_names], end), (["R" + x for x in back_names], before), ([f"rR{x}/{y}" for x in ahead_names for y in back_names], end * len(back_names) + before)]
 
 
 class Field:
-    """Weights of the conditional random field."""
+    """Weights of the conditional random field. Outside of a text the label is O."""
 
-    def __init__(self, features: dict[str, int], weights: np.ndarray, moves: np.ndarray, known: frozenset[str]):
-        self.features, self.weights, self.moves, self.known = features, weights, moves, known
+    def __init__(self, features: dict[str, int], weights: np.ndarray, moves: np.ndarray, known: frozenset[str], words: dict[str, str]):
+        self.features, self.weights, self.moves, self.known, self.words = features, weights, moves, known, words
         self.cache: tuple | None = None
+        self.listed: object = None
 
-    def _rows(self, words: list[str], names: dict[str, str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def use_list(self, listed: object) -> None:
+        """What is kept of words holds for one list of names only."""
+        if self.listed is not listed:
+            self.listed, self.cache = listed, None
+
+    def _rows(self, texts: Texts, names: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of words in the tables of scores and classes, which are kept from batch to batch up to a bound."""
-        if self.cache is None or self.cache[0] is not names or len(self.cache[1]) > _CACHE_WORDS:
-            self.cache = (names, {}, np.zeros((1024, len(_OFFSETS), len(LABELS)), np.float32), np.zeros(1024, np.int64), {})
-        _, of, table, class_of, classes = self.cache
+        if self.cache is None or len(self.cache[0]) > _CACHE_WORDS or len(self.cache[3]) > _CLASSES - 200:
+            table = np.zeros((1024, len(_OFFSETS), len(LABELS)), np.float32)
+            known_pairs = [np.full(_CLASSES * _CLASSES, -1, np.int32) for _ in _PAIRS]
+            self.cache = ({}, table, np.zeros(1024, np.int64), {}, known_pairs, [np.zeros((0, len(LABELS)), np.float32) for _ in _PAIRS])
+        of, table, class_of, classes, known_pairs, scored = self.cache
         f, w = self.features, self.weights
-        for word in set(words).difference(of):
+        for word in texts.distinct:
+            if word in of:
+                continue
             k = of[word] = len(of)
             if k == len(table):
                 table, class_of = np.concatenate((table, np.zeros_like(table))), np.concatenate((class_of, np.zeros_like(class_of)))
-            described, kind = _word_features(word, names, self.known)
-            class_of[k] = classes.setdefault(kind, len(classes))
+            described, kind = _word_features(word, names, self.known, self.words)
+            class_of[k] = classes.setdefault(kind, min(len(classes), _CLASSES - 1))
             for o, offset in enumerate(_OFFSETS):
                 ids = [f[x] for x in (f"{offset}{y}" for y in described) if x in f]
                 if ids:
                     table[k, o] = w[ids].sum(0)
-        self.cache = (names, of, table, class_of, classes)
-        index = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
-        return index, table, list(classes)
+        self.cache = (of, table, class_of, classes, known_pairs, scored)
+        index = np.fromiter(map(of.__getitem__, texts.distinct), np.int64, len(texts.distinct))[texts.index]
+        return index, table, class_of[index]
 
     def scores(self, texts: Texts, names: dict[str, str]) -> np.ndarray:
         """Score of each label at each token, added up from tables of distinct words and of distinct pairs."""
-        index, table, names_ = self._rows(texts.words, names)
+        index, table, of = self._rows(texts, names)
         n, labels = len(index), len(LABELS)
         out = np.zeros((n, labels), np.float32)
         f, w = self.features, self.weights
         for o, offset in enumerate(_OFFSETS):
             out += table[np.roll(index, -offset), o]
-        of = self.cache[3][index]
-        for o in (-1, 1):
-            pair = of * len(names_) + np.roll(of, -o)
-            pairs, back = np.unique(pair, return_inverse=True)
-            table = np.zeros((len(pairs), labels), np.float32)
-            for k, p in enumerate(pairs.tolist()):
-                i = f.get(f"p{o}{names_[p // len(names_)]} {names_[p % len(names_)]}")
-                if i is not None:
-                    table[k] = w[i]
-            out += table[back]
+        classes, known_pairs, scored = list(self.cache[3]), self.cache[4], self.cache[5]
+        for k, pairs_of in enumerate(_PAIRS):
+            _, a, b = pairs_of
+            pair = np.roll(of, -a) * _CLASSES + np.roll(of, -b)
+            fresh = np.unique(pair[known_pairs[k][pair] < 0])
+            if len(fresh):
+                rows = np.zeros((len(fresh), labels), np.float32)
+                for r, p in enumerate(fresh.tolist()):
+                    for x in _pair_features(pairs_of, classes[p // _CLASSES], classes[p % _CLASSES]):
+                        i = f.get(x)
+                        if i is not None:
+                            rows[r] += w[i]
+                known_pairs[k][fresh] = len(scored[k]) + np.arange(len(fresh))
+                scored[k] = np.concatenate((scored[k], rows))
+            out += scored[k][known_pairs[k][pair]]
         for o in (0, 1):
-            table = np.zeros((4, labels), np.float32)
-            for g in range(4):
-                i = f.get(f"b{o}{g}")
-                if i is not None:
-                    table[g] = w[i]
-            out += table[np.roll(texts.gaps, -o)]
+            ids = [f.get(f"b{o}{g}", -1) for g in range(4)]
+            out += np.stack([w[i] if i >= 0 else np.zeros(labels, np.float32) for i in ids])[np.roll(texts.gaps, -o)]
+        for run_names, of_token in _runs(texts):
+            ids = [f.get(x, -1) for x in run_names]
+            out += np.stack([w[i] if i >= 0 else np.zeros(labels, np.float32) for i in ids])[of_token]
         where = [(t, f[x]) for t, x in texts.extra if x in f]
         if where:
             t, i = np.array(where).T
             np.add.at(out, t, w[i].astype(np.float32))
-        for kind, chunk in _WITHIN.items():
-            outside = np.ones(n, bool)
-            outside[texts.inside[chunk]] = False
-            for k, label in enumerate(LABELS):
-                if label[2:] == kind:
-                    out[outside, k] = -1e4
-        # a name is on one line, has no digits, and is no part of an address of the other kinds
-        never = np.fromiter((w[:1].isdigit() for w in texts.words), bool, n)
-        never[texts.inside["E"]] = never[texts.inside["N"]] = True
-        out[never, LABELS.index("B-name")] = out[never, LABELS.index("I-name")] = -1e4
-        out[texts.gaps == 2, LABELS.index("I-name")] = -1e4
+        out[~allowed_at(texts)] = _NEVER
         return out
 
-    def decode(self, texts: Texts, names: dict[str, str], room: int = 400_000) -> list[np.ndarray]:
-        """The best labels of each text, texts of similar length at a time."""
+    def decode(self, texts: Texts, names: dict[str, str]) -> np.ndarray:
+        """The best label of each token. O is certain at a token where it beats every other label by more than any change
+        of moves can bring back; what lies between such tokens is decoded on its own."""
         score, moves = self.scores(texts, names), self.moves.astype(np.float32)
-        order = np.argsort(texts.sizes, kind="stable")
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(order)
-        i = 0
+        labels = np.zeros(len(score), np.int8)
+        open_ = np.flatnonzero(score[:, 0] - score[:, 1:].max(1) <= self._slack(score))
+        if not len(open_):
+            return labels
+        heads = np.flatnonzero(np.diff(open_, prepend=-2) > 1)
+        sizes, first = np.diff(np.append(heads, len(open_))), open_[heads]
+        # outside of chunks there are names only
+        names_only = np.maximum.reduceat(score[open_][:, [k for k in range(len(LABELS)) if k not in _NAME_LABELS]].max(1), heads) < _NEVER / 2
+        for some, among in ((names_only, np.array(_NAME_LABELS)), (~names_only, np.arange(len(LABELS)))):
+            self._best_paths(score, moves[np.ix_(among, among)], among, first[some], sizes[some], labels)
+        return labels
+
+    @staticmethod
+    def _best_paths(score: np.ndarray, moves: np.ndarray, among: np.ndarray, first: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
+        """Writes the best labels of the stretches from first on, which O surrounds; stretches of like length together."""
+        order = np.argsort(sizes, kind="stable")
+        i, n = 0, len(among)
         while i < len(order):
-            j, longest = i, 1
-            while j < len(order) and max(1, texts.sizes[order[j]]) * (j - i + 1) <= max(room, texts.sizes[order[i]]):
-                longest = max(longest, texts.sizes[order[j]])
+            j = i
+            while j < len(order) and sizes[order[j]] <= max(16, 2 * sizes[order[i]]) and (j == i or (j - i + 1) * sizes[order[j]] <= _ROOM):
                 j += 1
-            j = max(j, i + 1)
             group = order[i:j]
-            longest = int(max(1, texts.sizes[group].max()))
-            first = np.array(texts.first)[group]
-            at = np.minimum(first[:, None] + np.arange(longest), len(score) - 1)
-            e = score[at]
-            best, back = e[:, 0] + self._begin(), np.zeros((len(group), longest, len(LABELS)), np.int8)
-            done = texts.sizes[group]
+            done, longest = sizes[group], int(sizes[group].max())
+            at = np.minimum(first[group][:, None] + np.arange(longest), len(score) - 1)
+            e = score[at][:, :, among]
+            best, back = e[:, 0] + moves[0], np.zeros((len(group), longest, n), np.int8)
             finals = np.zeros(len(group), np.int64)
-            finals[done <= 1] = best[done <= 1].argmax(1)
-            for t in range(1, longest):
-                total = best[:, :, None] + moves[None]
-                back[:, t] = total.argmax(1)
-                best = np.take_along_axis(total, back[:, t].astype(np.int64)[:, None, :], 1)[:, 0] + e[:, t]
+            for t in range(longest):
+                if t:
+                    step, top = np.zeros((len(group), n), np.int8), best[:, :1] + moves[0]
+                    for k in range(1, n):
+                        total = best[:, k : k + 1] + moves[k]
+                        higher = total > top
+                        step[higher] = k
+                        top = np.maximum(top, total)
+                    back[:, t] = step
+                    best = top + e[:, t]
                 ended = done == t + 1
                 if ended.any():
-                    finals[ended] = best[ended].argmax(1)
-            rows = np.arange(len(group))
-            labels = np.zeros((len(group), longest), np.int8)
-            now = finals
+                    finals[ended] = (best[ended] + moves[:, 0]).argmax(1)
+            rows, now = np.arange(len(group)), finals
             for t in range(longest - 1, -1, -1):
                 inside = t < done
-                labels[inside, t] = now[inside]
-                step = back[rows, t, now]
-                now = np.where(inside & (t > 0), step, now)
-            for k, d in enumerate(group.tolist()):
-                out[d] = labels[k, : texts.sizes[d]]
+                labels[at[inside, t]] = among[now[inside]]
+                if t:
+                    now = np.where(inside, back[rows, t, now], now)
             i = j
-        return out
 
-    @staticmethod
-    def _begin() -> np.ndarray:
-        """A text cannot begin inside a piece."""
-        return np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS], np.float32)
+    def _slack(self, score: np.ndarray) -> np.ndarray:
+        """Per token, how far below O any label may lie and still be part of the best path. Instead of label y between p and q
+        there may be O; if q goes on with the piece of y, the piece then begins at q, which costs what the beginning is worse
+        than the inside there, and what its moves are worse."""
+        m, n = self.moves, len(LABELS)
+        ok = allowed_moves()
+        most = 0.0
+        for y in range(1, n):
+            into = np.where(ok[:, y], m[:, y] - m[:, 0], -np.inf).max()
+            for q in range(n):
+                if ok[y, q]:
+                    r = q if LABELS[q][0] != "I" else q - 1
+                    most = max(most, into + m[y, q] - m[0, r])
+        inner = [k for k in range(n) if LABELS[k][0] == "I"]
+        further = max([0.0, *(float(np.where(ok[k], m[k] - m[k - 1], -np.inf).max()) for k in inner)])
+        worse = np.maximum(0.0, np.stack([np.where(score[:, k] > _NEVER / 2, score[:, k] - np.maximum(score[:, k - 1], -1e6), 0.0) for k in inner]).max(0))
+        return most + further + np.roll(worse, -1) + 1e-3
+
+
+def _pair_features(pairs_of: tuple[str, int, int], a: str, b: str) -> tuple[str, str]:
+    """Of two words' classes, and of their case alone."""
+    return f"{pairs_of[0]}{a} {b}", f"{pairs_of[0]}|{a.rpartition('|')[2]} {b.rpartition('|')[2]}"
+
+
+#: Pairs of word classes: name, and the offsets of the two.
+_PAIRS = (("p-", -1, 0), ("p+", 0, 1), ("p=", -1, 1), ("p<", -2, -1))
+_CACHE_WORDS = 100_000
+_CLASSES = 1024
+_ROOM = 400_000
+_NEVER = np.float32(-1e4)
+_IN_NAMES = frozenset(".,-'’")
+_NAME_LABELS = [k for k, x in enumerate(LABELS) if x == "O" or x.endswith("-name")]
+#: The kinds that only a chunk of some type can be.
+_WITHIN = {"email": "E", "phone": "N", "id_number": "N", "address": "A"}
+
+
+def allowed_at(texts: Texts) -> np.ndarray:
+    """Which labels a token can have: what is written as an address or a number, a name on one line without digits and no
+    part of the others. Outside of the texts there is O only."""
+    ok = np.ones((texts.size, len(LABELS)), bool)
+    real = np.zeros(texts.size, bool)
+    real[texts.at] = True
+    ok[~real, 1:] = False
+    for kind, chunk in _WITHIN.items():
+        outside = np.ones(texts.size, bool)
+        outside[texts.inside[chunk]] = False
+        for k, label in enumerate(LABELS):
+            if label[2:] == kind:
+                ok[outside, k] = False
+    letters = texts.each(lambda w: w[:1].isalpha(), bool)
+    within = letters | texts.each(lambda w: w in _IN_NAMES, bool)
+    for part in "EN":
+        letters[texts.inside[part]] = within[texts.inside[part]] = False
+    ok[~letters, LABELS.index("B-name")] = ok[~within, LABELS.index("I-name")] = False
+    ok[texts.gaps >= 2, LABELS.index("I-name")] = False
+    return ok
+
+
+def allowed_moves() -> np.ndarray:
+    """A move into the inside of a piece comes from its beginning or its inside only."""
+    ok = np.ones((len(LABELS), len(LABELS)), bool)
+    for j, to in enumerate(LABELS):
+        if to[0] == "I":
+            for i, start in enumerate(LABELS):
+                ok[i, j] = start[1:] == to[1:]
+    return ok
 
 
 class _Sum:
@@ -298,57 +608,52 @@ class _Sum:
         return self._apply(self.sides[1], x)
 
 
-def _allowed() -> np.ndarray:
-    """A move into the inside of a piece comes from its beginning or its inside only."""
-    ok = np.ones((len(LABELS), len(LABELS)), bool)
-    for j, to in enumerate(LABELS):
-        if to[0] == "I":
-            for i, start in enumerate(LABELS):
-                ok[i, j] = start[1:] == to[1:]
-    return ok
-
-
 def _gold(texts: Texts, rows: list) -> np.ndarray:
-    y = np.zeros(len(texts.words), np.int64)
+    """Labels of the tokens; a token of a piece that begins inside of another token's chunk keeps the piece's label."""
+    y = np.zeros(texts.size, np.int64)
     for d, (_, spans) in enumerate(rows):
-        for t in range(texts.first[d], texts.first[d] + int(texts.sizes[d])):
-            for a, b, kind in spans:
+        span = range(texts.first[d], texts.first[d] + int(texts.sizes[d]))
+        for a, b, kind in spans:
+            begun = False
+            for t in span:
                 if a <= texts.start[t] < b:
-                    y[t] = LABELS.index(("B-" if texts.start[t] == a else "I-") + kind)
+                    y[t] = LABELS.index(("I-" if begun else "B-") + kind)
+                    begun = True
     return y
 
 
-_trained: dict[tuple, Field] = {}
+def known_words(sentences: list[str], least: int = KNOWN_IN) -> frozenset[str]:
+    """Words that stand in so many of the sentences, slots left out."""
+    seen: dict[str, int] = defaultdict(int)
+    for s in sentences:
+        for w in {x.lower() for x in _TOKEN.findall(re.sub(r"<[^<>]*>", " ", s)) if x[0].isalpha()}:
+            seen[w] += 1
+    return frozenset(w for w, n in seen.items() if n >= least)
 
 
-def train(rows: int = TRAIN_ROWS, steps: int = STEPS, seed: int = 20) -> Field:
-    """The field trained on so many rows of the labelled table; the bound is the parameter, whatever the data."""
-    if (rows, steps, seed) in _trained:
-        return _trained[rows, steps, seed]
-    table, names = labelled_rows(rows, seed)
+def fit(rows: list, names: dict[str, str], known: frozenset[str], words: dict[str, str], steps: int = STEPS, least: int = 4, decay: float = 0.5) -> Field:
+    """The field of the highest penalised likelihood on labelled rows, after so many steps."""
     # long texts first: those that go on at a step are then the first ones
-    table.sort(key=lambda row: -sum(1 for _ in _TOKEN.finditer(row[0])))
-    texts = Texts([t for t, _ in table])
-    gold = _gold(texts, table)
-    # a word is known if it stands outside of the pieces in two rows or more: names and numbers stay unknown, as they will be
-    seen = Counter()
-    for d in range(len(table)):
-        span = range(texts.first[d], texts.first[d] + int(texts.sizes[d]))
-        seen.update({texts.words[t].lower() for t in span if gold[t] == 0 and texts.words[t][0].isalpha()})
-    known = frozenset(w for w, n in seen.items() if n >= 6)
-    described = {w: _word_features(w, names, known) for w in set(texts.words)}
+    rows = sorted(rows, key=lambda row: -sum(1 for _ in _TOKEN.finditer(row[0])))
+    texts = Texts([t for t, _ in rows])
+    gold, possible = _gold(texts, rows), allowed_at(texts)
+    # a piece that the outer form does not meet cannot be learned as one
+    gold[~possible[np.arange(texts.size), gold]] = 0
+    inner = np.array([x[0] == "I" for x in LABELS])
+    lost = inner[gold] & ~allowed_moves()[np.roll(gold, 1), gold]
+    gold[lost] -= 1
+    described = {w: _word_features(w, names, known, words) for w in texts.distinct}
     number: dict[str, int] = {}
     memo = {w: [[number.setdefault(f"{o}{y}", len(number)) for y in x] for o in _OFFSETS] for w, (x, _) in described.items()}
-    real = np.zeros(len(texts.words), bool)
-    for d in range(len(table)):
-        real[texts.first[d] : texts.first[d] + int(texts.sizes[d])] = True
     # two steps from weights to scores: features of distinct words by offset, and tokens by word; other features directly
-    distinct: dict[str, int] = {}
-    index = np.fromiter((distinct.setdefault(w, len(distinct)) for w in texts.words), np.int64, len(texts.words))
+    distinct, index = {w: i for i, w in enumerate(texts.distinct)}, texts.index
+    word_at = [texts.distinct[i] for i in index.tolist()]
     owner, numbers = array("i"), array("i")
-    for t in np.flatnonzero(real).tolist():
-        own = [number.setdefault(f"p{o}{described[texts.words[t]][1]} {described[texts.words[t + o]][1]}", len(number)) for o in (-1, 1)]
+    runs = _runs(texts)
+    for t in texts.at.tolist():
+        own = [number.setdefault(x, len(number)) for p in _PAIRS for x in _pair_features(p, described[word_at[t + p[1]]][1], described[word_at[t + p[2]]][1])]
         own += [number.setdefault(f"b{o}{texts.gaps[t + o]}", len(number)) for o in (0, 1)]
+        own += [number.setdefault(x[of_token[t]], len(number)) for x, of_token in runs]
         owner.extend([t] * len(own))
         numbers.extend(own)
     for t, x in texts.extra:
@@ -358,43 +663,47 @@ def train(rows: int = TRAIN_ROWS, steps: int = STEPS, seed: int = 20) -> Field:
     often = np.bincount(direct, minlength=len(number))
     cells = [(k * len(distinct) + distinct[w], i) for w, x in memo.items() for k in range(len(_OFFSETS)) for i in x[k]]
     cell, of_cell = np.array(cells).T
-    uses = np.concatenate([np.bincount(index[np.minimum(np.flatnonzero(real) + o, len(index) - 1)], minlength=len(distinct)) for o in _OFFSETS])
+    places = texts.at
+    uses = np.concatenate([np.bincount(index[places + o], minlength=len(distinct)) for o in _OFFSETS])
     often = often + np.bincount(of_cell, weights=uses[cell], minlength=len(number))
-    renumber = np.cumsum(often >= 3) - 1
-    features = {x: int(renumber[i]) for x, i in number.items() if often[i] >= 3}
-    keep = often[of_cell] >= 3
+    renumber = np.cumsum(often >= least) - 1
+    features = {x: int(renumber[i]) for x, i in number.items() if often[i] >= least}
+    keep = often[of_cell] >= least
     word_sum = _Sum(cell[keep], renumber[of_cell[keep]], len(distinct) * len(_OFFSETS), len(features))
-    keep = often[direct] >= 3
-    token_sum = _Sum(np.frombuffer(owner, np.int32)[keep], renumber[direct[keep]], len(real), len(features))
-    places = np.flatnonzero(real)
-    by_word = _Sum(np.tile(places, len(_OFFSETS)), np.concatenate([k * len(distinct) + index[places + o] for k, o in enumerate(_OFFSETS)]), len(real), len(distinct) * len(_OFFSETS))
+    keep = often[direct] >= least
+    token_sum = _Sum(np.frombuffer(owner, np.int32)[keep], renumber[direct[keep]], texts.size, len(features))
+    by_word = _Sum(np.tile(places, len(_OFFSETS)), np.concatenate([k * len(distinct) + index[places + o] for k, o in enumerate(_OFFSETS)]), texts.size, len(distinct) * len(_OFFSETS))
 
-    labels, longest = len(LABELS), int(texts.sizes.max())
-    at = np.minimum(np.array(texts.first)[:, None] + np.arange(longest), len(real) - 1)
+    labels, longest, n = len(LABELS), int(texts.sizes.max()), len(rows)
+    at = np.minimum(texts.first[:, None] + np.arange(longest), texts.size - 1)
     alive = np.arange(longest) < texts.sizes[:, None]
     y = np.where(alive, gold[at], 0)
-    ok, begin = _allowed(), np.where(Field._begin() < 0, 0.0, 1.0).astype(np.float32)
+    mask = possible[at].astype(np.float32)
+    ok = allowed_moves()
     going = [int((texts.sizes > t).sum()) for t in range(longest)]
     weights, moves = np.zeros((len(features), labels), np.float32), np.zeros((labels, labels))
     truth = np.zeros((labels, labels))
     both = alive[:, 1:]
     np.add.at(truth, (y[:, :-1][both], y[:, 1:][both]), 1)
+    final = np.maximum(texts.sizes - 1, 0)
+    some = texts.sizes > 0
+    np.add.at(truth, (np.zeros(int(some.sum()), int), y[some, 0]), 1)
+    np.add.at(truth, (y[some, final[some]], np.zeros(int(some.sum()), int)), 1)
     hot = np.eye(labels, dtype=np.float32)
     m, v = [np.zeros_like(weights), np.zeros_like(moves)], [np.zeros_like(weights), np.zeros_like(moves)]
-    n = len(table)
     for step in range(1, steps + 1):
         score = by_word.forward(word_sum.forward(weights)) + token_sum.forward(weights)
         e = score[at]
-        e = np.exp(e - e.max(2, keepdims=True))
+        e = np.exp(e - e.max(2, keepdims=True)) * mask + 1e-12
         a = (np.exp(moves) * ok).astype(np.float32)
         forward = np.zeros((longest, n, labels), np.float32)
-        f = e[:, 0] * begin
+        f = e[:, 0] * a[0]
         for t in range(longest):
             k = going[t]
             f = (f[:k] @ a) * e[:k, t] if t else f
             f = f / f.sum(1, keepdims=True)
             forward[t, :k] = f
-        backward = np.ones((n, labels), np.float32)
+        backward = np.tile(a[:, 0], (n, 1))
         marginal = np.zeros((n, longest, labels), np.float32)
         expected = np.zeros((labels, labels))
         for t in range(longest - 1, -1, -1):
@@ -407,61 +716,112 @@ def train(rows: int = TRAIN_ROWS, steps: int = STEPS, seed: int = 20) -> Field:
                 expected += a * ((forward[t - 1, :k] / z[:, None]).T @ right)
                 back = right @ a.T
                 backward[:k] = back / back.sum(1, keepdims=True)
-        grad_at = np.zeros((len(real), labels), np.float32)
+        expected[0] += marginal[some, 0].sum(0)
+        expected[:, 0] += marginal[some, final[some]].sum(0)
+        grad_at = np.zeros((texts.size, labels), np.float32)
         grad_at[at[alive]] = hot[y[alive]] - marginal[alive]
         g = word_sum.backward(by_word.backward(grad_at)) + token_sum.backward(grad_at)
-        grads = [g - 0.3 * weights, truth - expected - 0.1 * moves]
+        grads = [g - decay * weights, truth - expected - 0.1 * moves]
         for k, x in enumerate((weights, moves)):
             m[k] = 0.9 * m[k] + 0.1 * grads[k]
             v[k] = 0.98 * v[k] + 0.02 * grads[k] ** 2
             rate = 0.15 if step < steps * 0.7 else 0.05
             x += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-3)
-    out = Field(features, weights, np.where(ok, moves, -1e4), known)
-    _trained[rows, steps, seed] = out
-    return out
-
-
-def pieces(field: Field, names: dict[str, str], texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Per text: (start, end, kind) of each piece of personal information, in order."""
+    return Field(features, weights, np.where(ok, moves, _NEVER), known, words)
+
+
+_trained: dict[str, Field] = {}
+
+
+def train(spark: SparkSession | None = None, rows: int = TRAIN_ROWS, steps: int = STEPS, seed: int = 20, words: tuple[str, ...] = LEXICON) -> Field:
+    """The field trained on so many rows of the labelled table; the bound is the parameter, whatever the data. With a session
+    its weights are kept in the shared folder, under a name made of all they depend on, and read from there the next time."""
+    of = inspect.getsource(pii_table) + inspect.getsource(inspect.getmodule(fit)) + repr((rows, steps, seed, words))
+    key = hashlib.md5(of.encode()).hexdigest()
+    if key in _trained:
+        return _trained[key]
+    path, stored = (f"{shared_folder(spark)}/field-{key}" if spark else None), None
+    if path:
+        try:
+            # as many rows as the training table yields features
+            stored = spark.read.schema("part string, key string, value array<float>").parquet(path).collect()
+        except AnalysisException:
+            stored = None
+    table = pii_table.sentences
+    known = known_words(table(pii_table.CARRIERS) + table(pii_table.NAMES) + table(pii_table.OTHERS))
+    if stored:
+        of_part = {p: [(r.key, r.value) for r in stored if r.part == p] for p in ("feature", "move")}
+        features = {k: i for i, (k, _) in enumerate(of_part["feature"])}
+        moves = np.array([x for _, x in sorted((int(k), x) for k, x in of_part["move"])])
+        field = Field(features, np.array([x for _, x in of_part["feature"]], np.float32), moves, known, lexicon(words))
+    else:
+        labelled, names = labelled_rows(rows, seed)
+        field = fit(labelled, names, known, lexicon(words), steps)
+        if path:
+            kept = [("feature", k, field.weights[i].tolist()) for k, i in field.features.items()] + [("move", str(i), [float(x) for x in row]) for i, row in enumerate(field.moves)]
+            spark.createDataFrame(kept, "part string, key string, value array<float>").coalesce(1).write.mode("overwrite").parquet(path)
+    _trained[key] = field
+    return field
+
+
+def pieces(field: Field, names: dict[str, str], texts: list[str], listed: object = None) -> list[list[tuple[int, int, str]]]:
+    """Per text: (start, end, kind) of each piece of personal information, in order. names holds at least the texts' words
+    that are on the list of names; where it is only a part of one, `listed` stands for the whole list."""
+    field.use_list(names if listed is None else listed)
     batch = Texts(texts)
-    out = []
-    for d, labels in enumerate(field.decode(batch, names)):
-        found: list[list] = []
-        for k in np.flatnonzero(labels).tolist():
-            prefix, kind = LABELS[labels[k]].split("-", 1)
-            t = batch.first[d] + k
-            if kind == "email":
-                # an e-mail address is the whole chunk, or none of it
-                if not found or found[-1][:2] != list(batch.hull[t]):
-                    found.append([*batch.hull[t], kind])
-            elif prefix == "B" or not found or found[-1][2] != kind:
-                found.append([batch.start[t], batch.end[t], kind])
-            else:
-                found[-1][1] = batch.end[t]
-        out.append([tuple(x) for x in found])
-    return out
-
-
-def _names(names: DataFrame) -> dict[str, str]:
-    """The list of names, in lower case; at most MOST_NAMES entries, which bounds what is sent to the tasks."""
-    rows = names.where("name is not null").select(F.lower("name").alias("n"), F.when(F.col("name_part") == "given", "G").otherwise("F").alias("p")).distinct().limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    return {r.n: r.p for r in sorted(rows)}
+    labels = field.decode(batch, names)
+    out: list[list] = [[] for _ in texts]
+    marked = np.flatnonzero(labels)
+    owner = np.searchsorted(batch.first, marked, side="right") - 1
+    for t, d in zip(marked.tolist(), owner.tolist()):
+        prefix, kind = LABELS[labels[t]].split("-", 1)
+        found = out[d]
+        if kind == "email":
+            # an e-mail address is the whole chunk, or none of it
+            if not found or found[-1][:2] != list(batch.hull[t]):
+                found.append([*batch.hull[t], kind])
+        elif prefix == "B" or not found or found[-1][2] != kind:
+            found.append([int(batch.start[t]), int(batch.end[t]), kind])
+        else:
+            found[-1][1] = int(batch.end[t])
+    return [[tuple(x) for x in found] for found in out]
+
+
+def _name_table(names: DataFrame) -> DataFrame:
+    """(n, p): names in lower case with G for given or F for family; a name that is both is a given one."""
+    part = F.when(F.col("name_part") == "given", "G").otherwise("F")
+    return names.where("name is not null").select(F.lower("name").alias("n"), part.alias("p")).groupBy("n").agg(F.max("p").alias("p"))
+
+
+def _with_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """rows (d, t) with a map l of the text's words that are listed names, by joins: for lists of any length. Every distinct
+    text is looked at once; a text that many rows repeat is spread over tasks."""
+    keyed = materialise(rows.withColumn("k", F.struct(F.xxhash64("t"), F.xxhash64("t", F.lit(5))).cast("string")), "texts")
+    texts = keyed.where("t is not null").groupBy("k").agg(F.any_value("t").alias("t"))
+    words = texts.select("k", F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("n")).where("n <> ''")
+    named = words.join(listed, "n").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("n", "p"))).alias("l"))
+    return skew_join(keyed.where("k is not null"), named, plan_load(keyed, ["k"]), ["d"], "left").select("d", "t", "l")
 
 
 def _run(docs: DataFrame, doc: str, text: str, names: DataFrame, schema: str, emit) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((train(), _names(names)))
+    spark = docs.sparkSession
+    listed = _name_table(names)
+    few = listed.limit(MOST_NAMES + 1).collect()
+    rows = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"))
+    joined = len(few) > MOST_NAMES
+    rows = _with_listed(rows, listed) if joined else rows
+    sent = spark.sparkContext.broadcast((train(spark), {} if joined else {r.n: r.p for r in few}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field, listed = sent.value
+        field, all_names = sent.value
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.iloc[i : i + 1000]
+            for i in range(0, len(batch), _BATCH):
+                part = batch.iloc[i : i + _BATCH]
                 texts = [t or "" for t in part["t"].tolist()]
-                yield emit(part, texts, pieces(field, listed, texts))
+                own = {n: p for l in part["l"] if l is not None for n, p in (l.items() if isinstance(l, dict) else l)} if joined else all_names
+                yield emit(part, texts, pieces(field, own, texts, all_names))
 
-    return docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def find_pii(docs: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame:
