@@ -12,6 +12,7 @@ no path through another label can win are cut out first, by a bound that keeps t
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import inspect
 import re
@@ -30,7 +31,7 @@ from orebody.llm.pii_table import CUES, KINDS, labelled_rows
 from orebody.operators.skew import TASK, plan_load, skew_join
 from orebody.plans.session import materialise, shared_folder
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 4500
 STEPS = 60
 #: Sentences of the training table in which a word must stand to be a feature itself.
 KNOWN_IN = 5
@@ -41,20 +42,21 @@ LEXICON = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_mu
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 PAD = 3
 _OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
-_NEAR = 6
+_NEAR = 9
 _BATCH = 2000
+_CACHE_WORDS = 100_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 # The outer form of chunks. Whether one is personal, and of which kind, is left to the field.
 _B = "[ \\u00a0\\u202f\\u2009\\t]"
 _EMAIL = re.compile(
-    r"(?<![\w.+-])[\w.+-]*\w(?:@|＠|" + _B + r"?[(\[{]" + _B + r"?(?:at|@|ät)" + _B + r"?[)\]}]" + _B + "?|" + _B + "@" + _B + r")[\w-]+(?:(?:\.|" + _B + r"?[(\[{]" + _B + r"?(?:dot|\.|punkt|punto|point)" + _B + r"?[)\]}]" + _B + r"?|" + _B + "dot" + _B + r")[\w-]+)+"
-    r"|(?<![\w.+-])[\w.+-]*\w" + _B + "(?:at|arroba)" + _B + r"(?!www\.)[\w-]+(?:(?:" + _B + "(?:dot|punto)" + _B + r"|\.)[\w-]+)+", re.I,
+    r"(?<![\w.+-])[\w.+-]*\w(?:@|＠|" + _B + r"?[(\[{]" + _B + r"?(?:at|@|ät)" + _B + r"?[)\]}]" + _B + "?|" + _B + "@" + _B + r")[\w-]+(?:(?:\.|" + _B + r"?[(\[{]" + _B + r"?(?:dot|\.|punkt|punto|point)" + _B + r"?[)\]}]" + _B + r"?|" + _B + "dot" + _B + r")[\w-]+)+", re.I,
 )
+_EMAIL_SPELLED = re.compile(r"(?<![\w.+-])[\w.+-]*\w" + _B + "(?:at|arroba)" + _B + r"(?!www\.)[\w-]+(?:(?:" + _B + "(?:dot|punto)" + _B + r"|\.)[\w-]+)+(?![\w.+-]*" + _B + r"?[@＠(\[{])", re.I)
 #: An address has at most 254 signs, 64 of them before the @ (RFC 5321); with signs and blanks around.
 _BEFORE, _AFTER = 100, 300
 _STREET = "|".join(sorted((w for w in CUES["street"].split() if w not in "rue chemin quai allée impasse cours route calle avenida plaza paseo camino ronda cuesta travesía straße strasse weg gasse allee platz damm ufer".split()), key=len, reverse=True))
-_UNIT = r"(?:\.?,?" + _B + r"*(?:(?:apt|unit|suite|ste|apartment|flat|no)\b\.?" + _B + r"*#?\w{1,5}|\#" + _B + r"?\w{1,5}))?"
+_UNIT = r"(?:\.?,?" + _B + r"*(?:(?:apt|unit|suite|ste|apartment|flat)\b\.?" + _B + r"*#?\w{1,5}|\#" + _B + r"?\w{1,5}))?"
 _NAMED = r"(?:\d{1,3}(?:st|nd|rd|th)\b|[^\W\d_]{1,3}\.|[^\W\d_][\w'’-]*)"
 _STREET_FIRST = re.compile(
     r"\d{1,4}(?:" + _B + r"?(?:bis|ter|[a-d]\b))?,?" + _B + r"+(?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours|route|bd|av)\b\.?" + _B + r"+"
@@ -67,9 +69,11 @@ _STREET_SPANISH = re.compile(r"(?:calle|avenida|avda\.?|plaza|paseo|camino|ronda
 _GASSE = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "damm", "ufer", "ring", "steig")
 _STREET_GERMAN = re.compile(r"[^\W\d_][\w-]*(?:" + "|".join(_GASSE) + r")\.?" + _B + r"+\d{1,4}(?:" + _B + r"?[a-z]\b)?", re.I)
 _NUMBER = re.compile(
-    r"(?:[a-z]{1,3}[-.]?" + _B + r"?)?\d[\da-z]*(?:(?:[./]|" + _B + r"?[-–]" + _B + r"?)[\da-z]*\d[\da-z]*|" + _B + r"\d{2,}(?![\w'’])|" + _B + r"\d(?=" + _B + r"\d))*(?:-?[a-z]\b|" + _B + r"[A-Z]\b)?"
+    r"(?:[a-z]{1,3}[-.]?" + _B + r"?)?\d[\da-z]*(?:(?:[./]|" + _B + r"?[-–]" + _B + r"?)[\da-z]*\d[\da-z]*|" + _B + r"\d{2,}(?![\w'’])|" + _B + r"\d(?=" + _B + r"\d))*(?:-?[a-z]\b)?"
     r"|(?:\+\d{1,3}" + _B + r"?[.-]?)?(?:\(\d{1,5}\)" + _B + r"?[.-]?)?\d+(?:(?:[./]|" + _B + "?[-–]" + _B + r"?)\d+|" + _B + r"\d{2,})*", re.I,
 )
+#: Two letters, groups of digits, and a letter.
+_LETTERED = re.compile(r"[A-Za-z]{1,2}" + _B + r"?\d\d(?:" + _B + r"?\d\d){2,3}" + _B + r"?[A-Za-z]\b")
 _PHONE = re.compile(r"(?:\+\d{1,3}" + _B + r"?[.-]?)?(?:\(\d{1,5}\)" + _B + r"?[.-]?)?\d+(?:(?:[./]|" + _B + "?[-–]" + _B + r"?)\d+|" + _B + r"\d{2,})*")
 
 
@@ -130,6 +134,13 @@ for _c in range(0x110000):
         _CLASS[_c] = 1
 
 
+@functools.lru_cache(_CACHE_WORDS)
+def _mark(word: str) -> int:
+    """1 for what stands for an @, 2 for what begins a Spanish street, 3 for what ends a German one's name, else 0."""
+    low = word.lower()
+    return 1 if low in ("at", "arroba") else 2 if low in _CALLE else 3 if len(low) > 2 and low.endswith(_GASSE) else 0
+
+
 class Texts:
     """Tokens of a batch of texts on one axis, with PAD empty tokens before, between and after them."""
 
@@ -197,16 +208,15 @@ class Texts:
         def low(k: int) -> str:
             return words[k].lower()
 
-        def where_word(test) -> list[int]:
-            return np.flatnonzero(np.fromiter((test(w) for w in self.distinct), bool, len(self.distinct))[plain]).tolist()
+        marks = np.fromiter(map(_mark, self.distinct), np.int8, len(self.distinct))[plain]
 
         signs = np.flatnonzero((sign == 64) | (sign == 0xFF20)).tolist()
         dots = ("dot", "punto", ".")
-        spelled = [k for k in where_word(lambda w: w.lower() in ("at", "arroba")) if any(low(i) in dots for i in range(k + 2, min(k + 9, len(words))))]
-        for p in signs + [int(starts[k]) for k in spelled]:
+        spelled = [k for k in np.flatnonzero(marks == 1).tolist() if any(low(i) in dots for i in range(k + 2, min(k + 9, len(words))))]
+        for p, form in [(p, _EMAIL) for p in signs] + [(int(starts[k]), f) for k in spelled for f in (_EMAIL, _EMAIL_SPELLED)]:
             d = int(np.searchsorted(base, p, side="right")) - 1
             a, b = max(int(base[d]), p - _BEFORE), min(int(base[d + 1]) - 1, p + _AFTER)
-            for m in _EMAIL.finditer(joined, a, b):
+            for m in form.finditer(joined, a, b):
                 if m.start() <= p < m.end():
                     take(m, "E", "@" if "@" in m.group() and " " not in m.group() else "at")
         digit = (kind == 2).astype(np.int32)
@@ -228,13 +238,13 @@ class Texts:
                 elif k > 1 and words[k - 1] in "-." and b == s and kind[starts[k - 2]] == 1 and ends[k - 2] == a and ends[k - 2] - starts[k - 2] <= 3:
                     s = int(starts[k - 2])
                 elif k and kind[a] == 1 and b == s - 1 and c in " \u00a0" and b - a <= 3 and words[k - 1].isupper() and not _OF_CHUNK.intersection(_CUES_OF.get(low(k - 1), ())):
-                    m = _NUMBER.match(joined, a)
+                    m = _LETTERED.match(joined, a) or _NUMBER.match(joined, a)
                     if m and sum(map(str.isdigit, m.group())) >= 6:
                         s = a
                 c = joined[s - 1] if s else " "
                 if c.isalnum() or c in "_$€£@":
                     return
-                m = _NUMBER.match(joined, s)
+                m = (_LETTERED.match(joined, s) if joined[s].isalpha() else None) or _NUMBER.match(joined, s)
             if m and sum(map(str.isdigit, m.group())) >= least:
                 take(m, "N", "number")
 
@@ -251,7 +261,7 @@ class Texts:
                         take(m, "A", "street")
                     else:
                         take(_STREET_CAPITALS.match(joined, s), "A", "capitals")
-        for k in where_word(lambda w: w.lower() in _CALLE or len(w) > 2 and w.lower().endswith(_GASSE)):
+        for k in np.flatnonzero(marks >= 2).tolist():
             if low(k) in _CALLE:
                 take(_STREET_SPANISH.match(joined, int(starts[k])), "A", "calle")
             elif k + 2 < len(words):
@@ -290,7 +300,7 @@ class Texts:
                     break
                 if kind[starts[i]] == 1 or not left:
                     left.append(low(i))
-                if words[i] in ".!?" and words[i + 1][:1].isupper():
+                if words[i] in ".!?" and words[i + 1][:1].isupper() and len(words[i - 1]) > 3:
                     break
                 if near_left == "-":
                     near_left = "+".join(c for c in _CUES_OF.get(low(i), ()) if c in _OF_CHUNK) or "-"
@@ -352,6 +362,7 @@ _DETERMINERS = frozenset("the a an our my your his her their this that der die d
 _RUN = 5
 
 
+@functools.lru_cache(_CACHE_WORDS)
 def _run_class(word: str) -> tuple[bool, bool, str, str]:
     """(capitalised, joins capitalised words, cue at the end of a run of them, class as the word before such a run)."""
     if not word:
@@ -541,7 +552,6 @@ def _pair_features(pairs_of: tuple[str, int, int], a: str, b: str) -> tuple[str,
 
 #: Pairs of word classes: name, and the offsets of the two.
 _PAIRS = (("p-", -1, 0), ("p+", 0, 1), ("p=", -1, 1), ("p<", -2, -1))
-_CACHE_WORDS = 100_000
 _CLASSES = 1024
 _ROOM = 400_000
 _NEVER = np.float32(-1e4)

@@ -33,9 +33,9 @@ CUES = {
 # Sentences with personal information; <k> opens a slot of kind k, a slash before a slot a new line.
 CARRIERS = """
 Drop a line to <email> once the fence is painted.|The choir collects songs under <email>|<email> is where the minutes go|Forward the scan to <email>, would you?|New e-mail since June: <email>|Questions about rent (<email>) are welcome.|cc <email> on everything|from: <email>|To unsubscribe use <email>.|Send your essay via <email>!|The tutor's inbox, <email>, bounced twice.|Puedes mandar las fotos a <email>.|Mi buzón nuevo: <email>|Das Formular geht an <email>.|Unter <email> melden.|Envoyez le dossier sur <email>.|Mon courriel est <email>|[<email>]|reply-to <email>|<Made> a <email>.|<Made> an <email>|<Made> à <email>
-Ring <phone> when the boiler leaks.|Grandma's landline is <phone>.|Dial <phone> for the school office|The plumber left <phone> on the fridge.|phone <phone>|tel. <phone>, mornings|Cell: <phone>|fax no <phone>|Her new mobile is <phone>|Emergency contact <phone>, any hour|Voicemail went to <phone> again|leave a text under <phone>|Number for the caretaker: <phone>|<phone> is engaged all day.|Mi móvil nuevo es el <phone>|Llama mañana al <phone>.|Das Büro hat die <phone>.|Meine Handynummer lautet <phone>|Vous pouvez joindre l'école au <phone>.|Son portable : <phone>|SMS to <phone> please, ext. 7|(<phone>)|<phone>, extension 31|Hotline <phone> / weekdays|<Made> al <phone>.|<Made> le <phone>
-The clerk copied SSN <ssn> onto a napkin.|social security no. <ssn> printed on a payslip|My social is <ssn> and it got leaked|passport <passport> expires in May|The visa desk noted passport number <passport>.|travel document: passport <passport>|Tax number <tax> was typed wrong.|tax identification <tax>|her taxpayer id <tax>|Licence number <licence>, renewed in autumn|my driving license is <licence>|driver license: <licence>|identity card <national>|National identity number <national>|His ID is <national>.|Under citizen id he wrote <national>.|The box for tax id held <tax>.|The guard read passport <passport> over the radio.|On page two stands <ssn>, my social security entry.|They printed <passport> beside the word passport.|<licence> is what my licence says.|The field national id shows <national>|<ssn> (social security)|Her visa form has <passport> under passport.|The landlord asked for my SSN, so I wrote <ssn>.|She dictated her tax number: <tax>.|Mi pasaporte es el <passport>.|DNI <national>|NIE: <national>, caducado|Mein Reisepass hat die Nummer <passport>.|Steuernummer: <tax>|Ausweis <national> verloren|Le passeport <passport> est périmé.|carte d'identité <national>|permis de conduire <licence>|número de identidad <national>|numéro de sécu <ssn>|Sozialversicherung <ssn>|seguridad social <ssn>|social sec. <ssn>|the state wants my SSN: <ssn>|his national id card <national>|(ID <national>)|Her passport (<passport>) was found.|Führerschein <licence>|ID no. <national>|immigration file, passport <passport>, closed
-Our new flat: <address>|We moved to <address> in spring.|The piano goes to <address>, second bell.|Grandpa still lives at <address> with two cats.|Parcel for <address>|deliver to <address> after five|Return to sender: <address>|Take the van to <address>, then ring.|The garage sale is at <address> this Saturday.|address <address>|house keys for <address> are with me|My parents' home, <address>, was sold.|<address>, ground floor|from <address> it is ten minutes on foot|Billing address: <address>, Norwick|bring the ladder over to <address> please|Vivimos en <address> desde enero.|Mi domicilio es <address>|Wir wohnen jetzt <address>, dritter Stock.|Anschrift: <address>|Die Post ging an <address>.|J'ai déménagé au <address>.|Le colis arrive au <address> demain.|adresse <address>|letters reach her at <address>|The choir practises in a barn behind <address>.|<address>|Nobody opened at <address>.
+Ring <phone> when the boiler leaks.|Grandma's landline is <phone>.|Dial <phone> for the school office|The plumber left <phone> on the fridge.|phone <phone>|tel. <phone>, mornings|Cell: <phone>|fax no <phone>|Her new mobile is <phone>|Emergency contact <phone>, any hour|Voicemail went to <phone> again|leave a text under <phone>|Number for the caretaker: <phone>|<phone> is engaged all day.|Mi móvil nuevo es el <phone>|Llama mañana al <phone>.|Das Büro hat die <phone>.|Meine Handynummer lautet <phone>|Vous pouvez joindre l'école au <phone>.|Son portable : <phone>|SMS to <phone> please, ext. 7|(<phone>)|<phone>, extension 31|reach: <phone>|Ring me at <phone>|rang me from <phone>|my cell is <phone> if needed|<name>, (<phone>), has it|call her under <phone> ext. 3|Llámanos al <phone>|Appelle le <phone>|Ruf die <phone> an|The line <phone> is dead.|text the shop: <phone>|who: <name> / phone: <phone>|Hotline <phone> / weekdays|<Made> al <phone>.|<Made> le <phone>
+The clerk copied SSN <ssn> onto a napkin.|social security no. <ssn> printed on a payslip|My social is <ssn> and it got leaked|passport <passport> expires in May|The visa desk noted passport number <passport>.|travel document: passport <passport>|Tax number <tax> was typed wrong.|tax identification <tax>|her taxpayer id <tax>|Licence number <licence>, renewed in autumn|my driving license is <licence>|driver license: <licence>|identity card <national>|National identity number <national>|His ID is <national>.|Under citizen id he wrote <national>.|The box for tax id held <tax>.|The guard read passport <passport> over the radio.|On page two stands <ssn>, my social security entry.|They printed <passport> beside the word passport.|<licence> is what my licence says.|The field national id shows <national>|<ssn> (social security)|Her visa form has <passport> under passport.|The landlord asked for my SSN, so I wrote <ssn>.|She dictated her tax number: <tax>.|Mi pasaporte es el <passport>.|DNI <national>|NIE: <national>, caducado|Mein Reisepass hat die Nummer <passport>.|Steuernummer: <tax>|Ausweis <national> verloren|Le passeport <passport> est périmé.|carte d'identité <national>|permis de conduire <licence>|número de identidad <national>|numéro de sécu <ssn>|Sozialversicherung <ssn>|seguridad social <ssn>|social sec. <ssn>|the state wants my SSN: <ssn>|his national id card <national>|(ID <national>)|Her passport (<passport>) was found.|Führerschein <licence>|ID no. <national>|Where it asks for the licence I put <licence>.|He put <ssn> in the field for social security.|I wrote <passport>, as my passport says.|They demanded SSN <ssn> for a key.|Why print driver license <licence> on it?|On the slip: passport no. <passport>!|tax id no. <tax>|immigration file, passport <passport>, closed
+Our new flat: <address>|We moved to <address> in spring.|The piano goes to <address>, second bell.|Grandpa still lives at <address> with two cats.|Parcel for <address>|deliver to <address> after five|Return to sender: <address>|Take the van to <address>, then ring.|The garage sale is at <address> this Saturday.|address <address>|house keys for <address> are with me|My parents' home, <address>, was sold.|<address>, ground floor|from <address> it is ten minutes on foot|Billing address: <address>, Norwick|bring the ladder over to <address> please|Vivimos en <address> desde enero.|Mi domicilio es <address>|Wir wohnen jetzt <address>, dritter Stock.|Anschrift: <address>|Die Post ging an <address>.|J'ai déménagé au <address>.|Le colis arrive au <address> demain.|adresse <address>|letters reach her at <address>|The choir practises in a barn behind <address>.|<address>|Nobody opened at <address>.|at home: <address>|where: <address>|who, where: <name>, <address>|contact address <address>|please post it to <address>, <place>|<address>, <place>|our address: <address>, <place>.|Wohnort: <address>|reach me here: <address>|<address> (second floor)|Her aunt at <address> bakes.|send the chairs to <address>, <place>|<name>/<address> <place>|Wir sind <address> zu finden.|Estamos en <address>.|Nous sommes au <address>.
 <name>/<address>|<name>/<phone>|<name>/<email>|Cheers,/<name>/<phone>|Love,/<name>|Sincerely,/<name>/<address>|<name> - <phone>|<name> - <email>|coach: <name> - <email>|captain: <name> - <phone>|<name>: <phone>|<name>, <address>|<name> <<email>>|tenant: <name>, flat at <address>|pupil <name>, mother's cell <phone>|sender <name>, <address>|Plumber <name>: <phone>|babysitter <name> (<phone>)|<name> lives at <address>.|<name> can be reached under <phone>.|<name> reads mail at <email>.|Passport of <name>: <passport>|<name>, SSN <ssn>|The form of <name> says <national> for identity card.|ask <name> or write <email>|Keys: <name>, <address>, <phone>|Atentamente,/<name>/<email>|Mit besten Grüßen/<name>/<phone>|Amicalement,/<name>/<address>|<name> (<email>) keeps the list.|<name> (<phone>) has the ladder.|<name> (<address>) won the raffle.|Talk to <name>, <phone>, about the shed.|Talk to <name>, <email>, about the shed.|guest <name> - cell <phone>|tenant <name> - mail <email>|member <name> - lives <address>
 """
 
