@@ -3,9 +3,13 @@
 Queries are the windows of `passage` words of every evaluation text, as sets of five-word shingles. Documents are read in
 overlapping passages of bounded length, so that a window inside a document is wholly inside one of them, and passages are
 partitioned by their number of shingles. In a partition of at most u shingles a contained window of q shingles has a
-similarity of at least q / u, which fixes how many hash functions give the wanted recall. A passage that agrees with a
-window in the minimum of any of its functions is a candidate, and its document is then compared word for word. Windows
-that repeat a shingle are smaller sets than that; passages with any of their shingles are candidates too.
+similarity of at least q / u, which fixes how many hash functions give the wanted recall. The index is a table: the minimum
+of every function over every window, as one number. A passage that has one of them as a minimum of its own is a candidate;
+candidates are joined to the index, and their runs of `passage` words to those of the items, as words. Windows that repeat
+a shingle are smaller sets than the functions are made for; passages with any of their shingles are candidates too.
+
+Most passages have no such minimum. A Bloom filter of the index, of a bounded size whatever the number of items, keeps them
+from being exchanged at all; what it lets through by mistake the joins take out.
 """
 
 from __future__ import annotations
@@ -15,16 +19,22 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.operators.skew import plan_load, skew_join
+from orebody.plans.session import materialise
+
 SHINGLE = 5
 PASSAGE_WORDS = 32
-ITEM_BLOCK = 5_000
+#: Bits of the filter for each number in the index, probes, and the most bits that are sent to the tasks (64 MB).
+BITS_EACH, PROBES, MOST_BITS = 32, 4, 1 << 29
+_BLOCK_BITS = 19
 
 # Elements that begin a new line, marks that are not seen, the hyphen at a line's end.
 _BLOCK = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|blockquote|section|article|pre))(?:\s[^<>@]*)?/?>", re.I)
@@ -62,137 +72,195 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Batch:
+    """Words and shingles of some texts on one axis; the shingles that begin in a text's last words are of no text."""
 
+    def __init__(self, texts: list[str]):
+        self.words = [words_of(t) for t in texts]
+        flat = list(chain.from_iterable(self.words))
+        sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
+        self.base = np.concatenate(([0], np.cumsum(sizes)))
+        self.count = np.maximum(sizes - SHINGLE + 1, 0)
+        of = dict.fromkeys(flat, 0)
+        for w in of:
+            of[w] = xxhash.xxh64_intdigest(w)
+        h = np.fromiter(map(of.__getitem__, flat), np.uint64, len(flat))
+        h = np.concatenate((h, np.zeros(SHINGLE, np.uint64)))
+        out = np.zeros(len(flat) + 1, np.uint64)
+        for i in range(SHINGLE):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
+        self.shingles = _mix(out)
 
-def _shingles(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each position on; for a text of n words the last k - 1 positions are cut off."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return _mix(out)
 
+class Search:
+    """How windows and passages are hashed; a number stands for a function and a minimum, or for a shingle by itself."""
 
-class Index:
-    """MinHash values of all windows of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], passage: int, recall: float, seed: int = 1):
+    def __init__(self, passage: int, recall: float, seed: int = 1):
         self.passage, self.window = passage, passage - SHINGLE + 1
-        self.overlap, length = passage - 1, max(PASSAGE_WORDS, 2 * passage)
-        self.length, self.stride = length, length - self.overlap
-        top = length - SHINGLE + 1
-        self.bounds = sorted({max(self.window, math.ceil(top * x)) for x in (0.45, 0.7, 1.0)})
-        self.functions = [functions_for(self.window, b, recall) for b in self.bounds]
+        self.length = max(PASSAGE_WORDS, 2 * passage)
+        self.span, self.stride = self.length - SHINGLE + 1, self.length - passage + 1
+        self.bounds = sorted({max(self.window, math.ceil(self.span * x)) for x in (0.45, 0.7, 1.0)})
+        self.functions = np.array([functions_for(self.window, b, recall) for b in self.bounds])
         rng = np.random.default_rng(seed)
-        most = max(self.functions)
+        most = int(self.functions.max())
         self.a = rng.integers(0, 1 << 63, most, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.c = rng.integers(0, 1 << 63, most, dtype=np.uint64)
-        self.words = {i: words_of(t) for i, t in items}
-        known: dict[str, int] = {}
-        parts, owner, self.exact = [], [], {}
-        for i, w in self.words.items():
-            h = _hashes(w, known)
-            s = _shingles(h, SHINGLE)
-            n = len(w) - passage + 1
-            if n > 0:
-                parts.append(np.lib.stride_tricks.sliding_window_view(s, self.window))
-                owner.append(np.full(n, i, np.int64))
-                for q, x in enumerate(_shingles(h, passage).tolist()):
-                    self.exact.setdefault(x, []).append((i, q))
-        windows = np.concatenate(parts) if parts else np.zeros((0, self.window), np.uint64)
-        # a window that repeats itself has fewer distinct shingles than the functions are made for: all of them are looked up
-        ordered = np.sort(windows, 1)
-        self.repeats = np.unique(windows[(ordered[:, 1:] == ordered[:, :-1]).any(1)])
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.values = [np.unique((windows * a + c).min(1)) if len(windows) else np.zeros(0, np.uint64) for a, c in zip(self.a, self.c)]
-        self.sorted_exact = np.sort(np.fromiter(self.exact, np.uint64, len(self.exact)))
-
-    def candidates(self, s: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Marks the passages [start, stop) of shingles s that agree with some window in some minimum."""
-        hit, size = np.zeros(len(start), bool), stop - start
-        if not len(self.owner):
-            return hit
-        if len(self.repeats):
-            seen = np.concatenate(([0], np.cumsum(np.isin(s, self.repeats))))
-            hit = seen[stop] > seen[start]
-        least = np.searchsorted(self.bounds, size)
-        pad = np.append(s, np.uint64(0))
-        for k in range(len(self.a)):
-            todo = np.flatnonzero(~hit & (k < np.asarray(self.functions)[np.minimum(least, len(self.bounds) - 1)]))
-            if not len(todo):
-                break
-            values = pad * self.a[k] + self.c[k]
-            low = np.minimum.reduceat(values, np.stack([start[todo], stop[todo]], 1).ravel())[::2]
-            at = np.searchsorted(self.values[k], low)
-            hit[todo] = self.values[k][np.minimum(at, len(self.values[k]) - 1)] == low
-        return hit
-
-    def search(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(number of the text, item, words of its longest common run of at least `passage` words)."""
-        known: dict[str, int] = {}
-        words = [words_of(t) for t in texts]
-        hashed = [_hashes(w, known) for w in words]
-        shingled = [_shingles(h, SHINGLE) for h in hashed]
-        base = np.concatenate(([0], np.cumsum([len(x) for x in shingled]))).astype(np.int64)
-        s = np.concatenate(shingled) if shingled else np.zeros(0, np.uint64)
-        count = np.diff(base)
-        # a passage must have room for a window; the last one of a text reaches its end
-        span, pieces = self.length - SHINGLE + 1, np.where(count >= self.window, np.ceil(np.maximum(count - (self.length - SHINGLE + 1), 0) / self.stride).astype(np.int64) + 1, 0)
+
+    @staticmethod
+    def number(values: np.ndarray, function: int) -> np.ndarray:
+        return _mix(values ^ np.uint64((function + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+
+    def of_items(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all windows, numbers of the shingles of windows that repeat one)"""
+        batch, parts, again = Batch(texts), [], []
+        for d, n in enumerate(batch.count.tolist()):
+            if n >= self.window:
+                s = batch.shingles[batch.base[d] : batch.base[d] + n]
+                windows = np.lib.stride_tricks.sliding_window_view(s, self.window)
+                parts += [self.number((windows * a + c).min(1), k) for k, (a, c) in enumerate(zip(self.a, self.c))]
+                ordered = np.sort(windows, 1)
+                again.append(self.number(np.unique(windows[(ordered[:, 1:] == ordered[:, :-1]).any(1)]), -1))
+        void = np.zeros(0, np.int64)
+        return np.unique(np.concatenate(parts)) if parts else void, np.unique(np.concatenate(again)) if again else void
+
+    def candidates(self, texts: list[str], keep, repeats: bool) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
+        """(batch, text, number of its passage, number) for every number of a passage that keep lets through."""
+        batch = Batch(texts)
+        pieces = np.where(batch.count >= self.window, np.ceil(np.maximum(batch.count - self.span, 0) / self.stride).astype(np.int64) + 1, 0)
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = base[owner] + nth * self.stride
-        stop = np.minimum(start + span, base[owner + 1])
-        out = []
-        for d in np.unique(owner[self.candidates(s, start, stop)]).tolist():
-            full, w = _shingles(hashed[d], self.passage), words[d]
-            runs: dict[int, int] = {}
-            ends: dict[tuple[int, int], int] = {}
-            for p in np.flatnonzero(np.isin(full, self.sorted_exact)).tolist():
-                for i, q in self.exact[int(full[p])]:
-                    if w[p : p + self.passage] == self.words[i][q : q + self.passage]:
-                        # a run goes on where the same diagonal matched one place before
-                        ends[(i, p - q)], before = p, ends.get((i, p - q), -2)
-                        runs[(i, p - q)] = runs.get((i, p - q), self.passage - 1) + 1 if before == p - 1 else self.passage
-                        out.append((d, i, runs[(i, p - q)]))
-        best: dict[tuple[int, int], int] = {}
-        for d, i, n in out:
-            best[(d, i)] = max(n, best.get((d, i), 0))
-        return [(d, i, n) for (d, i), n in best.items()]
+        start = batch.base[owner] + nth * self.stride
+        stop = np.minimum(start + self.span, batch.base[owner] + batch.count[owner])
+        texts_of, nths, numbers = [], [], []
+        if len(owner):
+            uses = self.functions[np.searchsorted(self.bounds, stop - start)]
+            for k in range(len(self.a)):
+                todo = np.flatnonzero(uses > k)
+                if not len(todo):
+                    break
+                values = batch.shingles * self.a[k] + self.c[k]
+                low = np.minimum.reduceat(values, np.stack([start[todo], stop[todo]], 1).ravel())[::2]
+                number = self.number(low, k)
+                hit = keep(number)
+                texts_of.append(owner[todo[hit]])
+                nths.append(nth[todo[hit]])
+                numbers.append(number[hit])
+            if repeats:
+                number = self.number(batch.shingles, -1)
+                hit = np.flatnonzero(keep(number))
+                if len(hit):
+                    # passages overlap, so a shingle is in up to as many as its distance to the next start allows
+                    for d in np.unique(np.searchsorted(batch.base, hit, side="right") - 1).tolist():
+                        own = np.flatnonzero(owner == d)
+                        for p in own.tolist():
+                            inside = hit[(hit >= start[p]) & (hit < stop[p])]
+                            texts_of.append(np.full(len(inside), d))
+                            nths.append(np.full(len(inside), nth[p]))
+                            numbers.append(number[inside])
+        void = np.zeros(0, np.int64)
+        return batch, *(np.concatenate(x) if x else void for x in (texts_of, nths, numbers))
+
+
+def probes(number: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bits of a number in a filter of 2 ** bits of them."""
+    h = number.view(np.uint64)
+    low, step = h, _mix(h) | np.uint64(1)
+    return [((low + np.uint64(j) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for j in range(PROBES)]
+
+
+def build_filter(index: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the index's numbers, of at most MOST_BITS bits: blocks of it are made in parallel and put together."""
+    bits = min(max(_BLOCK_BITS, math.ceil(math.log2(max(1, n) * BITS_EACH))), MOST_BITS.bit_length() - 1)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.unique(np.concatenate(probes(batch["number"].to_numpy(), bits)))
+            yield pd.DataFrame({"block": at >> _BLOCK_BITS, "at": at & ((1 << _BLOCK_BITS) - 1)})
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(1 << _BLOCK_BITS, np.uint8)
+        marks[pdf["at"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(marks).tobytes()]})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in index.select("number").mapInPandas(place, "block bigint, at bigint").distinct().groupBy("block").applyInPandas(fill, "block bigint, bits binary").collect():
+        out[r.block << (_BLOCK_BITS - 3) : (r.block + 1) << (_BLOCK_BITS - 3)] = np.frombuffer(r.bits, np.uint8)
+    return out, bits
+
+
+def passes(table: np.ndarray, bits: int, number: np.ndarray) -> np.ndarray:
+    """Which numbers the filter lets through: all that are in it, and few others."""
+    left = np.arange(len(number))
+    for at in probes(number, bits):
+        at = at[left]
+        left = left[(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(number), bool)
+    out[left] = True
+    return out
+
+
+def item_words(items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(item, words) of every item with a text; repeated rows are one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"item": batch["item"], "words": pd.Series([words_of(t) for t in batch["t"]], index=batch.index, dtype=object)})
+
+    read = items.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("t")).dropna().distinct()
+    return read.mapInPandas(run, "item bigint, words array<string>")
+
+
+def _runs_of(words: str, passage: int):
+    """(pos, gram): the runs of so many words, joined by blanks, with their places from 0."""
+    last = F.size(words) - passage
+    joined = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, F.lit(passage)), " ")))
+    return F.posexplode(joined).alias("pos", "gram")
 
 
 def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, passage: int = 13, recall: float = 0.9999) -> DataFrame:
     """(doc, item, longest): documents with a run of at least `passage` consecutive words of an item, and the longest run.
 
-    Ids are whole numbers. A null text has no words; items of fewer words than a passage are never found; repeated items
-    are separate ones. Items are searched in blocks of ITEM_BLOCK, each against all documents, so that what is sent to
-    the tasks is bounded however many items there are. Whole documents are read, of any length."""
-    rows = items.select(item, item_text).where(f"{item} is not null and {item_text} is not null").orderBy(item, item_text)
-    blocks, held = [], []
-    for r in rows.toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == ITEM_BLOCK:
-            blocks, held = [*blocks, held], []
-    blocks = [*blocks, held] if held or not blocks else blocks
-    out, spark = None, docs.sparkSession
-    read = docs.select(F.col(doc).cast("bigint").alias("d"), F.col(text).alias("t")).where("t is not null")
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Index(sent.value, passage, recall)
-            for batch in batches:
-                for i in range(0, len(batch), 2000):
-                    part = batch.iloc[i : i + 2000]
-                    found = index.search(part["t"].tolist())
-                    ids = part["d"].to_numpy()
-                    yield pd.DataFrame({"doc": [ids[d] for d, _, _ in found], "item": [x for _, x, _ in found], "longest": [n for _, _, n in found]}).astype("int64")
-
-        part = read.mapInPandas(run, "doc bigint, item bigint, longest bigint")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc", "item").agg(F.max("longest").alias("longest"))
+    Ids are whole numbers. A null text has no words; items of fewer words than a passage are in no document by this measure
+    (item_lengths names them); repeated documents and items are one each, texts with one id are looked at one by one. Items
+    and documents are both read in parallel, and neither passes through the driver; what is sent to the tasks is a filter of
+    at most MOST_BITS bits. Whole documents are read, of any length. Passages that many documents share are spread."""
+    search = Search(passage, recall)
+    words = materialise(item_words(items, item, item_text), "items")
+
+    def index_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            numbers, again = search.of_items([" ".join(w) for w in batch["words"]])
+            yield pd.DataFrame({"number": np.concatenate((numbers, again)), "again": np.repeat([False, True], [len(numbers), len(again)])})
+
+    index = materialise(words.mapInPandas(index_of, "number bigint, again boolean").distinct(), "index")
+    n, again = index.agg(F.count("*"), F.coalesce(F.max("again"), F.lit(False))).first()
+    sent = docs.sparkSession.sparkContext.broadcast(build_filter(index, n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, bits = sent.value
+        for batch in batches:
+            for i in range(0, len(batch), 2000):
+                part = batch.iloc[i : i + 2000]
+                texts, ids = part["t"].tolist(), part["d"].to_numpy()
+                found, of, nth, number = search.candidates(texts, lambda x: passes(table, bits, x), again)
+                own = {d: xxhash.xxh64_intdigest(texts[d]) - (1 << 63) for d in np.unique(of).tolist()}
+                taken = [found.words[d][k * search.stride : k * search.stride + search.length] for d, k in zip(of.tolist(), nth.tolist())]
+                yield pd.DataFrame({"doc": ids[of], "h": [own[d] for d in of.tolist()], "nth": nth, "number": number, "words": pd.Series(taken, dtype=object)})
+
+    read = docs.select(F.col(doc).cast("bigint").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
+    hits = materialise(read.mapInPandas(run, "doc bigint, h bigint, nth bigint, number bigint, words array<string>"), "hits")
+    near = skew_join(hits, index.select("number").distinct(), plan_load(hits, ["number"]), ["doc", "h", "nth"], "left_semi")
+    near = near.groupBy("doc", "h", "nth").agg(F.any_value("words").alias("words"))
+    places = near.select("doc", "h", "nth", _runs_of("words", passage)).select("doc", "h", (F.col("nth") * search.stride + F.col("pos")).alias("p"), "gram").distinct()
+    places = materialise(places, "places")
+    known = words.select("item", _runs_of("words", passage)).select("item", F.col("pos").alias("q"), "gram")
+    same = skew_join(places, known, plan_load(places, ["gram"]), ["doc", "h", "p"]).select("doc", "h", "item", "p", (F.col("p") - F.col("q")).alias("off"))
+    # a run goes on where the next place matches at the same distance
+    along = Window.partitionBy("doc", "h", "item", "off").orderBy("p")
+    stretch = same.distinct().withColumn("run", F.col("p") - F.row_number().over(along)).groupBy("doc", "h", "item", "off", "run").agg(F.count("*").alias("n"))
+    return stretch.groupBy("doc", "item").agg((F.max("n") + passage - 1).alias("longest"))
+
+
+def item_lengths(items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(item, n_words): how long the items are; those shorter than a passage cannot be searched for."""
+    return item_words(items, item, item_text).groupBy("item").agg(F.max(F.size("words")).cast("bigint").alias("n_words"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orebody.llm.leaks import find_leaks
+from orebody.llm.leaks import find_leaks, item_lengths
 from orebody.llm.mixture import mixture, plan_mixture, shares
 from orebody.llm.ngrams import all_records, mark_frequency, ngram_counts
 from orebody.llm.pii import find_pii, mask_pii
@@ -100,8 +100,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Per leaked item: in how many documents, and the longest run of its words in one of them."""
-    return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_documents"), F.max("longest").alias("longest"))
+    """Per item: its words, in how many documents it leaks, and the longest run of its words in one of them; an item of fewer
+    than 13 words cannot be searched for."""
+    leaked = _leaks(spark, d).groupBy("item").agg(F.count("*").alias("n_documents"), F.max("longest").alias("longest"))
+    every = item_lengths(table(spark, d, "heldout_review"), "item_id", "text").join(leaked, "item", "left")
+    return every.select(F.col("item").alias("item_id"), "n_words", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "longest", (F.col("n_words") >= 13).alias("searched"))
 
 
 def _mixture(spark: SparkSession, d: str):

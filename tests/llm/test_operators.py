@@ -194,11 +194,29 @@ def test_leaks_against_brute_force(spark):
     assert leaks.find_leaks(df, "item", "doc", held.limit(0), "doc", "item").count() == 0
 
 
-def test_many_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
-    texts = [" ".join(f"w{i}x{k}" for k in range(15)) for i in range(5)]
+@pytest.mark.parametrize("most_bits", [1 << 19, 1 << 29])
+def test_full_filter(spark, monkeypatch, most_bits):
+    """A filter that lets nearly everything through changes nothing."""
+    monkeypatch.setattr(leaks, "MOST_BITS", most_bits)
+    monkeypatch.setattr(leaks, "BITS_EACH", 1)
+    texts = [" ".join(f"w{i}x{k}" for k in range(15)) for i in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
-    assert rows(leaks.find_leaks(df, "id", "t", df, "id", "t")) == [(i, i, 15) for i in range(5)]
+    assert rows(leaks.find_leaks(df, "id", "t", df, "id", "t")) == [(i, i, 15) for i in range(200)]
+
+
+def test_filter_lets_all_of_the_index_through(spark):
+    numbers = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 5000)
+    table, bits = leaks.build_filter(spark.createDataFrame([(int(x),) for x in numbers], "number bigint"), len(numbers))
+    assert leaks.passes(table, bits, numbers).all()
+    others = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 50_000)
+    assert leaks.passes(table, bits, others).mean() < 0.01
+
+
+def test_items_of_one_id_and_short_ones(spark):
+    items = spark.createDataFrame([(1, "a b c"), (1, None), (2, " ".join("abcdefghijklmno")), (2, " ".join("qrstuvwxyzabcdef"))], "id bigint, t string")
+    docs = spark.createDataFrame([(5, " ".join("abcdefghijklmno")), (5, " ".join("qrstuvwxyzabcdef")), (None, "x"), (6, "a b c")], "id bigint, t string")
+    assert rows(leaks.find_leaks(docs, "id", "t", items, "id", "t")) == [(5, 2, 16)]
+    assert rows(leaks.item_lengths(items, "id", "t")) == [(1, 3), (2, 16)]
 
 
 # mixture
