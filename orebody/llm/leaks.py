@@ -3,13 +3,13 @@
 Queries are the windows of `passage` words of every evaluation text, as sets of five-word shingles. Documents are read in
 overlapping passages of bounded length, so that a window inside a document is wholly inside one of them, and passages are
 partitioned by their number of shingles. In a partition of at most u shingles a contained window of q shingles has a
-similarity of at least q / u, which fixes how many hash functions give the wanted recall. The index is a table: the minimum
-of every function over every window, as one number. A passage that has one of them as a minimum of its own is a candidate;
-candidates are joined to the index, and their runs of `passage` words to those of the items, as words. Windows that repeat
-a shingle are smaller sets than the functions are made for; passages with any of their shingles are candidates too.
+similarity of at least q / u, which fixes how many hash functions give the wanted recall. The index holds the minimum of
+every function over every window, as one number. A passage that has one of them as a minimum of its own is a candidate, and
+its runs of `passage` words are joined to those of the items, as words. Windows that repeat a shingle are smaller sets than
+the functions are made for; passages with any of their shingles are candidates too.
 
-Most passages have no such minimum. A Bloom filter of the index, of a bounded size whatever the number of items, keeps them
-from being exchanged at all; what it lets through by mistake the joins take out.
+The index is sent as a Bloom filter of a bounded size whatever the number of items; with it go the items' runs as numbers,
+so that of a candidate only runs that an item may have are exchanged. What a filter lets through by mistake the join takes out.
 """
 
 from __future__ import annotations
@@ -90,6 +90,14 @@ class Batch:
         for i in range(SHINGLE):
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
         self.shingles = _mix(out)
+        self.hashes = h
+
+    def runs(self, passage: int) -> np.ndarray:
+        """Hash of the words from each place on, as many as a passage has."""
+        h, out = np.concatenate((self.hashes, np.zeros(passage, np.uint64))), np.zeros(len(self.shingles), np.uint64)
+        for i in range(passage):
+            out = out * np.uint64(0xD1342543DE82EF95) + h[i : i + len(out)]
+        return _mix(out)
 
 
 class Search:
@@ -120,45 +128,41 @@ class Search:
                 parts += [self.number((windows * a + c).min(1), k) for k, (a, c) in enumerate(zip(self.a, self.c))]
                 ordered = np.sort(windows, 1)
                 again.append(self.number(np.unique(windows[(ordered[:, 1:] == ordered[:, :-1]).any(1)]), -1))
+                parts.append(self.number(batch.runs(self.passage)[batch.base[d] : batch.base[d + 1] - self.passage + 1], -2))
         void = np.zeros(0, np.int64)
         return np.unique(np.concatenate(parts)) if parts else void, np.unique(np.concatenate(again)) if again else void
 
-    def candidates(self, texts: list[str], keep, repeats: bool) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
-        """(batch, text, number of its passage, number) for every number of a passage that keep lets through."""
-        batch = Batch(texts)
+    def candidates(self, batch: Batch, keep, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of the words of passages with a minimum, or a shingle of a window that repeats one, that keep lets
+        through."""
+        n = len(batch.count)
         pieces = np.where(batch.count >= self.window, np.ceil(np.maximum(batch.count - self.span, 0) / self.stride).astype(np.int64) + 1, 0)
-        owner = np.repeat(np.arange(len(texts)), pieces)
+        owner = np.repeat(np.arange(n), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = batch.base[owner] + nth * self.stride
         stop = np.minimum(start + self.span, batch.base[owner] + batch.count[owner])
-        texts_of, nths, numbers = [], [], []
-        if len(owner):
-            uses = self.functions[np.searchsorted(self.bounds, stop - start)]
-            for k in range(len(self.a)):
-                todo = np.flatnonzero(uses > k)
-                if not len(todo):
-                    break
-                values = batch.shingles * self.a[k] + self.c[k]
-                low = np.minimum.reduceat(values, np.stack([start[todo], stop[todo]], 1).ravel())[::2]
-                number = self.number(low, k)
-                hit = keep(number)
-                texts_of.append(owner[todo[hit]])
-                nths.append(nth[todo[hit]])
-                numbers.append(number[hit])
-            if repeats:
-                number = self.number(batch.shingles, -1)
-                hit = np.flatnonzero(keep(number))
-                if len(hit):
-                    # passages overlap, so a shingle is in up to as many as its distance to the next start allows
-                    for d in np.unique(np.searchsorted(batch.base, hit, side="right") - 1).tolist():
-                        own = np.flatnonzero(owner == d)
-                        for p in own.tolist():
-                            inside = hit[(hit >= start[p]) & (hit < stop[p])]
-                            texts_of.append(np.full(len(inside), d))
-                            nths.append(np.full(len(inside), nth[p]))
-                            numbers.append(number[inside])
-        void = np.zeros(0, np.int64)
-        return batch, *(np.concatenate(x) if x else void for x in (texts_of, nths, numbers))
+        hit = np.zeros(len(owner), bool)
+        if len(owner) and repeats:
+            seen = np.concatenate(([0], np.cumsum(keep(self.number(batch.shingles, -1)))))
+            hit = seen[stop] > seen[start]
+        uses = self.functions[np.searchsorted(self.bounds, stop - start)]
+        for k in range(len(self.a)):
+            todo = np.flatnonzero(~hit & (uses > k))
+            if not len(todo):
+                break
+            values = batch.shingles * self.a[k] + self.c[k]
+            low = np.minimum.reduceat(values, np.stack([start[todo], stop[todo]], 1).ravel())[::2]
+            hit[todo] = keep(self.number(low, k))
+        return start[hit], stop[hit] + SHINGLE - 1
+
+    def places(self, batch: Batch, keep, repeats: bool) -> np.ndarray:
+        """Words of the batch at which a run of a candidate begins that an item may have."""
+        first, end = self.candidates(batch, keep, repeats)
+        edge = np.zeros(len(batch.shingles) + 1, np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, np.maximum(end - self.passage + 1, first), -1)
+        at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        return at[keep(self.number(batch.runs(self.passage)[at], -2))] if len(at) else at
 
 
 def probes(number: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -242,17 +246,16 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
             for i in range(0, len(batch), 2000):
                 part = batch.iloc[i : i + 2000]
                 texts, ids = part["t"].tolist(), part["d"].to_numpy()
-                found, of, nth, number = search.candidates(texts, lambda x: passes(table, bits, x), again)
+                found = Batch(texts)
+                at = search.places(found, lambda x: passes(table, bits, x), again)
+                of = np.searchsorted(found.base, at, side="right") - 1
+                p = at - found.base[of]
                 own = {d: xxhash.xxh64_intdigest(texts[d]) - (1 << 63) for d in np.unique(of).tolist()}
-                taken = [found.words[d][k * search.stride : k * search.stride + search.length] for d, k in zip(of.tolist(), nth.tolist())]
-                yield pd.DataFrame({"doc": ids[of], "h": [own[d] for d in of.tolist()], "nth": nth, "number": number, "words": pd.Series(taken, dtype=object)})
+                grams = [" ".join(found.words[d][k : k + passage]) for d, k in zip(of.tolist(), p.tolist())]
+                yield pd.DataFrame({"doc": ids[of], "h": pd.Series([own[d] for d in of.tolist()], dtype="int64"), "p": p, "gram": pd.Series(grams, dtype=object)})
 
     read = docs.select(F.col(doc).cast("bigint").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    hits = materialise(read.mapInPandas(run, "doc bigint, h bigint, nth bigint, number bigint, words array<string>"), "hits")
-    near = skew_join(hits, index.select("number").distinct(), plan_load(hits, ["number"]), ["doc", "h", "nth"], "left_semi")
-    near = near.groupBy("doc", "h", "nth").agg(F.any_value("words").alias("words"))
-    places = near.select("doc", "h", "nth", _runs_of("words", passage)).select("doc", "h", (F.col("nth") * search.stride + F.col("pos")).alias("p"), "gram").distinct()
-    places = materialise(places, "places")
+    places = materialise(read.mapInPandas(run, "doc bigint, h bigint, p bigint, gram string"), "places")
     known = words.select("item", _runs_of("words", passage)).select("item", F.col("pos").alias("q"), "gram")
     same = skew_join(places, known, plan_load(places, ["gram"]), ["doc", "h", "p"]).select("doc", "h", "item", "p", (F.col("p") - F.col("q")).alias("off"))
     # a run goes on where the next place matches at the same distance
