@@ -4,8 +4,8 @@ Records with equal sets are one class, represented by its least id. In each of s
 the children named by some of its tokens: token j is chosen where a hash of (node, j) is below 1 / (threshold * size); a
 token may be chosen again, or what is left of two similar sets would be less alike at each level. Two sets above the threshold share on average at least one child at each level, so by the theory of branching
 processes a tree brings them together in a node of depth k with a probability of about 1 / (k + 1) or more. Nodes of few
-records are compared pair by pair; larger ones are split again; what is still large at the last level is compared in
-blocks, so no candidate is dropped. Comparison first bounds the overlap from sizes and 256-bit token maps (a bound that
+records are compared pair by pair; larger ones are split again, as often as the data need (depth_for); what is still large
+at the last level is compared in blocks, so no candidate is dropped. Comparison first bounds the overlap from sizes and 256-bit token maps (a bound that
 never rejects a true pair) and then counts it exactly by joins.
 """
 
@@ -16,14 +16,25 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebody.operators.skew import TASK, plan_load, skew_join
 from orebody.plans.session import materialise
 
 NODE_LIMIT = 48
-MAX_DEPTH = 4
+#: Deeper trees than that are not built: sets of so few tokens that they are never split are compared in blocks.
+DEEPEST = 12
 MAPS = ["b0", "b1", "b2", "b3"]
 
 
-def trees_for(recall: float, depth: int = MAX_DEPTH) -> int:
+def depth_for(tokens: DataFrame, threshold: float, limit: int) -> int:
+    """Levels after which no node is expected to hold more than half the limit: of the records with a token each goes on with
+    it with a probability of 1 / (threshold * size). tokens has size and h, one row for each member."""
+    stay = F.least(F.lit(1.0), 1 / (threshold * F.col("size")))
+    sums = tokens.groupBy("h").agg(*(F.sum(F.pow(stay, F.lit(k))).alias(f"k{k}") for k in range(1, DEEPEST)))
+    most = sums.agg(*(F.coalesce(F.max(f"k{k}"), F.lit(0.0)) for k in range(1, DEEPEST))).first()
+    return next((k for k, m in enumerate(most, 1) if m <= limit / 2), DEEPEST)
+
+
+def trees_for(recall: float, depth: int = 4) -> int:
     """Trees needed so that a pair at the threshold meets with the given probability at the given depth."""
     meets = 1.0
     for _ in range(depth):
@@ -78,40 +89,42 @@ def _blocks(nodes: DataFrame, limit: int) -> DataFrame:
     return k.withColumn("node", F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other"))).drop("n", "parts", "part", "other")
 
 
-def candidate_pairs(members: DataFrame, profiles: DataFrame, threshold: float, trees: int, limit: int = NODE_LIMIT, depth: int = MAX_DEPTH) -> DataFrame:
-    """Distinct (r1, r2), r1 < r2, that met in a node and may be similar. members and profiles must be stored tables."""
+def candidate_pairs(members: DataFrame, profiles: DataFrame, threshold: float, recall: float, limit: int = NODE_LIMIT) -> DataFrame:
+    """Distinct (r1, r2), r1 < r2, that met in a node and may be similar. members and profiles must be stored tables. Records of
+    many tokens and nodes of many records are spread over tasks wherever they are joined."""
     p = profiles.select("r", "size", *MAPS)
-    tokens = members.join(p.select("r", "size"), "r").select("r", "size", F.xxhash64("t", F.lit(21)).alias("h"))
+    plan = plan_load(members, ["r"])
+    tokens = materialise(skew_join(members, p.select("r", "size"), plan, ["t"]).select("r", "size", F.xxhash64("t", F.lit(21)).alias("h")), "tokens")
+    depth = depth_for(tokens, threshold, limit)
+    trees = trees_for(recall, depth)
     chosen = tokens.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(_unit(F.col("tree"), F.col("h")) < 1 / (threshold * F.col("size")))
     level = chosen.select(F.xxhash64("tree", "h").alias("node"), "r")
     out = None
     for k in range(1, depth + 1):
+        level = materialise(level, "level")
         held = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        level = level.join(held, "node")
-        last = k == depth
-        level = materialise(level, "nodes")
+        level = materialise(skew_join(level, held, plan_load(level, ["node"]), ["r"]).drop(TASK), "nodes")
         small = level.where(F.col("n") <= limit).join(p, "r")
-        found = _pairs_within(small, threshold).distinct()
-        found = materialise(found, "pairs")
+        found = materialise(_pairs_within(small, threshold).distinct(), "pairs")
         out = found if out is None else out.unionByName(found)
         large = level.where(F.col("n") > limit).drop("n")
         if large.isEmpty():
             break
-        if last:
+        if k == depth:
             out = out.unionByName(_pairs_within(_blocks(large.join(p, "r"), limit), threshold))
             break
-        level = large.join(tokens, "r").where(_unit(F.col("node"), F.col("h")) < 1 / (threshold * F.col("size")))
+        level = skew_join(tokens, large, plan, ["h"]).where(_unit(F.col("node"), F.col("h")) < 1 / (threshold * F.col("size")))
         level = level.select(F.xxhash64("node", "h").alias("node"), "r")
     return out.distinct()
 
 
 def verify(pairs: DataFrame, members: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
-    """(r1, r2, common, n1, n2) of the pairs whose exact similarity reaches the threshold."""
+    """(r1, r2, common, n1, n2) of the pairs whose exact similarity reaches the threshold. A record of many pairs is spread."""
     s = profiles.select("r", "size")
     sized = pairs.join(s.select(F.col("r").alias("r1"), F.col("size").alias("n1")), "r1").join(s.select(F.col("r").alias("r2"), F.col("size").alias("n2")), "r2")
     first = F.col("n1") <= F.col("n2")
-    probe = sized.select("*", F.when(first, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.when(first, F.col("r2")).otherwise(F.col("r1")).alias("big"))
-    both = probe.join(members, "r").join(members.select(F.col("r").alias("big"), "t"), ["big", "t"])
+    probe = materialise(sized.select("*", F.when(first, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.when(first, F.col("r2")).otherwise(F.col("r1")).alias("big")), "probe")
+    both = skew_join(probe, members, plan_load(probe, ["r"]), ["big"]).join(members.select(F.col("r").alias("big"), "t"), ["big", "t"])
     shared = both.groupBy("r1", "r2", "n1", "n2").agg(F.count("*").alias("common"))
     # the threshold in whole numbers up to 1e-9, so that a pair exactly on it counts
     return shared.where(F.col("common") >= threshold * (F.col("n1") + F.col("n2") - F.col("common")) - 1e-9)
@@ -129,7 +142,7 @@ def similar_sets(df: DataFrame, record: str, token: str, threshold: float, least
     rep = materialise(everyone.join(classes, ["size", *MAPS, "s0", "s1"]).select("r", "rep", "size", *MAPS), "classes")
     heads = rep.where("r = rep").drop("rep")
     own = materialise(members.join(heads.select("r"), "r", "left_semi"), "sets")
-    pairs = candidate_pairs(own, heads, threshold, trees_for(recall), limit)
+    pairs = candidate_pairs(own, heads, threshold, recall, limit)
     return verify(pairs, own, heads, threshold), rep.select("r", "rep")
 
 

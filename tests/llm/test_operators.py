@@ -115,6 +115,21 @@ def test_similar_sets_edges(spark):
     assert {(x.r1, x.r2) for x in between.collect()} == {("l:a", "l:b")} and dict(rows(classes))["r:q"] == "l:b"
 
 
+def test_depth_grows_with_a_hot_token(spark, monkeypatch):
+    """One token in all of 20,000 sets: nodes are split until they are small, and none is compared in blocks."""
+    def rows_of(n):
+        return spark.range(n).select(F.col("id").alias("r"), F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.xxhash64(F.col("id"), k)))).alias("t"))
+
+    def depth(n):
+        return setjoin.depth_for(rows_of(n).select(F.lit(6).alias("size"), F.xxhash64("t").alias("h")), 0.5, 48)
+
+    assert depth(20) == 1 and 2 < depth(2000) < depth(20_000) < setjoin.DEEPEST
+    monkeypatch.setattr(setjoin, "_blocks", lambda *a: pytest.fail("blocks"))
+    twins = rows_of(20_000).where("r < 30 and t <> -1").withColumn("r", F.col("r") + 100_000)
+    pairs, _ = setjoin.similar_sets(rows_of(20_000).unionByName(twins), "r", "t", 0.8)
+    assert sorted((x.r1, x.r2) for x in pairs.collect()) == [(k, k + 100_000) for k in range(30)]
+
+
 def test_trees_for_recall():
     assert setjoin.trees_for(0.99) < setjoin.trees_for(0.9999) < 40
 
