@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from orebody.operators.skew import TASK, fragment, plan_load
 from orebody.plans.session import materialise
 
-BROADCAST_TERMS = 200_000
+#: Terms in more than 1 / FREQUENT of all cells are sent to the tasks: there are at most as many.
+FREQUENT = 200_000
 
 
 def term_array(text: str) -> Column:
@@ -41,8 +42,9 @@ def distinctive_terms(docs: DataFrame, record: str, part: str, text: str, stopwo
 
     Rows of a record are counted where plan_load puts them: a record above half a task's share is cut into shards by part,
     so no task gets a third of all rows. The texts are exchanged once; the counts are written once, in the order of the
-    records, and only the heavy records' rows are merged again. Statistics of terms are added up before they are exchanged;
-    they are broadcast if there are at most BROADCAST_TERMS of them, and joined by a sort otherwise."""
+    records, and only the heavy records' rows are merged again. Statistics of terms are added up before they are exchanged.
+    Those of frequent terms (at most FREQUENT of them, as each has its share of the cells) are broadcast, so that no task
+    gets all cells of a common word; those of all others, whose cells are few, are joined by a sort."""
     docs = docs.select(F.col(record).alias("r"), F.col(part).alias("p"), F.col(text).alias("x")).where("r is not null and x is not null")
     spark, plan = docs.sparkSession, plan_load(docs, ["r"], tasks)
     unique = fragment(docs, plan, ["p"]).dropDuplicates([TASK, "r", "p"])
@@ -61,9 +63,11 @@ def distinctive_terms(docs: DataFrame, record: str, part: str, text: str, stopwo
         counts = counts.join(heavy, "r", "left_anti").unionByName(merged.join(whole, "r"))
     per_term = counts.groupBy("t").agg(F.count("*").alias("d"), F.sum("c").alias("n_term"))
     per_term = materialise(per_term, "terms")
-    total, vocabulary = per_term.agg(F.coalesce(F.sum("n_term"), F.lit(0)), F.count("*")).first()
-    per_term = F.broadcast(per_term) if vocabulary <= BROADCAST_TERMS else per_term.hint("shuffle_merge")
-    return counts.join(per_term, "t").select(
+    total, cells = per_term.agg(F.coalesce(F.sum("n_term"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
+    often = F.col("d") > cells / FREQUENT
+    frequent = F.broadcast(per_term.where(often))
+    rest = counts.join(frequent.select("t"), "t", "left_anti").join(per_term.where(~often).hint("shuffle_merge"), "t")
+    return counts.join(frequent, "t").unionByName(rest).select(
         F.col("r").alias(record), F.col("t").alias("term"), "c", "m", F.col("n").alias("n_record"), "d", "n_term", F.lit(total).alias("n_total"),
         log_likelihood(F.col("c"), F.col("n"), F.col("n_term"), F.lit(total)).alias("llr"),
     )
