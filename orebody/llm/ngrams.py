@@ -38,22 +38,22 @@ def common_prefixes(code: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     """For each place in the order, how many numbers (at most depth) its suffix shares with the one before; 0 at the first."""
     size = len(code)
     padded = np.concatenate((code, -1 - np.arange(depth)))
-    out, open_ = np.zeros(size, np.int8), np.ones(max(0, size - 1), bool)
+    out, open_ = np.zeros(size, np.int32), np.ones(max(0, size - 1), bool)
     for k in range(depth):
         open_ &= padded[order[1:] + k] == padded[order[:-1] + k]
         out[1:] += open_
     return out
 
 
-def count_block(code: np.ndarray, record: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per n from 1 to depth: (a position of each distinct n-gram, count, number of records). code is negative at the ends
+def count_block(code: np.ndarray, record: np.ndarray, depth: int, longest: int | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per n from 1 to longest (by default depth): (a position of each distinct n-gram, count, number of records). code is negative at the ends
     of records, with a number of its own each time; record is the record's number at each position, ascending."""
     order = suffix_order(code, depth)
     shared = common_prefixes(code, order, depth)
     ends = np.flatnonzero(code < 0)
     room = ends[np.searchsorted(ends, np.arange(len(code)))] - np.arange(len(code)) if len(ends) else np.zeros(0, int)
     out = []
-    for n in range(1, depth + 1):
+    for n in range(1, (longest or depth) + 1):
         whole = room[order] >= n
         head = shared < n
         interval = np.cumsum(head) - 1
@@ -103,18 +103,20 @@ def _encode(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return code, record, vocabulary
 
 
-def ngram_counts(docs: DataFrame, record: str, text: str, max_n: int = 1) -> DataFrame:
+def ngram_counts(docs: DataFrame, record: str, text: str, max_n: int = 1, depth: int = 2) -> DataFrame:
     """(n, gram, occurrences, records) of every n-gram of terms up to max_n; the terms of a gram are joined by a blank.
 
     A term is a maximal run of a-z in the lower-cased text; grams do not reach over a record's end. Rows that agree in
     record are one record, a null record is a record too (all such rows are one); rows with a null text are left out, a
-    text without terms has no grams. A record's text is never cut, and a block is as large as its records need."""
+    text without terms has no grams. Suffixes are sorted by at least `depth` terms, from which the shorter grams are read, too.
+    A record's text is never cut, and a block is as large as its records need."""
+    depth = max(depth, max_n)
     rows = docs.select(F.col(record).alias("r"), F.lower(F.col(text)).alias("x")).where("x is not null").dropDuplicates(["r"]).select("x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in _blocks(batches):
             code, who, vocabulary = _encode(lists)
-            for n, (first, total, records) in enumerate(count_block(code, who, max_n), 1):
+            for n, (first, total, records) in enumerate(count_block(code, who, depth, max_n), 1):
                 parts = [vocabulary.take(pa.array(code[first + k])) for k in range(n)]
                 gram = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", vocabulary.type))
                 for i in range(0, len(first), 50_000):
