@@ -91,6 +91,7 @@ class Mixture:
     total: int
     block: int
     seed: int
+    budget: int
 
 
 def normal_source(c: str):
@@ -99,8 +100,11 @@ def normal_source(c: str):
 
 def plan_mixture(docs: DataFrame, doc: str, text: str, source: str, targets: DataFrame, block: int = BLOCK_TOKENS, seed: int = 0, tokenizer: str = TOKENIZER, budget: int | None = None) -> Mixture:
     """Sizes and quotas. targets has source, weight and max_repeat; spellings that differ in case or outer blanks are one
-    source, whose weights add up and whose largest max_repeat holds; a null weight is 0, a null max_repeat 1. The budget
-    is by default the total size of all records, each taken once, listed or not.
+    source, whose weights add up and whose largest max_repeat holds; a null weight is 0, a null max_repeat 1; weights are
+    shares of their sum. The budget is by default the total size of all records, each taken once, listed or not.
+
+    A source is short if its size with all repeats is less than its weight of the budget. Those that the apportionment without
+    caps gives about as many blocks as they have, or more, are compared with it token by token; others cannot be short.
 
     Records of unlisted or null sources count for the total only. Records of no tokens are in no block. An empty table has
     a total of 0 and no quotas."""
@@ -123,16 +127,23 @@ def plan_mixture(docs: DataFrame, doc: str, text: str, source: str, targets: Dat
     for r in shard:
         blocks.setdefault(r.source, []).append((r.shard, -(-r.n // block)))
     capacity = [g.max_repeat * sum(n for _, n in blocks.get(g.source, [])) for g in goal]
-    seats = round((total if budget is None else budget) / block)
-    quota = apportion([g.weight for g in goal], capacity, seats)
+    budget = total if budget is None else budget
+    seats = round(budget / block)
+    weights = [g.weight for g in goal]
+    # weights that miss 1 by rounding alone are taken as they are
+    whole = sum(weights) if abs(sum(weights) - 1) > 1e-9 else 1.0
+    quota, entitled = apportion(weights, capacity, seats), apportion(weights, [seats] * len(goal), seats)
     rows, report = [], []
-    for g, q in zip(goal, quota):
+    for g, q, c, e in zip(goal, quota, capacity, entitled):
         own = blocks.get(g.source, [])
         for (s, n), k in zip(own, apportion([n for _, n in own], [g.max_repeat * n for _, n in own], q)):
             rows.append((g.source, s, n, k))
-        size = per_source.get(g.source, 0)
-        report.append({"source": g.source, "weight": g.weight, "max_repeat": g.max_repeat, "n_tokens": size, "quota_blocks": q, "short": size * g.max_repeat < g.weight * total})
-    return Mixture(sized, spark.createDataFrame(rows, "source string, shard bigint, n_blocks bigint, quota bigint"), report, total, block, seed)
+        size, share = per_source.get(g.source, 0), g.weight / whole if whole else 0.0
+        # divisor methods differ from the exact share by at most half a block and half of the weight of all sources; every
+        # shard's last block is filled up
+        near = c <= e + 2 + share * len(goal) / 2 + g.max_repeat * len(own)
+        report.append({"source": g.source, "weight": g.weight, "max_repeat": g.max_repeat, "n_tokens": size, "quota_blocks": q, "short": near and size * g.max_repeat < share * budget})
+    return Mixture(sized, spark.createDataFrame(rows, "source string, shard bigint, n_blocks bigint, quota bigint"), report, total, block, seed, budget)
 
 
 def mixture(plan: Mixture) -> DataFrame:

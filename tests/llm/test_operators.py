@@ -278,6 +278,27 @@ def test_mixture(spark):
     assert none.total == 0 and mixture.mixture(none).count() == 0
 
 
+def test_short_sources_are_at_their_cap(spark):
+    r = random.Random(12)
+    for k in range(4):
+        docs = [(i, "word " * r.randint(1, 40), "abcde"[min(4, int(r.expovariate(0.7)))]) for i in range(1200)]
+        goals = [(s, r.choice([0.1, 0.2, 0.4, 0.05]), r.randint(1, 4)) for s in "abcde"]
+        plan = mixture.plan_mixture(spark.createDataFrame(docs, "id bigint, text string, source string"), "id", "text", "source", spark.createDataFrame(goals, "source string, weight double, max_repeat bigint"), block=16, budget=r.choice([None, 10_000]))
+        budget, all_weights = plan.budget, sum(w for _, w, _ in goals)
+        for g in plan.report:
+            assert g["short"] == (g["n_tokens"] * g["max_repeat"] < g["weight"] / all_weights * budget)
+            if g["short"]:
+                blocks = sum(x.n_blocks for x in plan.shards.where(F.col("source") == g["source"]).collect())
+                assert g["quota_blocks"] == blocks * g["max_repeat"]
+
+
+def test_hot_terms(spark, monkeypatch):
+    df = spark.createDataFrame([(f"b{i}", f"r{i}", f"the w{i % 7} and all x" + "yz"[i % 2]) for i in range(60)], "b string, p string, t string")
+    few = rows(terms.distinctive_terms(df, "b", "p", "t"))
+    monkeypatch.setattr(terms, "FREQUENT", 2)
+    assert rows(terms.distinctive_terms(df, "b", "p", "t")) == few
+
+
 def test_shares_meet_weights(spark):
     docs = [(i, "some words here " * 8, "abc"[i % 3]) for i in range(3000)]
     targets = spark.createDataFrame([("a", 0.5, 9), ("b", 0.3, 9), ("c", 0.2, 9)], "source string, weight double, max_repeat bigint")
