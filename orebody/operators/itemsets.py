@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,41 +64,54 @@ def apriori(pairs: DataFrame, support: int, max_size: int | None = None) -> Data
     return out
 
 
-def son(pairs: DataFrame, support: int, max_size: int = 8) -> DataFrame:
-    """The two-pass form: sets that are frequent in some block of baskets (by the block's share of the support, rounded
-    down so that none is lost) are counted exactly in all baskets. The result equals apriori up to max_size."""
+def _local_sets(batches: Iterator[pd.DataFrame], support: int, total: int) -> Iterator[pd.DataFrame]:
+    """Sets that are frequent in one partition of baskets by its share of the support. A set of k items is counted where its
+    first k - 1 were found: per set the baskets that hold it are kept, and longer ones come from cutting these lists."""
+    rows = [frozenset(x) for batch in batches for x in batch["items"]]
+    least = max(1, math.floor(support * len(rows) / total))
+    held: dict[tuple, np.ndarray] = {}
+    where: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        for x in r:
+            where.setdefault(x, []).append(i)
+    held = {(x,): np.array(at) for x, at in sorted(where.items()) if len(at) >= least}
+    while held:
+        yield pd.DataFrame({"items": [list(c) for c in held]})
+        heads: dict[tuple, list[str]] = {}
+        for c in held:
+            heads.setdefault(c[:-1], []).append(c[-1])
+        longer: dict[tuple, np.ndarray] = {}
+        for h, tails in heads.items():
+            for k, x in enumerate(tails):
+                for y in tails[k + 1 :]:
+                    c = (*h, x, y)
+                    if all(c[:n] + c[n + 1 :] in held for n in range(len(c) - 2)):
+                        both = np.intersect1d(held[(*h, x)], held[(*h, y)], assume_unique=True)
+                        if len(both) >= least:
+                            longer[c] = both
+        held = longer
+
+
+def son(pairs: DataFrame, support: int) -> DataFrame:
+    """The two-pass form: sets that are frequent in some partition of the baskets (by its share of the support, rounded down so
+    that none is lost) are counted exactly in all baskets, of any size. The result equals apriori.
+
+    The second pass counts by prefix: an occurrence of a candidate's first items is extended by the basket's later items,
+    if that is a candidate or the beginning of one."""
+    pairs = materialise(pairs.select("basket", "item"), "pairs")
     baskets = materialise(baskets_of(pairs), "baskets")
     total = max(1, baskets.count())
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [sorted(x) for x in batch["items"]]
-            least = max(1, math.floor(support * len(rows) / total))
-            live = {(x,): 0 for r in rows for x in r}
-            size = 1
-            while live and size <= max_size:
-                for r in rows:
-                    s = set(r)
-                    if size == 1:
-                        for x in r:
-                            live[(x,)] += 1
-                    else:
-                        for c in live:
-                            if s.issuperset(c):
-                                live[c] += 1
-                good = sorted(c for c, n in live.items() if n >= least)
-                if good:
-                    yield pd.DataFrame({"items": [list(c) for c in good]})
-                known, heads = set(good), {}
-                for c in good:
-                    heads.setdefault(c[:-1], []).append(c[-1])
-                live = {(*h, x, y): 0 for h, tails in heads.items() for i, x in enumerate(tails) for y in tails[i + 1 :] if all((*h, x, y)[:k] + (*h, x, y)[k + 1 :] in known for k in range(size - 1))}
-                size += 1
-
-    candidates = materialise(baskets.select("items").mapInPandas(local, "items array<string>").distinct(), "candidates")
-    long = candidates.select("items", F.size("items").alias("size"), F.explode("items").alias("item"))
-    hits = long.join(pairs, "item").groupBy("items", "size", "basket").agg(F.count("*").alias("n")).where("n = size")
-    return hits.groupBy("size", "items").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    candidates = baskets.select("items").mapInPandas(lambda batches: _local_sets(batches, support, total), "items array<string>").distinct()
+    candidates = materialise(candidates.withColumn("size", F.size("items")), "candidates")
+    longest = candidates.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    held = pairs.join(candidates.where("size = 1").select(F.col("items")[0].alias("item")), "item", "left_semi").select("basket", F.array("item").alias("items"))
+    out = held.groupBy(F.lit(1).alias("size"), "items").agg(F.count("*").alias("support"))
+    for size in range(2, longest + 1):
+        grown = candidates.where(F.col("size") == size).select(F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("item"), "items")
+        held = held.select("basket", F.col("items").alias("head")).join(grown, "head").join(pairs, ["basket", "item"]).select("basket", "items")
+        held = materialise(held, "held")
+        out = out.unionByName(held.groupBy(F.lit(size).alias("size"), "items").agg(F.count("*").alias("support")))
+    return out.where(F.col("support") >= support)
 
 
 def fp_growth(pairs: DataFrame, support: int) -> DataFrame:

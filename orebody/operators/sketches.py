@@ -49,10 +49,12 @@ def bloom_probe(df: DataFrame, column: str, bits: DataFrame, family: Sequence[tu
 
 def fm_maxima(df: DataFrame, column: str, by: Sequence[Column | str] = (), family: Sequence[tuple[int, int]] = FM_FAMILY, p: int = FM_P) -> DataFrame:
     """Per group: truth (exact distinct values) and r0.. (most trailing zeros of each function, 0 where all values hash to 0).
-    The maxima are partial aggregates; null and empty values are skipped."""
+    The maxima are partial aggregates; null and empty values are skipped. A stream cannot count distinct values, so there the
+    truth is the size of their set, which is as large as a window's; in a table the values stay spread over the tasks."""
+    truth = F.size(F.collect_set(column)).cast("bigint") if df.isStreaming else F.count_distinct(column)
     x = df.where(F.col(column).isNotNull() & (F.col(column) != "")).withColumn("__x", code_mod(F.col(column), p))
     return x.groupBy(*by).agg(
-        F.size(F.collect_set(column)).cast("bigint").alias("truth"),
+        truth.alias("truth"),
         *(F.coalesce(F.max(trailing_zeros(universal_hash(F.col("__x"), a, b, p))), F.lit(0)).alias(f"r{i}") for i, (a, b) in enumerate(family)),
     )
 

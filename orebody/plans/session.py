@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benches on one machine."""
+    """A session for tests and benches on one machine, with a folder of its own for written tables."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("orebody")
@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="orebody-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -25,23 +26,37 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The folder named by spark.checkpoint.dir. Where it is not set, a temporary one, if all tasks run on this machine: on a
+    cluster no folder of one machine will do, so there the setting is required."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    folder = getattr(spark, "_orebody_folder", None)
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="orebody-")
-        sc.setCheckpointDir(folder)
-        spark._orebody_folder = folder
-    return folder
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_orebody_folder", None)
+    if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="orebody-")
+        spark._orebody_folder = named
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def _system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there is removed by release, or when the application ends."""
+    own = getattr(spark, "_orebody_own", None)
+    if own is None:
+        own = spark._orebody_own = f"{shared_folder(spark)}/application-{uuid.uuid4().hex}"
+        at, system = _system(spark, own)
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+        spark._orebody_written = []
+    path = f"{own}/{what}-{uuid.uuid4().hex}"
+    spark._orebody_written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
@@ -51,5 +66,19 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> int:
+    """How many paths have been given out: a mark for release."""
+    return len(getattr(spark, "_orebody_written", []))
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Remove the tables written since the mark. Frames that read them cannot be used any more."""
+    paths = getattr(spark, "_orebody_written", [])
+    for path in paths[mark:]:
+        at, system = _system(spark, path)
+        system.delete(at, True)
+    del paths[mark:]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
