@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orebody.operators.numbering import nth_key
 from orebody.plans.session import materialise
 
 FLOOR_STD = 0.001
@@ -106,7 +107,8 @@ def _partial_sums(points: DataFrame, means: np.ndarray, far: float) -> tuple[dic
                     own = vecs[c == k]
                     n, s, q = total.get(k, (0, 0.0, 0.0))
                     total[k] = (n + len(own), s + own.sum(0), q + (own * own).sum(0))
-        yield pd.DataFrame({"c": list(total), "n": [x[0] for x in total.values()], "s": [x[1] for x in total.values()], "q": [x[2] for x in total.values()]})
+        if total:
+            yield pd.DataFrame({"c": list(total), "n": [x[0] for x in total.values()], "s": [x[1] for x in total.values()], "q": [x[2] for x in total.values()]})
 
     out = _collected(points.select("vec").mapInPandas(run, "c int, n bigint, s array<double>, q array<double>"))
     gone = out.pop(-1, None)
@@ -170,20 +172,54 @@ def merge_compressed(cs: dict[int, Summary], limit: float) -> tuple[dict[int, Su
 
 @dataclass
 class State:
+    """ds, cs: clusters by number. points: how many points each cluster of a set has. went: where the points of a compression
+    cluster are now, by its first number. parts: (id, set, cid) of every point as it was assigned, written once."""
+
     ds: dict[int, Summary]
     cs: dict[int, Summary]
-    members: DataFrame  # (id, set, cid): every point that is in a discard or compression cluster
-    retained: DataFrame  # (id, vec)
-
-
-def _compress(retained: DataFrame, k: int, start: int, far: float) -> tuple[dict[int, Summary], DataFrame, DataFrame]:
-    """Clusters of more than one point among the retained points: (new clusters by number, members, the rest)."""
-    assigned, stats = kmeans(retained, 3 * k, 10, far)
-    keep = {c: s for c, s in stats.items() if s.n > 1}
-    chosen = assigned.where(F.col("c").isin([int(c) for c in keep])) if keep else assigned.where("false")
-    rest = assigned.where(~F.col("c").isin([int(c) for c in keep])) if keep else assigned
-    members = chosen.select("id", F.lit("cs").alias("set"), (F.col("c") + start).alias("cid"))
-    return {c + start: s for c, s in keep.items()}, members, materialise(rest.select("id", "vec"), "retained")
+    retained: DataFrame
+    parts: list[DataFrame] = field(default_factory=list)
+    points: dict[tuple[str, int], int] = field(default_factory=dict)
+    went: dict[int, tuple[str, int]] = field(default_factory=dict)
+
+    def add(self, to: str, keys: list[int], assigned: DataFrame) -> None:
+        """Take up points assigned to clusters, whose numbers keys[c] belong to c."""
+        target = self.ds if to == "ds" else self.cs
+        for c, s in summaries(assigned).items():
+            target[keys[c]] = target[keys[c]].merged(s)
+            self.points[to, keys[c]] = self.points.get((to, keys[c]), 0) + s.n
+        if keys:
+            names = F.array(*(F.lit(int(k)) for k in keys))
+            self.parts.append(assigned.where("c >= 0").select("id", F.lit(to).alias("set"), F.get(names, F.col("c")).alias("cid")))
+
+    def compress(self, points: DataFrame, k: int, start: int, far: float) -> dict[int, Summary]:
+        """New clusters of more than one point among these; the rest is retained."""
+        assigned, stats = kmeans(points, 3 * k, 10, far)
+        keep = [c for c, s in stats.items() if s.n > 1]
+        inside = F.col("c").isin(keep) if keep else F.lit(False)
+        self.parts.append(assigned.where(inside).select("id", F.lit("cs").alias("set"), (F.col("c") + start).cast("int").alias("cid")))
+        self.retained = materialise(assigned.where(~inside).select("id", "vec"), "retained")
+        for c in keep:
+            self.points["cs", c + start] = stats[c].n
+            self.went[c + start] = ("cs", c + start)
+        return {c + start: stats[c] for c in keep}
+
+    def move(self, cluster: int, to: tuple[str, int]) -> None:
+        """A compression cluster's points go to another cluster."""
+        self.points[to] = self.points.get(to, 0) + self.points.pop(("cs", cluster), 0)
+        self.went = {c: to if now == ("cs", cluster) else now for c, now in self.went.items()}
+
+    def in_set(self, name: str) -> int:
+        return sum(n for (s, _), n in self.points.items() if s == name)
+
+    def members(self) -> DataFrame:
+        """(id, set, cid) as things are now: the parts, through a map of as many rows as there were compression clusters."""
+        every = self.parts[0]
+        for p in self.parts[1:]:
+            every = every.unionByName(p)
+        now = every.sparkSession.createDataFrame([(c, s, k) for c, (s, k) in self.went.items()], "cid int, now_set string, now_cid int")
+        joined = every.join(F.broadcast(now), "cid", "left")
+        return joined.select("id", F.coalesce("now_set", "set").alias("set"), F.coalesce("now_cid", "cid").alias("cid"))
 
 
 def bfr(rounds: list[DataFrame], k: int, far: float = 3000.0, fix_n: bool = False) -> tuple[list[tuple], DataFrame]:
@@ -191,45 +227,38 @@ def bfr(rounds: list[DataFrame], k: int, far: float = 3000.0, fix_n: bool = Fals
     nof_point_discard, nof_cluster_compression, nof_point_compression, nof_point_retained); (point_id, cluster), -1 for
     points that end up in no discard cluster. Clusters are numbered 0..k-1. With one batch there is no final merge. Counts
     of a discard cluster are not raised by the final merge unless fix_n, which changes the distances of later merges. Empty
-    batches change nothing; without any point the counts are 0."""
-    report, state, next_cs = [], None, 1_000_000
+    batches change nothing; without any point the counts are 0. Points are read once a round; what earlier rounds assigned
+    is not touched again, as only summaries of clusters change."""
+    report, state = [], None
     d = next((len(x.vec) for x in (r.select("vec").first() for r in rounds) if x), 0)
+    near = 3 * math.sqrt(d)
     for i, batch in enumerate(rounds):
         batch = materialise(batch.select("id", F.col("vec").cast("array<double>").alias("vec")), "batch")
-        near = 3 * math.sqrt(d)
+        start = (i + 1) * 1_000_000
         if state is None:
             n = batch.count()
-            head = batch.orderBy("id").limit(math.ceil(0.75 * n))
-            assigned, ds = kmeans(head, k, 30, far)
-            members = assigned.where("c >= 0").select("id", F.lit("ds").alias("set"), F.col("c").alias("cid"))
-            rest = batch.join(members.select("id"), "id", "left_anti")
+            head = F.col("id") <= F.lit(nth_key(batch, "id", math.ceil(0.75 * n))) if n else F.lit(True)
+            assigned, ds = kmeans(batch.where(head), k, 30, far)
+            state = State(ds, {}, batch, [assigned.where("c >= 0").select("id", F.lit("ds").alias("set"), F.col("c").alias("cid"))], {("ds", c): s.n for c, s in ds.items()})
+            rest = batch.where(~head).unionByName(assigned.where("c < 0").select("id", "vec"))
             keys, means, stds = _matrix(ds)
             close = materialise(assign(rest, means, stds, math.sqrt(d) / 2), "close")
-            for c, s in summaries(close).items():
-                ds[keys[c]] = ds[keys[c]].merged(s)
-            members = members.unionByName(close.where("c >= 0").select("id", F.lit("ds").alias("set"), F.col("c").alias("cid")))
-            left = close.where("c < 0").select("id", "vec")
-            cs, new, retained = _compress(left, k, next_cs, far)
-            state = State(ds, cs, materialise(members.unionByName(new), "members"), retained)
+            state.add("ds", keys, close)
+            state.cs = state.compress(close.where("c < 0").select("id", "vec"), k, start, far)
         else:
             keys, means, stds = _matrix(state.ds)
             to_ds = materialise(assign(batch, means, stds, near), "to_ds")
-            for c, s in summaries(to_ds).items():
-                state.ds[keys[c]] = state.ds[keys[c]].merged(s)
-            members = state.members.unionByName(to_ds.where("c >= 0").select("id", F.lit("ds").alias("set"), F.col("c").alias("cid")))
+            state.add("ds", keys, to_ds)
             left = to_ds.where("c < 0").select("id", "vec")
             if state.cs:
                 keys, means, stds = _matrix(state.cs)
                 to_cs = materialise(assign(left, means, stds, near), "to_cs")
-                for c, s in summaries(to_cs).items():
-                    state.cs[keys[c]] = state.cs[keys[c]].merged(s)
-                names = F.array(*(F.lit(x) for x in keys))
-                members = members.unionByName(to_cs.where("c >= 0").select("id", F.lit("cs").alias("set"), F.get(names, F.col("c")).alias("cid")))
+                state.add("cs", keys, to_cs)
                 left = to_cs.where("c < 0").select("id", "vec")
-            cs, new, retained = _compress(materialise(state.retained.unionByName(left), "retained"), k, next_cs, far)
-            state.cs, went = merge_compressed(state.cs | cs, near)
-            moved = F.when(F.col("set") == "cs", F.coalesce(*(F.when(F.col("cid") == b, F.lit(a)) for b, a in went.items()), F.col("cid"))).otherwise(F.col("cid")) if went else F.col("cid")
-            state = replace(state, members=materialise(members.unionByName(new).withColumn("cid", moved), "members"), retained=retained)
+            new = state.compress(state.retained.unionByName(left), k, start, far)
+            state.cs, went = merge_compressed(state.cs | new, near)
+            for b, a in went.items():
+                state.move(b, ("cs", a))
             if i == len(rounds) - 1:
                 for c in sorted(state.cs) if state.ds else []:
                     s = state.cs[c]
@@ -237,15 +266,14 @@ def bfr(rounds: list[DataFrame], k: int, far: float = 3000.0, fix_n: bool = Fals
                     if dist < near:
                         merged = state.ds[best].merged(s)
                         state.ds[best] = merged if fix_n else replace(merged, n=state.ds[best].n)
-                        here = (F.col("set") == "cs") & (F.col("cid") == c)
-                        state.members = state.members.withColumns({"cid": F.when(here, F.lit(best)).otherwise(F.col("cid")), "set": F.when(here, F.lit("ds")).otherwise(F.col("set"))})
+                        state.move(c, ("ds", best))
                         del state.cs[c]
                 keys, means, stds = _matrix(state.ds)
                 last = materialise(assign(state.retained, means, stds, near), "last")
-                state.members = materialise(state.members.unionByName(last.where("c >= 0").select("id", F.lit("ds").alias("set"), F.col("c").alias("cid"))), "members")
+                for r in last.where("c >= 0").groupBy("c").agg(F.count("*").alias("n")).collect():
+                    state.points["ds", keys[r.c]] = state.points.get(("ds", keys[r.c]), 0) + r.n
+                state.parts.append(last.where("c >= 0").select("id", F.lit("ds").alias("set"), (F.get(F.array(*(F.lit(int(x)) for x in keys)), F.col("c")) if keys else F.col("c")).alias("cid")))
                 state.retained = last.where("c < 0").select("id", "vec")
-        next_cs += 1_000_000
-        n = {r["set"]: r.n for r in state.members.groupBy("set").agg(F.count("*").alias("n")).collect()}
-        report.append((i + 1, len(state.ds), n.get("ds", 0), len(state.cs), n.get("cs", 0), state.retained.count()))
-    clusters = state.members.select(F.col("id").alias("point_id"), F.when(F.col("set") == "ds", F.col("cid")).otherwise(-1).cast("int").alias("cluster"))
+        report.append((i + 1, len(state.ds), state.in_set("ds"), len(state.cs), state.in_set("cs"), state.retained.count()))
+    clusters = state.members().select(F.col("id").alias("point_id"), F.when(F.col("set") == "ds", F.col("cid")).otherwise(-1).cast("int").alias("cluster"))
     return report, clusters.unionByName(state.retained.select(F.col("id").alias("point_id"), F.lit(-1).alias("cluster")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.operators.skew import TASK, fragment, plan_load
+from orebody.operators.skew import TASK, fragment, plan_load, skew_join
+from orebody.plans.session import materialise
 
 
 def term_weights(reviews: DataFrame, stopwords: DataFrame) -> DataFrame:
@@ -40,20 +41,19 @@ def business_profiles(weights: DataFrame, n: int = 200) -> DataFrame:
 def user_profiles(reviews: DataFrame, profiles: DataFrame, n: int = 600) -> DataFrame:
     """(user_id, word, score, rank): the n best of the distinct (word, score) pairs of the businesses a user reviewed; a
     word may come with several scores."""
-    seen = reviews.select("user_id", "business_id").dropna().distinct()
-    return _best(seen.join(profiles.select("business_id", "word", "score"), "business_id").select("user_id", "word", "score").distinct(), "user_id", n)
+    seen = materialise(reviews.select("user_id", "business_id").dropna().distinct(), "seen")
+    words = skew_join(seen, profiles.select("business_id", "word", "score"), plan_load(seen, ["business_id"]), ["user_id"])
+    return _best(words.select("user_id", "word", "score").distinct(), "user_id", n)
 
 
 def content_similarity(pairs: DataFrame, users: DataFrame, businesses: DataFrame, least: float = 0.01, unknown: float = 1e-5) -> DataFrame:
     """(user_id, business_id, sim) of distinct pairs: common words over the root of the product of the numbers of words;
     `unknown` where either side has no profile; pairs below `least` are left out."""
-    u, b = users.select("user_id", "word").distinct(), businesses.select("business_id", "word").distinct()
-    nu, nb = u.groupBy("user_id").agg(F.count("*").alias("nu")), b.groupBy("business_id").agg(F.count("*").alias("nb"))
+    # a profile is bounded by its number of words, so it is one array
+    u, b = users.groupBy("user_id").agg(F.collect_set("word").alias("uw")), businesses.groupBy("business_id").agg(F.collect_set("word").alias("bw"))
     wanted = pairs.select("user_id", "business_id").dropna().distinct()
-    common = wanted.join(u, "user_id").join(b, ["business_id", "word"]).groupBy("user_id", "business_id").agg(F.count("*").alias("c"))
-    joined = wanted.join(nu, "user_id", "left").join(nb, "business_id", "left").join(common, ["user_id", "business_id"], "left")
-    known = F.col("nu").isNotNull() & F.col("nb").isNotNull()
-    sim = F.when(known, F.coalesce("c", F.lit(0)) / (F.sqrt("nu") * F.sqrt("nb"))).otherwise(unknown)
+    joined = wanted.join(u, "user_id", "left").join(b, "business_id", "left")
+    sim = F.when(F.col("uw").isNotNull() & F.col("bw").isNotNull(), F.size(F.array_intersect("uw", "bw")) / (F.sqrt(F.size("uw")) * F.sqrt(F.size("bw")))).otherwise(unknown)
     return joined.select("user_id", "business_id", F.round(sim, 6).alias("sim")).where(F.col("sim") >= least)
 
 

@@ -59,7 +59,7 @@ def communities(labels: DataFrame, label: str = "label") -> DataFrame:
     return sets.select("size", "members").orderBy("size", "members")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, decimals: int = 6) -> DataFrame:
     """(v1, v2, betweenness), v1 < v2: shares of shortest paths over each edge, from every source (by default every vertex),
     halved. Searches run from all sources at once, level by level; credit then flows back from the deepest level."""
     edges = materialise(edges.select("src", "dst"), "edges")
@@ -88,7 +88,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     for p in parts[1:]:
         every = every.unionByName(p)
     total = every.groupBy(F.least("v", "p").alias("v1"), F.greatest("v", "p").alias("v2")).agg((F.sum("flow") / 2).alias("betweenness"))
-    return total.select("v1", "v2", F.round("betweenness", 6).alias("betweenness"))
+    return total.select("v1", "v2", F.round("betweenness", decimals).alias("betweenness"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
@@ -142,22 +142,57 @@ def _split(adjacent: dict) -> list[list]:
     return out
 
 
+def _cut_spread(placed: DataFrame, m2: float) -> list[DataFrame]:
+    """The rows of cut for components of any size, in tables that are written once a step: in each step the top edge of every
+    component is cut, so there are as many steps as the largest component has edges."""
+    first = materialise(placed, "first")
+    degree = first.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
+    everyone = materialise(first.select("component", F.col("src").alias("id")).distinct(), "everyone")
+    now, out, step, at, state, top, none = first, [], 0, None, None, None, F.lit(None)
+    while True:
+        found = components(now.select("src", "dst")).toDF("id", "c")
+        groups = materialise(everyone.join(found, "id", "left").select("component", "id", F.coalesce("c", "id").alias("community")), "groups")
+        known = groups.select("id", "community")
+        expected = groups.join(degree, "id").groupBy("component", "community").agg(F.sum("k").alias("k"))
+        within = first.join(known.toDF("src", "c1"), "src").join(known.toDF("dst", "c2"), "dst").where("c1 = c2").groupBy("component", F.col("c1").alias("community")).agg(F.count("*").alias("a"))
+        share = F.coalesce("a", F.lit(0)) / m2 - F.pow(F.col("k") / m2, 2)
+        q = expected.join(within, ["component", "community"], "left").groupBy("component").agg(F.sum(share).alias("q"))
+        if state is None:
+            state = q.select("component", "q", F.col("q").alias("gain"), none.cast("double").alias("level"))
+        else:
+            before = state.select("component", F.col("q").alias("before"), "level")
+            state = q.join(before, "component").join(top.select("component", "value"), "component")
+            state = state.select("component", "q", (F.col("q") - F.col("before")).alias("gain"), F.least("level", "value").alias("level"))
+        state = materialise(state, "state")
+        out.append(state.select("component", F.lit(step).alias("step"), "gain", "level", none.alias("id"), none.alias("community")))
+        changed = groups if at is None else groups.join(at.select("id", F.col("community").alias("was")), "id").where("community <> was")
+        out.append(materialise(changed.select("component", F.lit(step).alias("step"), none.cast("double").alias("gain"), none.cast("double").alias("level"), "id", "community"), "changed"))
+        at = groups
+        if now.isEmpty():
+            return out
+        value = betweenness(now.select("src", "dst"), decimals=9).withColumnRenamed("betweenness", "value")
+        ranked = value.join(now.select("component", F.col("src").alias("v1"), F.col("dst").alias("v2")), ["v1", "v2"])
+        best = F.min_by(F.struct("v1", "v2", "value"), F.struct(-F.col("value"), F.col("v1"), F.col("v2")))
+        top = materialise(ranked.groupBy("component").agg(best.alias("e")).select("component", "e.*"), "top")
+        gone = both_directions(top, "v1", "v2")
+        now = materialise(now.join(gone, ["src", "dst"], "left_anti").select("component", "src", "dst"), "edges")
+        step += 1
+
+
 def girvan_newman(edges: DataFrame) -> DataFrame:
     """(id, community, modularity): the best partition when the edge of the highest betweenness (equal ones by component
     and edge) is cut again and again; the first partition of the highest modularity holds, the uncut graph is no candidate.
 
     What a cut does stays inside its component, so every component is cut on its own, in parallel. The global order of the
     cuts follows from a sort: a cut comes when the least value that its component has shown so far is the highest of all.
-    A running sum of the changes in modularity over that order finds the best moment. A component must have at most
-    MOST_VERTICES vertices, beyond which the cubic method is out of reach anyway."""
+    A running sum of the changes in modularity over that order finds the best moment. A component of more than MOST_VERTICES
+    vertices is cut edge by edge with all its searches spread over the tasks (_cut_spread), with the same result."""
     edges = materialise(edges.select("src", "dst"), "edges")
     placed = materialise(edges.join(components(edges), edges.src == F.col("id")).select("component", "src", "dst"), "placed")
     most = placed.groupBy("component").agg(F.countDistinct("src").alias("n")).agg(F.max("n")).first()[0]
     kind = edges.schema["src"].dataType
     if most is None:
         return edges.sparkSession.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("community", kind), T.StructField("modularity", T.DoubleType())]))
-    if most > MOST_VERTICES:
-        raise ValueError(f"a component has {most} vertices, more than {MOST_VERTICES}")
     m2 = float(edges.count())
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,7 +221,12 @@ def girvan_newman(edges: DataFrame) -> DataFrame:
             step += 1
 
     schema = T.StructType([T.StructField("component", kind), T.StructField("step", T.IntegerType()), T.StructField("gain", T.DoubleType()), T.StructField("level", T.DoubleType()), T.StructField("id", kind), T.StructField("community", kind)])
-    states = materialise(placed.groupBy("component").applyInPandas(cut, schema), "cuts")
+    big = F.broadcast(placed.groupBy("component").agg(F.countDistinct("src").alias("n")).where(F.col("n") > MOST_VERTICES).select("component")) if most > MOST_VERTICES else None
+    small = placed if big is None else placed.join(big, "component", "left_anti")
+    states = materialise(small.groupBy("component").applyInPandas(cut, schema), "cuts")
+    if big is not None:
+        for part in _cut_spread(placed.join(big, "component", "left_semi"), m2):
+            states = states.unionByName(part.select(*(F.col(f.name).cast(f.dataType) for f in schema)))
     lines = states.where("id is null")
     base = lines.where("step = 0").agg(F.sum("gain")).first()[0]
     order = ["down", "component", "step"]

@@ -35,3 +35,15 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     offsets = spark.createDataFrame(moves, "__p int, __before double")
     inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order))
     return placed.withColumn("__s", inside).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__s") + F.col("__before")).drop("__p", "__s", "__before")
+
+
+def nth_key(df: DataFrame, key: str, n: int) -> object:
+    """The n-th smallest value of a unique key, from 1. Only the range of keys that holds it is numbered, in one task."""
+    placed = materialise(df.select(key).repartitionByRange(shuffle_partitions(df.sparkSession), key).withColumn("__p", F.spark_partition_id()), "keys")
+    before = 0
+    for r in placed.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect():
+        if before + r.n >= n:
+            number = F.row_number().over(Window.partitionBy("__p").orderBy(key))
+            return placed.where(F.col("__p") == r["__p"]).withColumn("__r", number).where(F.col("__r") == n - before).first()[key]
+        before += r.n
+    raise IndexError(f"there are fewer than {n} keys")

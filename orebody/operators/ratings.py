@@ -46,7 +46,8 @@ def pearson_all(ratings: DataFrame, item: str, by: str, least: int = 3) -> DataF
 def pearson_of(pairs: DataFrame, ratings: DataFrame, item: str, by: str, least: int = 3) -> DataFrame:
     """As pearson_all for given pairs (r1, r2)."""
     r = ratings.select(F.col(item).alias("i"), F.col(by).alias("k"), "stars").dropna()
-    one = pairs.select(F.col("r1").alias("i1"), F.col("r2").alias("i2")).join(r.select(F.col("i").alias("i1"), "k", F.col("stars").alias("x")), "i1")
+    wanted = materialise(pairs.select(F.col("r1").alias("i1"), F.col("r2").alias("i2")), "wanted")
+    one = skew_join(wanted, r.select(F.col("i").alias("i1"), "k", F.col("stars").alias("x")), plan_load(wanted, ["i1"]), ["i2"]).drop(TASK)
     both = one.join(r.select(F.col("i").alias("i2"), "k", F.col("stars").alias("y")), ["i2", "k"])
     return _correlation(_sums(both, ["i1", "i2"]), least).select("i1", "i2", "sim", "n")
 
@@ -81,9 +82,10 @@ def _nearest(df: DataFrame, n: int) -> DataFrame:
 def predict_by_items(test: DataFrame, train: DataFrame, model: DataFrame, n: int = 5, default: float = 3.5) -> DataFrame:
     """(u, b, stars) for distinct test pairs whose user has ratings: the mean of the user's ratings of the n most similar
     items, weighted by similarity (equal ones by item); without any, the item's average, else the default."""
-    pairs = test.select("u", "b").dropna().distinct()
+    pairs = materialise(test.select("u", "b").dropna().distinct(), "wanted")
     rated = train.select("u", F.col("b").alias("far"), "stars")
-    near = _nearest(pairs.join(rated, "u").join(_both_ways(model, "b1", "b2").withColumnRenamed("own", "b"), ["b", "far"]), n)
+    met = skew_join(pairs, rated, plan_load(pairs, ["u"]), ["b"]).drop(TASK)
+    near = _nearest(met.join(_both_ways(model, "b1", "b2").withColumnRenamed("own", "b"), ["b", "far"]), n)
     guess = near.groupBy("u", "b").agg(F.sum(F.col("stars") * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den"))
     known = pairs.join(train.select("u").distinct(), "u", "left_semi")
     out = known.join(guess, ["u", "b"], "left").join(averages(train, "b"), "b", "left")
@@ -93,10 +95,11 @@ def predict_by_items(test: DataFrame, train: DataFrame, model: DataFrame, n: int
 def predict_by_users(test: DataFrame, train: DataFrame, model: DataFrame, n: int = 5, default: float = 3.5) -> DataFrame:
     """(u, b, stars) for distinct test pairs whose item has ratings: the user's average plus the similarity-weighted mean
     of how the n most similar raters of the item deviate from theirs; without any, the user's average, else the default."""
-    pairs = test.select("u", "b").dropna().distinct()
+    pairs = materialise(test.select("u", "b").dropna().distinct(), "wanted")
     mean = averages(train, "u")
     raters = train.select(F.col("u").alias("far"), "b", "stars")
-    near = _nearest(pairs.join(raters, "b").join(_both_ways(model, "i1", "i2").withColumnRenamed("own", "u"), ["u", "far"]), n)
+    met = skew_join(pairs, raters, plan_load(pairs, ["b"]), ["u"]).drop(TASK)
+    near = _nearest(met.join(_both_ways(model, "i1", "i2").withColumnRenamed("own", "u"), ["u", "far"]), n)
     near = near.join(mean.select(F.col("u").alias("far"), F.col("avg").alias("far_avg")), "far", "left")
     guess = near.groupBy("u", "b").agg(F.sum((F.col("stars") - F.coalesce("far_avg", F.lit(default))) * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den"))
     known = pairs.join(train.select("b").distinct(), "b", "left_semi")

@@ -24,13 +24,13 @@ def signatures(df: DataFrame, record: str, member: str, family: Sequence[tuple[i
 
     All functions are computed in one pass and minimised before the exchange; nulls are no members and no records."""
     pairs = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna(), "pairs")
-    numbered = pairs.join(dense_index(pairs, "t"), "t")
+    numbered = skew_join(pairs, dense_index(pairs, "t"), plan_load(pairs, ["t"]), ["r"])
     least = numbered.groupBy("r").agg(*(F.min(((F.lit(a) * F.col("idx") + F.lit(b)) % p) % m).alias(f"h{i}") for i, (a, b) in enumerate(family)))
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("h")) for i in range(len(family)))))
     return least.select(F.col("r").alias(record), each.alias("s")).select(record, "s.i", "s.h")
 
 
-def candidates(sig: DataFrame, record: str, rows_per_band: int = 1, members: int | None = None) -> DataFrame:
+def candidates(sig: DataFrame, record: str, rows_per_band: int = 1) -> DataFrame:
     """Distinct (r1, r2), r1 < r2, with equal hashes in all rows of some band. Buckets that hold many records are cut into
     shards on one side of the join, so no task joins a whole hot bucket."""
     banded = sig.select(F.col(record).alias("r"), F.floor(F.col("i") / rows_per_band).alias("band"), "i", "h")
@@ -45,14 +45,30 @@ def candidates(sig: DataFrame, record: str, rows_per_band: int = 1, members: int
 
 
 def jaccard_of(pairs: DataFrame, df: DataFrame, record: str, member: str, threshold: float) -> DataFrame:
-    """(r1, r2, sim) of the given pairs whose exact Jaccard similarity reaches the threshold, counted by joins."""
+    """(r1, r2, sim) of the given pairs whose exact Jaccard similarity reaches the threshold, counted by joins: of each pair the
+    smaller set is looked up in the larger one, or, where that is less to do, all meetings of records are counted and those
+    of the pairs kept."""
     sets = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct(), "sets")
     size = sets.groupBy("r").agg(F.count("*").alias("n"))
-    one = pairs.join(sets.select(F.col("r").alias("r1"), "t"), "r1")
-    shared = one.join(sets.select(F.col("r").alias("r2"), "t"), ["r2", "t"]).groupBy("r1", "r2").agg(F.count("*").alias("common"))
+    pairs = materialise(pairs.select("r1", "r2"), "pairs")
+    mean = size.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
+    if _pairs_in(sets) < pairs.count() * mean:
+        shared = shared_members(sets, "r", "t").join(pairs, ["r1", "r2"], "left_semi")
+    else:
+        shared = _common(pairs, sets, size)
     return _similarity(shared, size, threshold)
 
 
+def _common(pairs: DataFrame, sets: DataFrame, size: DataFrame) -> DataFrame:
+    """(r1, r2, common) of the pairs (r1 < r2) with a member in common; a record of many pairs is spread over tasks."""
+    sized = pairs.join(size.toDF("r1", "n1"), "r1").join(size.toDF("r2", "n2"), "r2")
+    first = F.col("n1") <= F.col("n2")
+    near = materialise(sized.select(F.when(first, F.col("r1")).otherwise(F.col("r2")).alias("a"), F.when(first, F.col("r2")).otherwise(F.col("r1")).alias("b")), "near")
+    both = skew_join(near, sets.withColumnRenamed("r", "a"), plan_load(near, ["a"]), ["b"]).join(sets.withColumnRenamed("r", "b"), ["b", "t"])
+    counted = both.groupBy("a", "b").agg(F.count("*").alias("common"))
+    return counted.select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"), "common")
+
+
 def _similarity(shared: DataFrame, size: DataFrame, threshold: float) -> DataFrame:
     n1, n2 = (size.select(F.col("r").alias(f"r{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     both = shared.join(n1, "r1").join(n2, "r2")
@@ -86,12 +102,7 @@ def shared_members(df: DataFrame, record: str, member: str, least: int = 1) -> D
         mean = size.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
         if _pairs_in(first) * (1 + mean) < _pairs_in(sets):
             near = _meeting(first).select("r1", "r2").distinct()
-            near = near.join(size.toDF("r1", "n1"), "r1").join(size.toDF("r2", "n2"), "r2")
-            small, large = F.when(F.col("n1") <= F.col("n2"), F.col("r1")), F.when(F.col("n1") <= F.col("n2"), F.col("r2"))
-            near = materialise(near.select(small.otherwise(F.col("r2")).alias("a"), large.otherwise(F.col("r1")).alias("b")), "near")
-            both = near.join(sets.withColumnRenamed("r", "a"), "a").join(sets.withColumnRenamed("r", "b"), ["b", "t"])
-            counted = both.groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
-            return counted.select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"), "common")
+            return _common(near, sets, size).where(F.col("common") >= least)
     # added up inside each task first: a pair meets in as many tasks as have members in common
     return _meeting(sets).groupBy(TASK, "r1", "r2").agg(F.count("*").alias("c")).groupBy("r1", "r2").agg(F.sum("c").alias("common")).where(F.col("common") >= least)
 

@@ -266,8 +266,10 @@ def user_profiles(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, business_id, sim FROM x WHERE sim >= 0.01""")
 def content_similarity(spark: SparkSession, d: str) -> DataFrame:
     profiles = materialise(_profiles(spark, d), "profiles")
-    people = materialise(content.user_profiles(reviews(spark, d, "user_id", "business_id"), profiles), "profiles")
-    return content.content_similarity(table(spark, d, "test_review"), people, profiles)
+    pairs = table(spark, d, "test_review").select("user_id", "business_id")
+    # only users that are asked for need a profile
+    seen = reviews(spark, d, "user_id", "business_id").join(pairs.select("user_id"), "user_id", "left_semi")
+    return content.content_similarity(pairs, content.user_profiles(seen, profiles), profiles)
 
 
 # ratings

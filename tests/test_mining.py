@@ -200,6 +200,14 @@ def test_graph(spark):
     assert [tuple(x) for x in sizes] == [(1, "3"), (2, "1, 2")]
 
 
+def test_girvan_newman_of_large_components(spark, monkeypatch):
+    """A component beyond the bound is cut by spread searches, with the same result."""
+    edges = graph.both_directions(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (10, 11), (11, 12)], "a int, b int"), "a", "b")
+    whole = rows(graph.girvan_newman(edges))
+    monkeypatch.setattr(graph, "MOST_VERTICES", 3)
+    assert rows(graph.girvan_newman(edges)) == whole
+
+
 def test_long_path_and_empty_graph(spark):
     path = graph.both_directions(spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int"), "a", "b")
     assert {x.component for x in graph.components(path).collect()} == {0}
