@@ -48,7 +48,12 @@ def top_words(spark: SparkSession, d: str) -> DataFrame:
     return explore.top_words(reviews(spark, d, "text"), "text", table(spark, d, "stopwords"), 50)
 
 
-@query()
+@query(f"""WITH {REVIEWS_SQL}, c AS (SELECT count(*) AS n_reviews, count(*) FILTER (contains(date, '{YEAR}')) AS n_year, count(DISTINCT user_id) AS n_users FROM reviews),
+    u AS (SELECT user_id, count(*) AS n FROM reviews WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 25),
+    s AS (SELECT unnest(string_split(lower(text), ' ')) AS w FROM reviews WHERE text IS NOT NULL),
+    w AS (SELECT translate(w, '([,.!?:;])', '') AS word, count(*) AS n FROM s WHERE w NOT IN (SELECT trim(value) FROM stopwords) GROUP BY 1 ORDER BY n DESC, word LIMIT 50)
+    SELECT 'counts' AS name, to_json(list(c))::VARCHAR AS value FROM c UNION ALL SELECT 'users', to_json(list(u ORDER BY user_id))::VARCHAR FROM u
+    UNION ALL SELECT 'words', to_json(list(w ORDER BY word))::VARCHAR FROM w""")
 def explore_report(spark: SparkSession, d: str) -> DataFrame:
     return explore.report({"counts": explore_counts(spark, d), "users": top_users(spark, d), "words": top_words(spark, d)})
 
@@ -118,17 +123,6 @@ def _all_sets_sql(pairs: str, share: float, floor: int) -> str:
         SELECT size, items, count(*) AS support FROM occ GROUP BY size, items HAVING count(*) >= (SELECT s FROM least)"""
 
 
-def _itemset_sql(pairs: str, share: float, most: int, floor: int = 1) -> str:
-    parts = []
-    for k in range(1, most + 1):
-        items = ", ".join(f"a{i}.item" for i in range(k))
-        joins = " ".join(f"JOIN live a{i} ON a{i}.basket = a0.basket AND a{i}.item > a{i - 1}.item" for i in range(1, k))
-        parts.append(f"SELECT {k} AS size, [{items}] AS items, count(*) AS support FROM live a0 {joins} GROUP BY {items} HAVING count(*) >= (SELECT s FROM least)")
-    return f"""pairs AS ({pairs}), least AS (SELECT greatest({floor}, ceil(count(DISTINCT basket) * {round(share * 10_000)} / 10000)::BIGINT) AS s FROM pairs),
-        live AS (SELECT basket, item FROM pairs WHERE item IN (SELECT item FROM pairs GROUP BY item HAVING count(*) >= (SELECT s FROM least))),
-        sets AS ({" UNION ALL ".join(parts)})"""
-
-
 _BRANDS = "SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 _TYPES = "SELECT DISTINCT l_orderkey AS basket, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 _PLACES = """SELECT DISTINCT user_id AS basket, business_id AS item FROM train_review WHERE user_id IS NOT NULL AND business_id IS NOT NULL
@@ -138,25 +132,25 @@ _PEOPLE = """SELECT DISTINCT business_id AS basket, user_id AS item FROM train_r
     AND business_id IN (SELECT business_id FROM train_review WHERE user_id IS NOT NULL GROUP BY business_id HAVING count(DISTINCT user_id) > 3)"""
 
 
-@query(f"WITH {_itemset_sql(_BRANDS, BRAND_SHARE, 4)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
+@query(f"WITH RECURSIVE {_all_sets_sql(_BRANDS, BRAND_SHARE, 1)}")
 def freq_brands(spark: SparkSession, d: str) -> DataFrame:
     pairs = _order_items(spark, d, "p_brand")
     return itemsets.apriori(pairs, _support(pairs, BRAND_SHARE)).withColumn("items", F.array_join("items", "|"))
 
 
-@query(f"WITH {_itemset_sql(_TYPES, TYPE_SHARE, 6)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
+@query(f"WITH RECURSIVE {_all_sets_sql(_TYPES, TYPE_SHARE, 1)}")
 def freq_types(spark: SparkSession, d: str) -> DataFrame:
     pairs = _order_items(spark, d, "p_type")
     return itemsets.apriori(pairs, _support(pairs, TYPE_SHARE)).withColumn("items", F.array_join("items", "|"))
 
 
-@query(f"WITH {_itemset_sql(_TYPES, TYPE_SHARE, 6)} SELECT size, array_to_string(items, '|') AS items, support FROM sets")
+@query(f"WITH RECURSIVE {_all_sets_sql(_TYPES, TYPE_SHARE, 1)}")
 def son_types(spark: SparkSession, d: str) -> DataFrame:
     pairs = _order_items(spark, d, "p_type")
     return itemsets.son(pairs, _support(pairs, TYPE_SHARE)).withColumn("items", F.array_join("items", "|"))
 
 
-@query(f"WITH {_itemset_sql(_TYPES, TYPE_SHARE, 6)}, n AS (SELECT count(*) AS n FROM sets) SELECT n AS n_left, n AS n_right, n AS n_both FROM n")
+@query(f"WITH sets AS (WITH RECURSIVE {_all_sets_sql(_TYPES, TYPE_SHARE, 1)}), n AS (SELECT count(*) AS n FROM sets) SELECT n AS n_left, n AS n_right, n AS n_both FROM n")
 def fpgrowth_vs_son(spark: SparkSession, d: str) -> DataFrame:
     pairs = _order_items(spark, d, "p_type")
     s = _support(pairs, TYPE_SHARE)
@@ -177,12 +171,26 @@ def freq_users(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.apriori(pairs, max(3, _support(pairs, 0.1))).withColumn("items", F.array_join("items", "|"))
 
 
-@query()
+_ITEMSET_LINES = f"""WITH sets AS (WITH RECURSIVE {_all_sets_sql(_TYPES, TYPE_SHARE, 1)}), s AS (SELECT size, string_split(items, '|') AS items FROM sets)
+    SELECT size, string_agg('(' || array_to_string(list_transform(items, lambda x: \'\'\'\' || x || \'\'\'\'), ', ') || ')', ',' ORDER BY items) AS value FROM s GROUP BY size"""
+
+
+@query(_ITEMSET_LINES)
 def itemset_report(spark: SparkSession, d: str) -> DataFrame:
     pairs = _order_items(spark, d, "p_type")
     return sinks.itemset_lines(itemsets.apriori(pairs, _support(pairs, TYPE_SHARE)))
 
 
+@query(f"WITH RECURSIVE {_all_sets_sql(_TYPES, TYPE_SHARE, 1)}")
+def saved_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Itemsets stored as lines of text, read again and counted anew."""
+    path, pairs = shared_path(spark, "itemsets"), _order_items(spark, d, "p_type")
+    support = _support(pairs, TYPE_SHARE)
+    sinks.text_lines(itemsets.apriori(pairs, support).select(F.array_join("items", ", ").alias("value")), path)
+    kept = readers.itemset_text(spark, path).select(F.array_join("items", "|").alias("items"), F.size("items").alias("size"))
+    return kept.join(itemsets.son(pairs, support).select(F.array_join("items", "|").alias("items"), "support"), "items")
+
+
 # similarity
 
 MINHASH = similar.hash_family(50, 50_000, 42)
@@ -316,11 +324,19 @@ def item_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 USER_HASHES, USER_SEED = 25, 42
-_USER_SQL = f"""{_TRAIN_SQL}, {_signature_sql("SELECT u AS r, b AS t FROM train WHERE u IN (SELECT u FROM train GROUP BY u HAVING count(*) >= 3)", PRIME, PRIME, similar.hash_family(USER_HASHES, PRIME - 1, USER_SEED))},
-    n AS (SELECT r, count(*) AS n FROM pairs GROUP BY r),
-    common AS (SELECT a.r AS r1, b.r AS r2, count(*) AS c FROM pairs a JOIN pairs b ON a.t = b.t AND a.r < b.r GROUP BY ALL),
-    near_pairs AS (SELECT r1, r2 FROM common JOIN cand USING (r1, r2) JOIN n p ON r1 = p.r JOIN n q ON r2 = q.r WHERE c / (p.n + q.n - c) >= 0.01),
-    {_pearson_sql("train", "u", "b", 3, "upear", "JOIN near_pairs np ON np.r1 = a.i AND np.r2 = b.i")}, umodel AS (SELECT i1, i2, sim FROM upear WHERE sim > 0)"""
+
+
+def _lsh_model_sql(source: str, item: str, by: str, least: int, functions: int, name: str) -> str:
+    """Candidates of one row a band among items of enough ratings, of enough Jaccard and positive correlation."""
+    kept = f"SELECT {item} AS r, {by} AS t FROM {source} WHERE {item} IN (SELECT {item} FROM {source} GROUP BY {item} HAVING count(*) >= {least})"
+    return f"""{_signature_sql(kept, PRIME, PRIME, similar.hash_family(functions, PRIME - 1, USER_SEED))},
+        n AS (SELECT r, count(*) AS n FROM pairs GROUP BY r),
+        common AS (SELECT a.r AS r1, b.r AS r2, count(*) AS c FROM pairs a JOIN pairs b ON a.t = b.t AND a.r < b.r GROUP BY ALL),
+        near_pairs AS (SELECT r1, r2 FROM common JOIN cand USING (r1, r2) JOIN n p ON r1 = p.r JOIN n q ON r2 = q.r WHERE c / (p.n + q.n - c) >= 0.01),
+        {_pearson_sql(source, item, by, 3, f"{name}_p", "JOIN near_pairs np ON np.r1 = a.i AND np.r2 = b.i")}, {name} AS (SELECT i1, i2, sim FROM {name}_p WHERE sim > 0)"""
+
+
+_USER_SQL = f"{_TRAIN_SQL}, {_lsh_model_sql('train', 'u', 'b', 3, USER_HASHES, 'umodel')}"
 
 
 def _user_model(train: DataFrame) -> DataFrame:
@@ -332,7 +348,7 @@ def user_model(spark: SparkSession, d: str) -> DataFrame:
     return _user_model(order_ratings(spark, d, False))
 
 
-@query()
+@query(f"WITH {order_ratings_sql('every')}, {_lsh_model_sql('every', 'b', 'u', 5, 60, 'imodel')} SELECT i1, i2, sim FROM imodel")
 def project_item_model(spark: SparkSession, d: str) -> DataFrame:
     """Items of five or more ratings, 60 functions of one row each."""
     return ratings.lsh_model(order_ratings(spark, d), "b", "u", 5, 60, PRIME, PRIME, PRIME - 1)
@@ -495,11 +511,26 @@ def review_modularity(spark: SparkSession, d: str) -> DataFrame:
     return graph.modularity(edges, graph.label_propagation(edges))
 
 
-@query()
+# shares of shortest paths over each edge: paths to its one end, times paths from its other end, by paths in all
+_BETWEENNESS_SQL = f"""{_REVIEW_GRAPH_SQL}, n AS (SELECT count(DISTINCT src) AS n FROM edges),
+    reach AS (SELECT DISTINCT src AS s, src AS v, 0 AS d FROM edges UNION SELECT r.s, e.dst, r.d + 1 FROM reach r JOIN edges e ON r.v = e.src WHERE r.d < (SELECT n FROM n)),
+    dist AS (SELECT s, v, min(d) AS d FROM reach GROUP BY ALL),
+    paths AS (SELECT DISTINCT src AS s, src AS v, 0 AS d, 1.0::DOUBLE AS n FROM edges
+        UNION ALL SELECT p.s, e.dst, p.d + 1, sum(p.n) FROM paths p JOIN edges e ON p.v = e.src JOIN dist k ON k.s = p.s AND k.v = e.dst AND k.d = p.d + 1 GROUP BY ALL),
+    flow AS (SELECT e.src, e.dst, a.n * b.n / c.n AS f FROM edges e JOIN paths a ON a.v = e.src JOIN paths b ON b.s = e.dst JOIN paths c ON c.s = a.s AND c.v = b.v AND c.d = a.d + 1 + b.d),
+    between_ AS (SELECT least(src, dst) AS v1, greatest(src, dst) AS v2, round(sum(f) / 2, 6) AS betweenness FROM flow GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_BETWEENNESS_SQL} SELECT v1, v2, betweenness FROM between_")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return graph.betweenness(_review_graph(spark, d))
 
 
+@query(f"""WITH RECURSIVE {_BETWEENNESS_SQL} SELECT '(''' || v1 || ''', ''' || v2 || '''), ' || betweenness::VARCHAR AS value FROM between_""")
+def betweenness_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.edge_lines(graph.betweenness(_review_graph(spark, d)))
+
+
 @query()
 def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
     return graph.girvan_newman(_review_graph(spark, d))
@@ -551,7 +582,15 @@ def fm_windowed(spark: SparkSession, d: str) -> DataFrame:
     return sketches.fm_maxima(rows, "props", ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+# two means in one dimension, ten times; a value farther than the bound from both is out for good
+_TWO_MEANS_SQL = f"""two AS (SELECT start, truth, 0 AS k, v[2] AS m1, v[1] AS m2, v AS live FROM (SELECT start, truth, list_transform([{", ".join(f"r{i}" for i in range(10))}], lambda r: pow(2, r)::DOUBLE) AS v FROM fm)
+        UNION ALL SELECT start, truth, k + 1, CASE WHEN len(g1) > 0 THEN list_avg(g1) WHEN len(g2) > 0 THEN list_avg(g2) ELSE m1 END,
+            CASE WHEN len(g1) > 0 AND len(g2) > 0 THEN list_avg(g2) WHEN len(g1) + len(g2) = 0 THEN m2 END, CASE WHEN len(g1) + len(g2) = 0 THEN [] ELSE list_concat(g1, g2) END
+        FROM (SELECT *, list_filter(live, lambda v: abs(v - m1) <= {sketches.FM_FAR} AND abs(v - m1) <= coalesce(abs(v - m2), 1e300)) AS g1,
+            list_filter(live, lambda v: coalesce(abs(v - m2), 1e300) <= {sketches.FM_FAR} AND abs(v - m1) > coalesce(abs(v - m2), 1e300)) AS g2 FROM two WHERE k < 10))"""
+
+
+@query(f"WITH RECURSIVE {_WINDOWS_SQL}, {_fm_sql('w')}, {_TWO_MEANS_SQL} SELECT start, truth, floor((greatest(m1, coalesce(m2, m1)) + least(m1, coalesce(m2, m1))) / 2)::BIGINT AS estimate FROM two WHERE k = 10")
 def fm_estimates(spark: SparkSession, d: str) -> DataFrame:
     return sketches.fm_estimates(fm_windowed(spark, d)).select("start", "truth", "estimate")
 
