@@ -160,6 +160,9 @@ def _top_sql(n: int, columns: str) -> str:
 
 SQL = {
     "p6_found": f"WITH {_SETS_SQL} SELECT r1 AS b1, r2 AS b2 FROM pairs",
+    "p6_links": f"""WITH {_SETS_SQL}, sets AS (SELECT m.r, string_agg(t, ' ' ORDER BY t) AS s FROM m JOIN z USING (r) GROUP BY m.r),
+        ends AS (SELECT r1 AS r FROM pairs UNION ALL SELECT r2 FROM pairs), k AS (SELECT r, count(*) AS n FROM ends GROUP BY r)
+        SELECT r AS business_id, min(r) OVER (PARTITION BY s) AS class_id, coalesce(n, 0) AS n_links FROM sets LEFT JOIN k USING (r)""",
     "p7_found": f"WITH {_GRAMS_SQL} SELECT gram AS term, mark FROM marked WHERE n = 1 AND mark IS NOT NULL",
     "p7_terms": f"WITH {_GRAMS_SQL} SELECT gram AS term, occurrences, records, mark FROM marked WHERE n = 1",
     "p7_ngrams": f"WITH {_GRAMS_SQL} SELECT n, gram, occurrences, records, mark FROM marked",
