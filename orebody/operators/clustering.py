@@ -115,13 +115,14 @@ def _partial_sums(points: DataFrame, means: np.ndarray, far: float) -> tuple[dic
     return out, gone.n if gone else 0
 
 
-def kmeans(points: DataFrame, k: int, rounds: int, far: float = 3000.0, seed: int = 666) -> tuple[DataFrame, dict[int, Summary]]:
-    """(assigned, summaries): Euclidean k-means from k points of the least hash. A point farther than `far` from its nearest
+def kmeans(points: DataFrame, k: int, rounds: int, far: float = 3000.0, seed: int = 666, first: np.ndarray | None = None) -> tuple[DataFrame, dict[int, Summary]]:
+    """(assigned, summaries): Euclidean k-means from k points of the least hash, or from the first means given. A point farther than `far` from its nearest
     mean is out for good (c = -1); clusters without points vanish; it ends when no mean moves, or after so many rounds.
     Clusters are numbered from 0 in both results."""
     points = materialise(points.select("id", F.col("vec").cast("array<double>").alias("vec")), "points")
-    first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()
-    means, live, out = np.array([r.vec for r in first]), points, None
+    if first is None:
+        first = np.array([r.vec for r in points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()])
+    means, live, out = first, points, None
     for _ in range(rounds):
         if not len(means):
             break

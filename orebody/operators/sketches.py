@@ -97,9 +97,12 @@ def sliding(df: DataFrame, ts: str, length: str = "3 hours", slide: str = "1 hou
 
 
 def ranked_values(df: DataFrame, value: str, ranks: int = 3) -> DataFrame:
-    """(value, n, rank): values whose count is among the `ranks` highest distinct counts; nulls are left out. Counts above
-    the last of these are found first, from the distinct counts."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    """(value, n, rank): values whose count is among the `ranks` highest distinct counts; nulls are left out."""
+    return ranked_counts(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value, ranks)
+
+
+def ranked_counts(counts: DataFrame, value: str, ranks: int = 3) -> DataFrame:
+    """As ranked_values, of counts (value, n). Counts above the last of the ranks are found first, from the distinct counts."""
     top = counts.select("n").distinct().orderBy(F.desc("n")).limit(ranks)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"))).alias("rank")  # at most `ranks` rows
     return counts.join(F.broadcast(top.select("n", rank)), "n").select(value, "n", "rank")

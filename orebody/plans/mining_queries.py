@@ -241,14 +241,18 @@ def lsh_quality(spark: SparkSession, d: str) -> DataFrame:
 
 # content
 
-_WEIGHTS_SQL = f"""{REVIEWS_SQL},
+def _weights_sql(of_business: int = 200, of_user: int = 600) -> str:
+    return f"""{REVIEWS_SQL},
     w AS (SELECT business_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM reviews WHERE business_id IS NOT NULL AND text IS NOT NULL),
     k AS (SELECT business_id, word, count(*) AS c FROM w WHERE word NOT IN (SELECT trim(value) FROM stopwords) GROUP BY ALL),
     s AS (SELECT business_id, word, round(c / max(c) OVER (PARTITION BY business_id) * log2((SELECT count(DISTINCT business_id) FROM reviews) / count(*) OVER (PARTITION BY word)), 6) AS score FROM k),
-    prof AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY score DESC, word) AS rank FROM s) WHERE rank <= 200),
+    prof AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY score DESC, word) AS rank FROM s) WHERE rank <= {of_business}),
     seen AS (SELECT DISTINCT user_id, business_id FROM reviews WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
     upairs AS (SELECT DISTINCT user_id, word, score FROM seen JOIN prof USING (business_id)),
-    uprof AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, word) AS rank FROM upairs) WHERE rank <= 600)"""
+    uprof AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, word) AS rank FROM upairs) WHERE rank <= {of_user})"""
+
+
+_WEIGHTS_SQL = _weights_sql()
 
 
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +284,19 @@ def content_similarity(spark: SparkSession, d: str) -> DataFrame:
     return content.content_similarity(pairs, content.user_profiles(seen, profiles), profiles)
 
 
+@query(f"""WITH {_weights_sql(5, 10)} SELECT 'business' AS side, business_id AS id, word FROM prof UNION ALL SELECT 'user', user_id, word FROM uprof""")
+def content_document(spark: SparkSession, d: str) -> DataFrame:
+    """Short profiles stored as one document of two lists and read again."""
+    path = shared_path(spark, "model")
+    weights = content.term_weights(reviews(spark, d, "business_id", "text"), table(spark, d, "stopwords"))
+    profiles = materialise(content.business_profiles(weights, 5), "profiles")
+    people = content.user_profiles(reviews(spark, d, "user_id", "business_id"), profiles, 10)
+    sinks.json_report({"business": content.model_document(profiles, "business_id"), "user": content.model_document(people, "user_id")}, path)
+    of_users, of_businesses = readers.content_model(spark, path)
+    one = of_businesses.select(F.lit("business").alias("side"), F.col("business_id").alias("id"), "word")
+    return one.unionByName(of_users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "word"))
+
+
 # ratings
 
 _TRAIN_SQL, _TEST_SQL = order_ratings_sql("train", "l_orderkey % 10 <> 0"), order_ratings_sql("test", "l_orderkey % 10 = 0")
@@ -560,6 +577,16 @@ def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     return sketches.bloom_probe(table(spark, d, "business").select("business_id", "added_at", "city"), "city", _bits(spark, d))
 
 
+@query(f"""WITH {_BITS_SQL}, c AS (SELECT DISTINCT city, {_CODE_SQL.format("city", sketches.BLOOM_P)} AS x FROM business WHERE city IS NOT NULL AND city <> ''),
+    h AS (SELECT city, bool_and(((a * x + b) % {sketches.BLOOM_P}) % {sketches.BLOOM_M} IN (SELECT bit FROM bits)) AS hit FROM c, (VALUES {_BLOOM_VALUES}) f(a, b) GROUP BY city)
+    SELECT string_agg(CASE WHEN hit THEN '1' ELSE '0' END, ' ' ORDER BY coalesce(business_id, ''), added_at, coalesce(business.city, '')) AS value FROM business LEFT JOIN h ON business.city = h.city""")
+def bloom_line(spark: SparkSession, d: str) -> DataFrame:
+    """The predictions on one line, in the order of the records."""
+    probed = sketches.bloom_probe(table(spark, d, "business").select("business_id", "added_at", "city"), "city", _bits(spark, d))
+    row = F.struct(F.coalesce("business_id", F.lit("")), "added_at", F.coalesce("city", F.lit("")))
+    return sinks.prediction_line(probed.withColumn("row", row))
+
+
 def _fm_sql(by: str) -> str:
     zeros = ", ".join(f"coalesce(max(CASE WHEN h{i} <> 0 THEN log2(h{i} & -h{i})::INTEGER END), 0) AS r{i}" for i in range(10))
     hashes = ", ".join(f"({a} * x + {b}) % {sketches.FM_P} AS h{i}" for i, (a, b) in enumerate(sketches.FM_FAMILY))
@@ -601,6 +628,12 @@ def ranked_tags(spark: SparkSession, d: str) -> DataFrame:
     return sketches.ranked_values(table(spark, d, "events"), "event_type")
 
 
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1), k AS (SELECT *, dense_rank() OVER (ORDER BY n DESC) AS rank FROM c)
+    SELECT string_agg(event_type, ', ' ORDER BY event_type) || ' : ' || n AS value FROM k WHERE rank <= 3 GROUP BY n""")
+def ranked_tag_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.rank_lines(sketches.ranked_values(table(spark, d, "events"), "event_type"), "event_type")
+
+
 @query()
 def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
     return sketches.reservoir(table(spark, d, "events"), "event_id", 100)
@@ -631,6 +664,41 @@ def reservoir_stream(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_available(streams.reservoir_stream(stream, "event_type"), "update")
 
 
+@query("SELECT doc_id, lang FROM documents WHERE text IS NOT NULL AND contains(lower(text), 'ramen') AND lang IN ('en', 'fr')")
+def csv_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a stream appended to CSV files, and read again."""
+    path = shared_path(spark, "appended")
+    stream = streams.file_stream(spark, f"{d}/documents.parquet", table(spark, d, "documents"))
+    streams.append_csv(streams.tracked(stream, "text", ["ramen"], "lang", ["en", "fr"]).select("doc_id", "lang"), path)
+    return readers.csv_pairs(spark, path, "doc_id bigint, lang string")
+
+
+_TAGGED_SQL = "tags AS (SELECT 'k' || json_extract_string(props, '$.k') AS tag FROM events WHERE props IS NOT NULL UNION ALL SELECT event_type FROM events WHERE event_type <> 'view')"
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of short texts with tags: each event's key, and its type unless that is a view."""
+    stream = streams.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events"))
+    kind = F.when(F.col("event_type") == "view", F.lit("seen")).otherwise(F.concat(F.lit("#"), F.col("event_type")))
+    text = stream.select("event_id", F.concat_ws(" ", F.lit("an"), kind, F.concat(F.lit("#k"), F.get_json_object("props", "$.k"))).alias("text"))
+    return streams.tags_of(text, "text").select("event_id", F.explode("tags").alias("tag"))
+
+
+@query(f"WITH {_TAGGED_SQL}, c AS (SELECT tag, count(*) AS n FROM tags GROUP BY 1) SELECT * FROM (SELECT tag, n, dense_rank() OVER (ORDER BY n DESC)::INTEGER AS rank FROM c) WHERE rank <= 3")
+def tag_stream_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of a stream of texts counted as they come, and the three highest counts."""
+    counts = streams.run_available(_tagged(spark, d).groupBy("tag").agg(F.count("*").alias("n"))).drop("batch")
+    return sketches.ranked_counts(counts, "tag")
+
+
+@query()
+def tag_stream_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A reservoir of the tags of a stream, and the ranking of what it holds at the end."""
+    kept = streams.run_available(streams.reservoir_stream(_tagged(spark, d), "tag"), "update")
+    last = kept.agg(F.max_by("sample", "count").alias("sample"))
+    return sketches.ranked_values(last.select(F.explode("sample").alias("tag")), "tag")
+
+
 # clusters of embeddings
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -653,9 +721,65 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return clustering.kmeans(_points(spark, d), CENTRES, 30)[0].select("id", "c")
 
 
-def _bfr(spark: SparkSession, d: str):
+_POINTS_SQL = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT id, i, v[i] AS x FROM p, range(1, len(v) + 1) t(i))"
+
+
+def _kmeans_sql(rounds: int) -> str:
+    steps = [f"m0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, v FROM p QUALIFY c < {CENTRES})"]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT p.id, arg_min(m.c, list_distance(p.v, m.v)) AS c FROM p, m{k} m GROUP BY p.id)")
+        steps.append(f"m{k + 1} AS (SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, avg(x) AS m FROM a{k} JOIN x USING (id) GROUP BY c, i) GROUP BY c)")
+    return f"WITH {_POINTS_SQL}, {', '.join(steps)} SELECT id, c::INTEGER AS c FROM a{rounds}"
+
+
+@query(_kmeans_sql(3))
+def kmeans_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds from the first points."""
+    points = _points(spark, d)
+    first = np.array([r.vec for r in points.orderBy("id").limit(CENTRES).collect()])
+    return clustering.kmeans(points, CENTRES, 3, first=first)[0].select("id", "c")
+
+
+NEAR = 8.0
+
+
+@query(f"""WITH {_POINTS_SQL}, s AS (SELECT id % 4 AS c, i, count(*) AS n, avg(x) AS m, avg(x * x) AS q FROM x WHERE id < 200 GROUP BY ALL),
+    d AS (SELECT x.id, s.c, sqrt(sum(pow((x - m) / CASE WHEN q - m * m <= 0 THEN 0.001 ELSE sqrt(q - m * m) END, 2))) AS d FROM x JOIN s USING (i) WHERE x.id >= 200 GROUP BY ALL),
+    b AS (SELECT id, arg_min(c, d) AS c FROM d GROUP BY id HAVING min(d) < {NEAR}),
+    a AS (SELECT c, i, count(*) AS n, avg(x) AS m, avg(x * x) AS q FROM b JOIN x USING (id) GROUP BY ALL),
+    u AS (SELECT s.c, s.i, s.n + coalesce(a.n, 0) AS n, (s.m * s.n + coalesce(a.m * a.n, 0)) / (s.n + coalesce(a.n, 0)) AS m, (s.q * s.n + coalesce(a.q * a.n, 0)) / (s.n + coalesce(a.n, 0)) AS q
+        FROM s LEFT JOIN a ON s.c = a.c AND s.i = a.i),
+    every AS (SELECT * FROM u UNION ALL SELECT 99, i, sum(n), sum(m * n) / sum(n), sum(q * n) / sum(n) FROM u WHERE c < 2 GROUP BY i)
+    SELECT c::BIGINT AS c, (i - 1)::BIGINT AS i, n::BIGINT AS n, round(m, 6) AS mean, round(CASE WHEN q - m * m <= 0 THEN 0.001 ELSE sqrt(q - m * m) END, 6) AS std FROM every""")
+def bfr_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What a round does to the summaries: points are taken up by the nearest of four clusters, if that is near enough in terms
+    of its deviations; number 99 is the first two clusters merged."""
     points = _points(spark, d)
-    return clustering.bfr([points.where(F.col("id") % 5 == i) for i in range(5)], CENTRES)
+    clusters = clustering.summaries(points.where("id < 200").withColumn("c", (F.col("id") % 4).cast("int")))
+    keys = sorted(clusters)
+    means, stds = np.array([clusters[c].mean for c in keys]), np.array([clusters[c].std for c in keys])
+    for c, s in clustering.summaries(clustering.assign(points.where("id >= 200"), means, stds, NEAR)).items():
+        clusters[keys[c]] = clusters[keys[c]].merged(s)
+    clusters[99] = clusters[0].merged(clusters[1])
+    rows = [(c, i, s.n, round(float(m), 6), round(float(v), 6)) for c, s in clusters.items() for i, (m, v) in enumerate(zip(s.mean, s.std))]
+    return spark.createDataFrame(rows, "c bigint, i bigint, n bigint, mean double, std double")
+
+
+def _point_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The points as files of five rounds, read again."""
+    path, points = shared_path(spark, "points"), _points(spark, d)
+    sinks.csv_points([points.where(F.col("id") % 5 == i) for i in range(5)], path)
+    return readers.csv_points(spark, path)
+
+
+@query("SELECT (vec_id % 5)::INTEGER AS round, vec_id AS id, len(embedding)::INTEGER AS size, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def point_files(spark: SparkSession, d: str) -> DataFrame:
+    return _point_rounds(spark, d).select("round", "id", F.size("vec").alias("size"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def _bfr(spark: SparkSession, d: str):
+    points = materialise(_point_rounds(spark, d), "points")
+    return clustering.bfr([points.where(F.col("round") == i).drop("round") for i in range(5)], CENTRES)
 
 
 @query()
@@ -691,3 +815,19 @@ def json_reviews(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "reviews")
     sinks.json_rows(reviews(spark, d, "user_id", "business_id", "stars", "text", "date"), path)
     return readers.json_lines(spark, path, readers.REVIEW)
+
+
+@query("SELECT trim(value) AS value FROM stopwords")
+def stop_words(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "words")
+    sinks.text_lines(table(spark, d, "stopwords"), path)
+    return readers.word_list(spark, path)
+
+
+@query("SELECT b1, b2, max(sim) AS sim FROM task3item_model WHERE b1 IS NOT NULL AND b2 IS NOT NULL AND sim IS NOT NULL AND NOT isnan(sim) GROUP BY ALL")
+def stored_model(spark: SparkSession, d: str) -> DataFrame:
+    """A similarity model stored as lines of JSON, and read again."""
+    path = shared_path(spark, "similar")
+    known = table(spark, d, "task3item_model").where("b1 is not null and b2 is not null and sim is not null and not isnan(sim)")
+    sinks.json_rows(known.groupBy("b1", "b2").agg(F.max("sim").alias("sim")), path)
+    return readers.similarity_model(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,12 @@ def csv_pairs(spark: SparkSession, path: str, schema: str = PAIRS) -> DataFrame:
 
 
 def csv_points(spark: SparkSession, folder: str) -> DataFrame:
-    """(round, id, vec) from headerless CSV files of id and coordinates; files are rounds in the order of their names."""
+    """(round, id, vec) from headerless CSV files of id and coordinates. What lies in the folder, files or folders of part
+    files, is a round each, in the order of names."""
     parts = F.split("value", ",")
-    lines = spark.read.text(folder).select(F.col("_metadata.file_name").alias("file"), parts[0].cast("bigint").alias("id"), F.transform(F.slice(parts, 2, 1 << 20), lambda x: x.cast("double")).alias("vec"))
-    files = lines.select("file").distinct().withColumn("round", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("file")) - 1)  # one row per file
+    name = F.regexp_extract("_metadata.file_path", "/" + re.escape(folder.rstrip("/").rpartition("/")[2]) + "/([^/]+)", 1)
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select(name.alias("file"), parts[0].cast("bigint").alias("id"), F.transform(F.slice(parts, 2, 1 << 20), lambda x: x.cast("double")).alias("vec"))
+    files = lines.select("file").distinct().withColumn("round", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("file")) - 1)  # one row per round
     return lines.join(F.broadcast(files), "file").select("round", "id", "vec")
 
 

@@ -67,3 +67,10 @@ def rank_lines(df: DataFrame, value: str, count: str = "n") -> DataFrame:
     """(value): for each count among the ranked ones, a line of it and its values in order, the highest first."""
     one = df.groupBy(count).agg(F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), ", ").alias("v"))
     return one.orderBy(F.desc(count)).select(F.concat(F.col("v"), F.lit(" : "), F.col(count).cast("string")).alias("value"))
+
+
+def csv_points(rounds: list[DataFrame], path: str) -> None:
+    """Points (id, vec) as lines of id and coordinates, a folder of part files for each round, numbered in order."""
+    for i, points in enumerate(rounds):
+        line = F.concat_ws(",", F.col("id").cast("string"), F.transform("vec", lambda x: x.cast("string")))
+        points.select(line.alias("value")).write.mode("overwrite").text(f"{path}/round-{i:06d}")

@@ -90,3 +90,10 @@ def run_available(stream: DataFrame, mode: str = "complete", partitions: int | N
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def append_csv(stream: DataFrame, path: str) -> None:
+    """Append the rows of a stream over what is there to CSV files with a header, batch by batch, each row once."""
+    state = shared_path(stream.sparkSession, "stream")
+    writer = stream.writeStream.outputMode("append").format("csv").option("header", True).option("path", path)
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
