@@ -299,7 +299,19 @@ def content_document(spark: SparkSession, d: str) -> DataFrame:
 
 # ratings
 
-_TRAIN_SQL, _TEST_SQL = order_ratings_sql("train", "l_orderkey % 10 <> 0"), order_ratings_sql("test", "l_orderkey % 10 = 0")
+def _review_ratings(spark: SparkSession, d: str) -> DataFrame:
+    r = reviews(spark, d, "user_id", "business_id", "stars").dropna(subset=["user_id", "business_id", "stars"])
+    return r.groupBy(F.col("user_id").alias("u"), F.col("business_id").alias("b")).agg(F.max("stars").alias("stars"))
+
+
+def _review_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "test_review").select(F.col("user_id").alias("u"), F.col("business_id").alias("b"))
+
+
+_RATED_SQL = f"""{REVIEWS_SQL}, train AS (SELECT user_id AS u, business_id AS b, max(stars) AS stars FROM reviews WHERE user_id IS NOT NULL AND business_id IS NOT NULL AND stars IS NOT NULL GROUP BY ALL),
+    test AS (SELECT DISTINCT user_id AS u, business_id AS b FROM test_review WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
+    ba AS (SELECT b, sum(stars) / count(*) AS avg FROM train GROUP BY 1), ua AS (SELECT u, sum(stars) / count(*) AS avg FROM train GROUP BY 1)"""
+
 
 
 def _pearson_sql(source: str, item: str, by: str, least: int, name: str = "pear", pairs: str = "") -> str:
@@ -310,13 +322,13 @@ def _pearson_sql(source: str, item: str, by: str, least: int, name: str = "pear"
     {name} AS (SELECT i1, i2, n, CASE WHEN ov <> 0 AND un > 0 THEN round(ov / sqrt(un), 6) ELSE -1 END AS sim FROM {name}_v)"""
 
 
-_ITEM_SQL = f"""{_TRAIN_SQL}, {_pearson_sql("train", "b", "u", 3)}, model AS (SELECT i1 AS b1, i2 AS b2, sim FROM pear WHERE sim > 0),
+_MODEL_SQL = f"""{_pearson_sql("train", "b", "u", 3)}, model AS (SELECT i1 AS b1, i2 AS b2, sim FROM pear WHERE sim > 0),
     both_ways AS (SELECT b1 AS b, b2 AS far, sim FROM model UNION ALL SELECT b2, b1, sim FROM model)"""
-_ITEM_CF_SQL = f"""{_ITEM_SQL}, {_TEST_SQL},
+_ITEM_SQL = f"{order_ratings_sql('train')}, {_MODEL_SQL}"
+_ITEM_CF_SQL = f"""{_RATED_SQL}, {_MODEL_SQL},
     near AS (SELECT * FROM (SELECT t.u, t.b, r.stars, m.sim, row_number() OVER (PARTITION BY t.u, t.b ORDER BY m.sim DESC, m.far) AS k
         FROM test t JOIN train r ON t.u = r.u JOIN both_ways m ON m.b = t.b AND m.far = r.b) WHERE k <= 5),
     g AS (SELECT u, b, sum(stars * sim) AS num, sum(abs(sim)) AS den FROM near GROUP BY ALL),
-    ba AS (SELECT b, sum(stars) / count(*) AS avg FROM train GROUP BY 1), ua AS (SELECT u, sum(stars) / count(*) AS avg FROM train GROUP BY 1),
     pred AS (SELECT t.u, t.b, CASE WHEN coalesce(num, 0) <> 0 THEN num / den ELSE coalesce(ba.avg, 3.5) END AS stars
         FROM test t LEFT JOIN g ON t.u = g.u AND t.b = g.b LEFT JOIN ba ON t.b = ba.b WHERE t.u IN (SELECT u FROM train))"""
 _BLEND_SQL = """base AS (SELECT p.u, p.b, p.stars, 0.7 * coalesce(ba.avg, 3.8) + 0.3 * coalesce(ua.avg, 3.8) AS base FROM pred p LEFT JOIN ba ON p.b = ba.b LEFT JOIN ua ON p.u = ua.u),
@@ -332,12 +344,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_ITEM_SQL} SELECT i1, i2, sim, n FROM pear")
 def item_pearson(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.pearson_all(ratings.at_least(order_ratings(spark, d, False), "b", 3), "b", "u")
+    return ratings.pearson_all(ratings.at_least(order_ratings(spark, d), "b", 3), "b", "u")
 
 
 @query(f"WITH {_ITEM_SQL} SELECT b1, b2, sim FROM model")
 def item_model(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.item_model(order_ratings(spark, d, False))
+    return ratings.item_model(order_ratings(spark, d))
 
 
 USER_HASHES, USER_SEED = 25, 42
@@ -353,7 +365,7 @@ def _lsh_model_sql(source: str, item: str, by: str, least: int, functions: int,
         {_pearson_sql(source, item, by, 3, f"{name}_p", "JOIN near_pairs np ON np.r1 = a.i AND np.r2 = b.i")}, {name} AS (SELECT i1, i2, sim FROM {name}_p WHERE sim > 0)"""
 
 
-_USER_SQL = f"{_TRAIN_SQL}, {_lsh_model_sql('train', 'u', 'b', 3, USER_HASHES, 'umodel')}"
+_USER_SQL = f"{order_ratings_sql('train')}, {_lsh_model_sql('train', 'u', 'b', 3, USER_HASHES, 'umodel')}"
 
 
 def _user_model(train: DataFrame) -> DataFrame:
@@ -362,7 +374,7 @@ def _user_model(train: DataFrame) -> DataFrame:
 
 @query(f"WITH {_USER_SQL} SELECT i1, i2, sim FROM umodel")
 def user_model(spark: SparkSession, d: str) -> DataFrame:
-    return _user_model(order_ratings(spark, d, False))
+    return _user_model(order_ratings(spark, d))
 
 
 @query(f"WITH {order_ratings_sql('every')}, {_lsh_model_sql('every', 'b', 'u', 5, 60, 'imodel')} SELECT i1, i2, sim FROM imodel")
@@ -373,44 +385,29 @@ def project_item_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ITEM_CF_SQL} SELECT u, b, round(stars + 1e-9, 5) AS stars FROM pred")
 def item_cf_predict(spark: SparkSession, d: str) -> DataFrame:
-    train = materialise(order_ratings(spark, d, False), "train")
-    return _rounded(ratings.predict_by_items(order_ratings(spark, d, True), train, ratings.item_model(train)))
+    train = materialise(_review_ratings(spark, d), "train")
+    return _rounded(ratings.predict_by_items(_review_pairs(spark, d), train, ratings.item_model(train)))
 
 
-@query(f"""WITH {_USER_SQL}, {_TEST_SQL}, both_ways AS (SELECT i1 AS u, i2 AS far, sim FROM umodel UNION ALL SELECT i2, i1, sim FROM umodel),
-    ua AS (SELECT u, sum(stars) / count(*) AS avg FROM train GROUP BY 1),
+@query(f"""WITH {_RATED_SQL}, {_lsh_model_sql('train', 'u', 'b', 3, USER_HASHES, 'umodel')}, both_ways AS (SELECT i1 AS u, i2 AS far, sim FROM umodel UNION ALL SELECT i2, i1, sim FROM umodel),
     near AS (SELECT * FROM (SELECT t.u, t.b, r.stars - fa.avg AS dev, m.sim, row_number() OVER (PARTITION BY t.u, t.b ORDER BY m.sim DESC, m.far) AS k
         FROM test t JOIN train r ON t.b = r.b JOIN both_ways m ON m.u = t.u AND m.far = r.u JOIN ua fa ON fa.u = r.u) WHERE k <= 5),
     g AS (SELECT u, b, sum(dev * sim) AS num, sum(abs(sim)) AS den FROM near GROUP BY ALL)
     SELECT t.u, t.b, round(coalesce(ua.avg, 3.5) + CASE WHEN coalesce(num, 0) <> 0 THEN num / den ELSE 0 END + 1e-9, 5) AS stars
     FROM test t LEFT JOIN g ON t.u = g.u AND t.b = g.b LEFT JOIN ua ON t.u = ua.u WHERE t.b IN (SELECT b FROM train)""")
 def user_cf_predict(spark: SparkSession, d: str) -> DataFrame:
-    train = materialise(order_ratings(spark, d, False), "train")
-    return _rounded(ratings.predict_by_users(order_ratings(spark, d, True), train, _user_model(train)))
+    train = materialise(_review_ratings(spark, d), "train")
+    return _rounded(ratings.predict_by_users(_review_pairs(spark, d), train, _user_model(train)))
 
 
 @query(f"WITH {_ITEM_CF_SQL}, {_BLEND_SQL} SELECT DISTINCT u, b, round(stars + 1e-9, 5) AS stars FROM (SELECT * FROM blended UNION SELECT * FROM cold)")
 def hybrid_predict(spark: SparkSession, d: str) -> DataFrame:
     """Blended predictions for known users, cold starts for the others, as one result."""
-    train, test = materialise(order_ratings(spark, d, False), "train"), materialise(order_ratings(spark, d, True), "test")
+    train, test = materialise(_review_ratings(spark, d), "train"), materialise(_review_pairs(spark, d), "test")
     known = ratings.blend(ratings.predict_by_items(test, train, ratings.item_model(train), default=3.5), train)
     return _rounded(known.unionByName(ratings.cold_start(test, train))).distinct()
 
 
-def _review_ratings(spark: SparkSession, d: str) -> DataFrame:
-    r = reviews(spark, d, "user_id", "business_id", "stars").dropna(subset=["user_id", "business_id", "stars"])
-    return r.groupBy(F.col("user_id").alias("u"), F.col("business_id").alias("b")).agg(F.max("stars").alias("stars"))
-
-
-def _review_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "test_review").select(F.col("user_id").alias("u"), F.col("business_id").alias("b"))
-
-
-_RATED_SQL = f"""{REVIEWS_SQL}, train AS (SELECT user_id AS u, business_id AS b, max(stars) AS stars FROM reviews WHERE user_id IS NOT NULL AND business_id IS NOT NULL AND stars IS NOT NULL GROUP BY ALL),
-    test AS (SELECT DISTINCT user_id AS u, business_id AS b FROM test_review WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
-    ba AS (SELECT b, sum(stars) / count(*) AS avg FROM train GROUP BY 1), ua AS (SELECT u, sum(stars) / count(*) AS avg FROM train GROUP BY 1)"""
-
-
 @query(f"""WITH {_RATED_SQL} SELECT t.u, t.b, round(CASE WHEN ba.avg IS NOT NULL THEN 0.1 * ba.avg + 0.9 * 3.8 ELSE 3.8 END + 1e-9, 5) AS stars
     FROM test t LEFT JOIN ba ON t.b = ba.b LEFT JOIN ua ON t.u = ua.u WHERE ua.u IS NULL OR ba.b IS NULL""")
 def cold_start(spark: SparkSession, d: str) -> DataFrame:
