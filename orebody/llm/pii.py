@@ -4,8 +4,8 @@ Features of a token are word shapes: the case of its letters, its number of digi
 ordinary or a proper word in the vocabulary of a public tokenizer, and a cue of some class (titles, roles, words for places,
 firms, streets, numbers of persons and of things); the same of its neighbours; and, for tokens of what looks like an address
 of some kind or a number, the outline of the whole and the cues around it. Only words that stand in several sentences of
-the training table are features themselves, so the field does not learn the table by heart. It is trained by full-batch
-gradient steps on the log-likelihood (forward-backward in numpy) and decoded by Viterbi over batches of texts; tokens that
+the training table are features themselves, so the field does not learn the table by heart. It is trained by gradient
+steps on the log-likelihood (forward-backward in numpy) and decoded by Viterbi over batches of texts; tokens that
 no path through another label can win are cut out first, by a bound that keeps the result exact.
 """
 
@@ -32,7 +32,8 @@ from orebody.operators.skew import TASK, plan_load, skew_join
 from orebody.plans.session import materialise, shared_folder
 
 TRAIN_ROWS = 4500
-STEPS = 60
+#: Rounds of gradient steps over the rows, and the rows of a step.
+ROUNDS, _PART_ROWS = 8, 250
 #: Sentences of the training table in which a word must stand to be a feature itself.
 KNOWN_IN = 5
 #: Longer lists of names are joined to the texts' words instead of being sent to the tasks.
@@ -641,83 +642,83 @@ def known_words(sentences: list[str], least: int = KNOWN_IN) -> frozenset[str]:
     return frozenset(w for w, n in seen.items() if n >= least)
 
 
-def fit(rows: list, names: dict[str, str], known: frozenset[str], words: dict[str, str], steps: int = STEPS, least: int = 4, decay: float = 0.5) -> Field:
-    """The field of the highest penalised likelihood on labelled rows, after so many steps."""
-    # long texts first: those that go on at a step are then the first ones
-    rows = sorted(rows, key=lambda row: -sum(1 for _ in _TOKEN.finditer(row[0])))
-    texts = Texts([t for t, _ in rows])
-    gold, possible = _gold(texts, rows), allowed_at(texts)
-    # a piece that the outer form does not meet cannot be learned as one
-    gold[~possible[np.arange(texts.size), gold]] = 0
-    inner = np.array([x[0] == "I" for x in LABELS])
-    lost = inner[gold] & ~allowed_moves()[np.roll(gold, 1), gold]
-    gold[lost] -= 1
-    described = {w: _word_features(w, names, known, words) for w in texts.distinct}
-    number: dict[str, int] = {}
-    memo = {w: [[number.setdefault(f"{o}{y}", len(number)) for y in x] for o in _OFFSETS] for w, (x, _) in described.items()}
-    # two steps from weights to scores: features of distinct words by offset, and tokens by word; other features directly
-    distinct, index = {w: i for i, w in enumerate(texts.distinct)}, texts.index
-    word_at = [texts.distinct[i] for i in index.tolist()]
-    owner, numbers = array("i"), array("i")
-    runs = _runs(texts)
-    for t in texts.at.tolist():
-        own = [number.setdefault(x, len(number)) for p in _PAIRS for x in _pair_features(p, described[word_at[t + p[1]]][1], described[word_at[t + p[2]]][1])]
-        own += [number.setdefault(f"b{o}{texts.gaps[t + o]}", len(number)) for o in (0, 1)]
-        own += [number.setdefault(x[of_token[t]], len(number)) for x, of_token in runs]
-        owner.extend([t] * len(own))
-        numbers.extend(own)
-    for t, x in texts.extra:
-        owner.append(t)
-        numbers.append(number.setdefault(x, len(number)))
-    direct = np.frombuffer(numbers, np.int32)
-    often = np.bincount(direct, minlength=len(number))
-    cells = [(k * len(distinct) + distinct[w], i) for w, x in memo.items() for k in range(len(_OFFSETS)) for i in x[k]]
-    cell, of_cell = np.array(cells).T
-    places = texts.at
-    uses = np.concatenate([np.bincount(index[places + o], minlength=len(distinct)) for o in _OFFSETS])
-    often = often + np.bincount(of_cell, weights=uses[cell], minlength=len(number))
-    renumber = np.cumsum(often >= least) - 1
-    features = {x: int(renumber[i]) for x, i in number.items() if often[i] >= least}
-    keep = often[of_cell] >= least
-    word_sum = _Sum(cell[keep], renumber[of_cell[keep]], len(distinct) * len(_OFFSETS), len(features))
-    keep = often[direct] >= least
-    token_sum = _Sum(np.frombuffer(owner, np.int32)[keep], renumber[direct[keep]], texts.size, len(features))
-    by_word = _Sum(np.tile(places, len(_OFFSETS)), np.concatenate([k * len(distinct) + index[places + o] for k, o in enumerate(_OFFSETS)]), texts.size, len(distinct) * len(_OFFSETS))
-
-    labels, longest, n = len(LABELS), int(texts.sizes.max()), len(rows)
-    at = np.minimum(texts.first[:, None] + np.arange(longest), texts.size - 1)
-    alive = np.arange(longest) < texts.sizes[:, None]
-    y = np.where(alive, gold[at], 0)
-    mask = possible[at].astype(np.float32)
-    ok = allowed_moves()
-    going = [int((texts.sizes > t).sum()) for t in range(longest)]
-    weights, moves = np.zeros((len(features), labels), np.float32), np.zeros((labels, labels))
-    truth = np.zeros((labels, labels))
-    both = alive[:, 1:]
-    np.add.at(truth, (y[:, :-1][both], y[:, 1:][both]), 1)
-    final = np.maximum(texts.sizes - 1, 0)
-    some = texts.sizes > 0
-    np.add.at(truth, (np.zeros(int(some.sum()), int), y[some, 0]), 1)
-    np.add.at(truth, (y[some, final[some]], np.zeros(int(some.sum()), int)), 1)
-    hot = np.eye(labels, dtype=np.float32)
-    m, v = [np.zeros_like(weights), np.zeros_like(moves)], [np.zeros_like(weights), np.zeros_like(moves)]
-    for step in range(1, steps + 1):
-        score = by_word.forward(word_sum.forward(weights)) + token_sum.forward(weights)
-        e = score[at]
-        e = np.exp(e - e.max(2, keepdims=True)) * mask + 1e-12
-        a = (np.exp(moves) * ok).astype(np.float32)
-        forward = np.zeros((longest, n, labels), np.float32)
+class _Part:
+    """A part of the labelled rows: its texts, labels and features, the latter by number."""
+
+    def __init__(self, rows: list, names: dict[str, str], known: frozenset[str], words: dict[str, str], number: dict[str, int]):
+        # long texts first: those that go on at a step are then the first ones
+        rows = sorted(rows, key=lambda row: -sum(1 for _ in _TOKEN.finditer(row[0])))
+        texts = self.texts = Texts([t for t, _ in rows])
+        gold, possible = _gold(texts, rows), allowed_at(texts)
+        # a piece that the outer form does not meet cannot be learned as one
+        gold[~possible[np.arange(texts.size), gold]] = 0
+        inner = np.array([x[0] == "I" for x in LABELS])
+        gold[inner[gold] & ~allowed_moves()[np.roll(gold, 1), gold]] -= 1
+        described = [_word_features(w, names, known, words) for w in texts.distinct]
+        # two steps from weights to scores: features of distinct words by offset, and tokens by word; other features directly
+        n = len(texts.distinct)
+        pairs = [(k * n + w, number.setdefault(f"{o}{y}", len(number))) for w, (x, _) in enumerate(described) for k, o in enumerate(_OFFSETS) for y in x]
+        self.cell, self.of_cell = np.array(pairs).T
+        owner, numbers = array("i"), array("i")
+        kinds, runs = [described[i][1] for i in texts.index.tolist()], _runs(texts)
+        for t in texts.at.tolist():
+            own = [number.setdefault(x, len(number)) for p in _PAIRS for x in _pair_features(p, kinds[t + p[1]], kinds[t + p[2]])]
+            own += [number.setdefault(f"b{o}{texts.gaps[t + o]}", len(number)) for o in (0, 1)]
+            own += [number.setdefault(x[of_token[t]], len(number)) for x, of_token in runs]
+            owner.extend([t] * len(own))
+            numbers.extend(own)
+        for t, x in texts.extra:
+            owner.append(t)
+            numbers.append(number.setdefault(x, len(number)))
+        self.owner, self.direct = np.frombuffer(owner, np.int32), np.frombuffer(numbers, np.int32)
+        self.uses = np.concatenate([np.bincount(texts.index[texts.at + o], minlength=n) for o in _OFFSETS])
+        longest = self.longest = int(texts.sizes.max())
+        self.at = np.minimum(texts.first[:, None] + np.arange(longest), texts.size - 1)
+        self.alive = np.arange(longest) < texts.sizes[:, None]
+        self.mask = possible[self.at].astype(np.float32)
+        y = self.y = np.where(self.alive, gold[self.at], 0)
+        self.going = [int((texts.sizes > t).sum()) for t in range(longest)]
+        self.final, self.some = np.maximum(texts.sizes - 1, 0), texts.sizes > 0
+        labels = len(LABELS)
+        self.truth = np.zeros((labels, labels))
+        both = self.alive[:, 1:]
+        np.add.at(self.truth, (y[:, :-1][both], y[:, 1:][both]), 1)
+        void = np.zeros(int(self.some.sum()), int)
+        np.add.at(self.truth, (void, y[self.some, 0]), 1)
+        np.add.at(self.truth, (y[self.some, self.final[self.some]], void), 1)
+
+    def count(self, size: int) -> np.ndarray:
+        return np.bincount(self.direct, minlength=size) + np.bincount(self.of_cell, weights=self.uses[self.cell], minlength=size)
+
+    def link(self, keep: np.ndarray, renumber: np.ndarray, features: int) -> None:
+        """Sums over the features that are kept, by their new numbers."""
+        texts, n = self.texts, len(self.texts.distinct)
+        some = keep[self.of_cell]
+        self.word_sum = _Sum(self.cell[some], renumber[self.of_cell[some]], n * len(_OFFSETS), features)
+        some = keep[self.direct]
+        self.token_sum = _Sum(self.owner[some], renumber[self.direct[some]], texts.size, features)
+        places = texts.at
+        self.by_word = _Sum(np.tile(places, len(_OFFSETS)), np.concatenate([k * n + texts.index[places + o] for k, o in enumerate(_OFFSETS)]), texts.size, n * len(_OFFSETS))
+
+    def gradient(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the log-likelihood, by forward-backward: seen less expected features and moves."""
+        n, labels = len(self.y), len(LABELS)
+        score = self.by_word.forward(self.word_sum.forward(weights)) + self.token_sum.forward(weights)
+        e = score[self.at]
+        e = np.exp(e - e.max(2, keepdims=True)) * self.mask + 1e-12
+        a = (np.exp(moves) * allowed_moves()).astype(np.float32)
+        forward = np.zeros((self.longest, n, labels), np.float32)
         f = e[:, 0] * a[0]
-        for t in range(longest):
-            k = going[t]
+        for t in range(self.longest):
+            k = self.going[t]
             f = (f[:k] @ a) * e[:k, t] if t else f
             f = f / f.sum(1, keepdims=True)
             forward[t, :k] = f
         backward = np.tile(a[:, 0], (n, 1))
-        marginal = np.zeros((n, longest, labels), np.float32)
+        marginal = np.zeros((n, self.longest, labels), np.float32)
         expected = np.zeros((labels, labels))
-        for t in range(longest - 1, -1, -1):
-            k = going[t]
+        for t in range(self.longest - 1, -1, -1):
+            k = self.going[t]
             p = forward[t, :k] * backward[:k]
             marginal[:k, t] = p / p.sum(1, keepdims=True)
             if t:
@@ -726,27 +727,45 @@ def fit(rows: list, names: dict[str, str], known: frozenset[str], words: dict[st
                 expected += a * ((forward[t - 1, :k] / z[:, None]).T @ right)
                 back = right @ a.T
                 backward[:k] = back / back.sum(1, keepdims=True)
-        expected[0] += marginal[some, 0].sum(0)
-        expected[:, 0] += marginal[some, final[some]].sum(0)
-        grad_at = np.zeros((texts.size, labels), np.float32)
-        grad_at[at[alive]] = hot[y[alive]] - marginal[alive]
-        g = word_sum.backward(by_word.backward(grad_at)) + token_sum.backward(grad_at)
-        grads = [g - decay * weights, truth - expected - 0.1 * moves]
-        for k, x in enumerate((weights, moves)):
-            m[k] = 0.9 * m[k] + 0.1 * grads[k]
-            v[k] = 0.98 * v[k] + 0.02 * grads[k] ** 2
-            rate = 0.15 if step < steps * 0.7 else 0.05
-            x += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-3)
-    return Field(features, weights, np.where(ok, moves, _NEVER), known, words)
+        expected[0] += marginal[self.some, 0].sum(0)
+        expected[:, 0] += marginal[self.some, self.final[self.some]].sum(0)
+        grad = np.zeros((self.texts.size, labels), np.float32)
+        grad[self.at[self.alive]] = np.eye(labels, dtype=np.float32)[self.y[self.alive]] - marginal[self.alive]
+        return self.word_sum.backward(self.by_word.backward(grad)) + self.token_sum.backward(grad), self.truth - expected
+
+
+def fit(rows: list, names: dict[str, str], known: frozenset[str], words: dict[str, str], rounds: int = ROUNDS, least: int = 4, decay: float = 0.5, seed: int = 3) -> Field:
+    """The field of high penalised likelihood on labelled rows: so many rounds of gradient steps over parts of them."""
+    number: dict[str, int] = {}
+    parts = [_Part(rows[i : i + _PART_ROWS], names, known, words, number) for i in range(0, len(rows), _PART_ROWS)]
+    often = sum(p.count(len(number)) for p in parts)
+    keep, renumber = often >= least, np.cumsum(often >= least) - 1
+    features = {x: int(renumber[i]) for x, i in number.items() if keep[i]}
+    for p in parts:
+        p.link(keep, renumber, len(features))
+    labels = len(LABELS)
+    weights, moves = np.zeros((len(features), labels), np.float32), np.zeros((labels, labels))
+    m, v = [np.zeros_like(weights), np.zeros_like(moves)], [np.zeros_like(weights), np.zeros_like(moves)]
+    rng, step, steps, share = np.random.default_rng(seed), 0, rounds * len(parts), 1 / len(parts)
+    for _ in range(rounds):
+        for k in rng.permutation(len(parts)).tolist():
+            step += 1
+            g, moved = parts[k].gradient(weights, moves)
+            rate = 0.08 * (1 - step / steps) + 0.004
+            for x, grad, mean, square in zip((weights, moves), (g - decay * share * weights, moved - 0.1 * share * moves), m, v):
+                mean += 0.1 * (grad - mean)
+                square += 0.01 * (grad**2 - square)
+                x += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-3)
+    return Field(features, weights, np.where(allowed_moves(), moves, _NEVER), known, words)
 
 
 _trained: dict[str, Field] = {}
 
 
-def train(spark: SparkSession | None = None, rows: int = TRAIN_ROWS, steps: int = STEPS, seed: int = 20, words: tuple[str, ...] = LEXICON) -> Field:
+def train(spark: SparkSession | None = None, rows: int = TRAIN_ROWS, rounds: int = ROUNDS, seed: int = 20, words: tuple[str, ...] = LEXICON) -> Field:
     """The field trained on so many rows of the labelled table; the bound is the parameter, whatever the data. With a session
     its weights are kept in the shared folder, under a name made of all they depend on, and read from there the next time."""
-    of = inspect.getsource(pii_table) + inspect.getsource(inspect.getmodule(fit)) + repr((rows, steps, seed, words))
+    of = inspect.getsource(pii_table) + inspect.getsource(inspect.getmodule(fit)) + repr((rows, rounds, seed, words))
     key = hashlib.md5(of.encode()).hexdigest()
     if key in _trained:
         return _trained[key]
@@ -766,7 +785,7 @@ def train(spark: SparkSession | None = None, rows: int = TRAIN_ROWS, steps: int
         field = Field(features, np.array([x for _, x in of_part["feature"]], np.float32), moves, known, lexicon(words))
     else:
         labelled, names = labelled_rows(rows, seed)
-        field = fit(labelled, names, known, lexicon(words), steps)
+        field = fit(labelled, names, known, lexicon(words), rounds)
         if path:
             kept = [("feature", k, field.weights[i].tolist()) for k, i in field.features.items()] + [("move", str(i), [float(x) for x in row]) for i, row in enumerate(field.moves)]
             spark.createDataFrame(kept, "part string, key string, value array<float>").coalesce(1).write.mode("overwrite").parquet(path)
