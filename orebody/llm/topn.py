@@ -45,6 +45,7 @@ def best_of_file(file: pq.ParquetFile, n: int) -> tuple[pd.DataFrame, int]:
         exact = g is not None and g.has_min_max and s is not None and s.has_min_max
         groups.append((-(s.max if exact else float("inf")), k, (g.min, g.max) if exact else (None, None)))
     reached: dict[str, float] = {}
+    best_of: dict[str, pd.DataFrame] = {}
     kept, skipped = [], 0
     for top, k, (low, high) in sorted(groups, key=lambda x: x[:2]):
         if low is not None and low == high and low in reached and -top < reached[low]:
@@ -53,11 +54,17 @@ def best_of_file(file: pq.ParquetFile, n: int) -> tuple[pd.DataFrame, int]:
         part = file.read_row_group(k, use_threads=False).to_pandas()
         part = part.sort_values(["g", "s", "i"], ascending=[True, False, True], kind="stable").drop_duplicates(["g", "i"])
         part = part[part.groupby("g", sort=False).cumcount() < n]
-        kept.append(part)
         last = part.iloc[-1]["g"]
-        own = pd.concat([x[x["g"] == last] for x in kept]).sort_values(["s", "i"], ascending=[False, True]).drop_duplicates("i") if low == high else part[part["g"] == last]
+        if low is not None and low == high:
+            # of a group of many row groups no more than its n best are held
+            own = pd.concat([best_of[last], part]) if last in best_of else part
+            own = best_of[last] = own.sort_values(["s", "i"], ascending=[False, True], kind="stable").drop_duplicates("i").head(n)
+        else:
+            kept.append(part)
+            own = part[part["g"] == last]
         if len(own) >= n:
             reached[last] = max(reached.get(last, -np.inf), float(own["s"].iloc[n - 1]))
+    kept += best_of.values()
     if not kept:
         return pd.DataFrame({"g": [], "i": [], "s": []}), skipped
     best = pd.concat(kept).sort_values(["g", "s", "i"], ascending=[True, False, True], kind="stable").drop_duplicates(["g", "i"])
