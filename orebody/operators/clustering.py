@@ -37,6 +37,9 @@ class Summary:
         n = self.n + other.n
         return Summary(n, (self.mean * self.n + other.mean * other.n) / n, (self.squares * self.n + other.squares * other.n) / n)
 
+    def with_point(self, vec: np.ndarray) -> Summary:
+        return self.merged(Summary(1, vec, vec * vec))
+
 
 def _nearest(vecs: np.ndarray, means: np.ndarray, stds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest mean and the distance; equal distances go to the earlier one."""

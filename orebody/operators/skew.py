@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from orebody.plans.session import shuffle_partitions
 
 TASK, SALT = "__task", "__salt"
+#: Longer lists of buckets are sent as a table instead of standing in the plan.
+LITERAL_BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -98,8 +100,12 @@ def _place(df: DataFrame, plan: LoadPlan) -> DataFrame:
     return df.repartitionById(plan.tasks, F.col(TASK))
 
 
-def _light(plan: LoadPlan) -> Column:
-    return F.get(F.lit(list(plan.bucket_task)), plan.bucket())
+def _with_light(df: DataFrame, plan: LoadPlan) -> DataFrame:
+    """df with __light, the task of the key's bucket; there are buckets_per_task of them for each task."""
+    if len(plan.bucket_task) <= LITERAL_BUCKETS:
+        return df.withColumn("__light", F.get(F.lit(list(plan.bucket_task)), plan.bucket()))
+    table = df.sparkSession.createDataFrame(list(enumerate(plan.bucket_task)), "__bucket int, __light int")
+    return df.withColumn("__bucket", plan.bucket()).join(F.broadcast(table), "__bucket", "left").drop("__bucket")
 
 
 def fragment(df: DataFrame, plan: LoadPlan, salt: Sequence[str], place: bool = True) -> DataFrame:
@@ -107,16 +113,16 @@ def fragment(df: DataFrame, plan: LoadPlan, salt: Sequence[str], place: bool = T
     its shards by a hash of the salt columns: rows that agree in all of them stay together, and a task that is run again
     sends them to the same place. Rows with a null key are dropped."""
     spread = F.get("__tasks", F.pmod(F.xxhash64(*salt, F.lit(7)), F.size("__tasks")).cast("int"))
-    out = _with_heavy(df.dropna(subset=list(plan.keys)), plan)
-    out = out.withColumn(TASK, F.when(F.col("__tasks").isNotNull(), spread).otherwise(_light(plan))).drop("__tasks")
+    out = _with_light(_with_heavy(df.dropna(subset=list(plan.keys)), plan), plan)
+    out = out.withColumn(TASK, F.when(F.col("__tasks").isNotNull(), spread).otherwise(F.col("__light"))).drop("__tasks", "__light")
     return _place(out, plan) if place else out
 
 
 def replicate(df: DataFrame, plan: LoadPlan, place: bool = True) -> DataFrame:
     """Send each row to every task that holds a shard of its key. Rows with a null key are dropped."""
-    out = _with_heavy(df.dropna(subset=list(plan.keys)), plan)
-    every = F.coalesce(F.array_distinct("__tasks"), F.array(_light(plan)))
-    out = out.withColumn(TASK, F.explode(every)).drop("__tasks")
+    out = _with_light(_with_heavy(df.dropna(subset=list(plan.keys)), plan), plan)
+    every = F.coalesce(F.array_distinct("__tasks"), F.array("__light"))
+    out = out.withColumn(TASK, F.explode(every)).drop("__tasks", "__light")
     return _place(out, plan) if place else out
 
 

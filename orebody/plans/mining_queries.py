@@ -691,9 +691,9 @@ def tag_stream_ranks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tag_stream_sample(spark: SparkSession, d: str) -> DataFrame:
     """A reservoir of the tags of a stream, and the ranking of what it holds at the end."""
-    kept = streams.run_available(streams.reservoir_stream(_tagged(spark, d), "tag"), "update")
-    last = kept.agg(F.max_by("sample", "count").alias("sample"))
-    return sketches.ranked_values(last.select(F.explode("sample").alias("tag")), "tag")
+    tags = _tagged(spark, d).withColumn("key", F.concat_ws(" ", "event_id", "tag"))
+    kept = streams.run_available(streams.sharded_reservoir(tags, "key", "tag"), "update")
+    return sketches.ranked_values(streams.merge_reservoir(kept).withColumnRenamed("v", "tag"), "tag")
 
 
 # clusters of embeddings

@@ -77,6 +77,34 @@ def reservoir_stream(stream: DataFrame, value: str, size: int = 100, seed: int =
     return stream.where(F.col(value).isNotNull()).select(F.lit(0).alias("g"), value).groupBy("g").applyInPandasWithState(step, out, kept, "update", "NoTimeout")
 
 
+def sharded_reservoir(stream: DataFrame, key: str, value: str, size: int = 100, seed: int = 0, shards: int = 8) -> DataFrame:
+    """(shard, count, h, k, v) after each batch: of every shard of the rows, those `size` with the least hash of (key, seed),
+    with their keys and values. Shards are states of their own, each bounded by the size, that merge_reservoir puts together;
+    the sample is a function of the rows alone, in whatever batches they come. Rows with a null key or value are left out."""
+    fields = [T.StructField("count", T.LongType()), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("k", T.ArrayType(T.StringType())), T.StructField("v", T.ArrayType(T.StringType()))]
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        count, *held = state.get if state.exists else (0, [], [], [])
+        rows = list(zip(*held))
+        for batch in batches:
+            count += len(batch)
+            rows = sorted([*rows, *zip(batch["h"].tolist(), batch["k"].tolist(), batch["v"].tolist())])[:size]
+        h, k, v = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+        state.update((count, h, k, v))
+        yield pd.DataFrame({"shard": [group[0]], "count": [count], "h": [h], "k": [k], "v": [v]})
+
+    named = stream.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"), F.xxhash64(key, F.lit(seed)).alias("h")).dropna()
+    placed = named.withColumn("g", F.pmod(F.xxhash64("k", F.lit(seed + 1)), F.lit(shards)).cast("int"))
+    out = T.StructType([T.StructField("shard", T.IntegerType()), *fields])
+    return placed.groupBy("g").applyInPandasWithState(step, out, T.StructType(fields), "update", "NoTimeout")
+
+
+def merge_reservoir(updates: DataFrame, size: int = 100) -> DataFrame:
+    """(k, v): the sample of all shards, from what they have put out so far."""
+    last = updates.groupBy("shard").agg(F.max_by(F.arrays_zip("h", "k", "v"), "count").alias("r"))
+    return last.select(F.explode("r").alias("r")).orderBy("r.h", "r.k").limit(size).select("r.k", "r.v")
+
+
 def run_available(stream: DataFrame, mode: str = "complete", partitions: int | None = None) -> DataFrame:
     """Run a stream over what is there, then stop: the sink's rows as a table. In complete mode each batch replaces the
     result; in append and update mode batches are collected with their number in column batch."""

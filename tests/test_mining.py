@@ -306,6 +306,45 @@ def test_bfr_without_points(spark):
     assert [r[1:] for r in report] == [(0, 0, 0, 0, 0)] * 2 and assignment.count() == 0
 
 
+def test_one_point():
+    s = clustering.Summary(2, np.array([1.0, 3.0]), np.array([2.0, 10.0])).with_point(np.array([4.0, 0.0]))
+    assert s.n == 3 and s.mean.tolist() == [2.0, 2.0] and s.squares.tolist() == [pytest.approx(20 / 3), pytest.approx(20 / 3)]
+
+
+def test_sharded_reservoir(spark, tmp_path):
+    """The merged shards of a stream in many batches are the sample of the whole table."""
+    df = spark.range(900).select("id", F.concat(F.lit("v"), F.col("id") % 50).alias("v"))
+    df.repartition(7).write.parquet(str(tmp_path / "in"))
+    stream = streams.file_stream(spark, str(tmp_path / "in"), df)
+    kept = streams.run_available(streams.sharded_reservoir(stream, "id", "v", size=20), "update")
+    assert rows(streams.merge_reservoir(kept, 20).select(F.col("k").cast("long"), "v")) == rows(sketches.reservoir(df, "id", 20))
+    assert kept.groupBy("shard").agg(F.max("count").alias("n")).agg(F.sum("n")).first()[0] == 900
+
+
+def test_socket_lines(spark):
+    import socket
+    import threading
+    import time
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b"a #one\nb\nc #two\n")
+        time.sleep(8)
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    lines = streams.tags_of(streams.socket_lines(spark, "127.0.0.1", server.getsockname()[1]), "value").select(F.explode("tags").alias("tag"))
+    query = lines.writeStream.format("memory").queryName("socket_tags").outputMode("append").start()
+    for _ in range(60):
+        time.sleep(0.2)
+        if spark.table("socket_tags").count() == 2:
+            break
+    query.stop()
+    assert rows(spark.table("socket_tags")) == [("one",), ("two",)]
+
+
 def test_merge_of_compressed():
     s = lambda m: clustering.Summary(2, np.array([m]), np.array([m * m + 1.0]))
     out, went = clustering.merge_compressed({1: s(0.0), 2: s(1.0), 3: s(1.5), 4: s(99.0)}, 3.0)

@@ -161,3 +161,14 @@ def test_hot_reference(spark):
     parent = spark.createDataFrame([("hot", day(1), day(3)), ("k1", day(1), None)], "id string, added_at timestamp, removed_at timestamp")
     got = classify_references(refs, intervals(parent, "id"), ["ref_key"], "at", ["rid"], 8).groupBy("status").count().collect()
     assert {r.status: r["count"] for r in got} == {"ok": 1, "deleted": 1334, "missing": 2665}
+
+
+def test_many_buckets(spark, monkeypatch):
+    """Buckets sent as a table place rows like those that stand in the plan."""
+    from orebody.operators import skew
+
+    df = spark.range(500).select((F.col("id") % 40).alias("k"), "id")
+    plan = plan_load(df, ["k"], 4)
+    few = sorted(map(tuple, fragment(df, plan, ["id"]).collect()))
+    monkeypatch.setattr(skew, "LITERAL_BUCKETS", 8)
+    assert sorted(map(tuple, fragment(df, plan, ["id"]).select("k", "id", "__task").collect())) == few
