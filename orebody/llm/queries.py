@@ -181,6 +181,11 @@ SQL = {
                 + CASE WHEN o22 > 0 THEN o22 * ln(o22 * n / ((n - n1) * (n - t1))) ELSE 0 END) AS g2 FROM g)
         SELECT business_id, term, c, d, n1::BIGINT AS n_record, t1::BIGINT AS n_term,
                round(CASE WHEN c * n >= n1 * t1 THEN greatest(g2, 0) ELSE -greatest(g2, 0) END, 4) AS llr FROM l""",
+    # words and signs stand for tokens: the cases are the same for every usual tokenizer
+    "p9_found": """
+        WITH s AS (SELECT lower(trim(source)) AS source, sum(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]'))) AS n FROM documents GROUP BY 1),
+        g AS (SELECT lower(trim(source)) AS source, sum(weight) AS weight, max(max_repeat) AS most FROM mix_target GROUP BY 1)
+        SELECT g.source FROM g LEFT JOIN s USING (source) WHERE coalesce(s.n, 0) * most < weight * (SELECT sum(n) FROM s)""",
     "p4_found": _top_sql(5, "b1, b2"),
     "p4_top_neighbours": _top_sql(50, "b1, b2, sim, rank"),
 }
