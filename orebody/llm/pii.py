@@ -142,6 +142,11 @@ def _mark(word: str) -> int:
     return 1 if low in ("at", "arroba") else 2 if low in _CALLE else 3 if len(low) > 2 and low.endswith(_GASSE) else 0
 
 
+@functools.lru_cache(_CACHE_WORDS)
+def _is_street(word: str) -> bool:
+    return "street" in _CUES_OF.get(word.lower(), ()) or word.lower() in ("bd", "av")
+
+
 class Texts:
     """Tokens of a batch of texts on one axis, with PAD empty tokens before, between and after them."""
 
@@ -215,11 +220,16 @@ class Texts:
         dots = ("dot", "punto", ".")
         spelled = [k for k in np.flatnonzero(marks == 1).tolist() if any(low(i) in dots for i in range(k + 2, min(k + 9, len(words))))]
         for p, form in [(p, _EMAIL) for p in signs] + [(int(starts[k]), f) for k in spelled for f in (_EMAIL, _EMAIL_SPELLED)]:
-            d = int(np.searchsorted(base, p, side="right")) - 1
-            a, b = max(int(base[d]), p - _BEFORE), min(int(base[d + 1]) - 1, p + _AFTER)
-            for m in form.finditer(joined, a, b):
-                if m.start() <= p < m.end():
-                    take(m, "E", "@" if "@" in m.group() and " " not in m.group() else "at")
+            # back over what may stand around the sign, then over the part before it
+            q = p - 1
+            while q >= 0 and p - q < 4 and joined[q] in " \u00a0\u202f\u2009\t([{":
+                q -= 1
+            least = max(-1, q - _BEFORE)
+            while q > least and (joined[q].isalnum() or joined[q] in "._+-"):
+                q -= 1
+            m = form.match(joined, q + 1, p + _AFTER)
+            if m and m.start() <= p < m.end():
+                take(m, "E", "@" if "@" in m.group() and " " not in m.group() else "at")
         digit = (kind == 2).astype(np.int32)
         count = np.concatenate(([0], np.cumsum(digit)))
         runs = np.flatnonzero(kind[starts] == 2)
@@ -254,10 +264,14 @@ class Texts:
             inside = count[np.minimum(p + 30, len(joined))] - count[p]
             for k, s in zip(runs[inside >= 7].tolist(), p[inside >= 7].tolist()):
                 number(k, s, 7)
-            for k, s in zip(runs.tolist(), p.tolist()):
+            # a street's word is no farther than the few words that a name of one has
+            street = np.append(np.flatnonzero(np.fromiter(map(_is_street, self.distinct), bool, len(self.distinct))[plain]), len(words) + 99)
+            near = (street[np.searchsorted(street, runs)] - runs <= 14).tolist()
+            short = np.flatnonzero(ends[runs] - p <= 5)
+            for k, s in zip(short.tolist(), p[short].tolist()):
                 c = joined[s - 1] if s else " "
-                if ends[k] - s <= 5 and not taken[s] and not (c.isalnum() or c in "_$.,/-€£#@"):
-                    m = _STREET_FIRST.match(joined, s)
+                if not taken[s] and not (c.isalnum() or c in "_$.,/-€£#@"):
+                    m = _STREET_FIRST.match(joined, s) if near[k] else None
                     if m:
                         take(m, "A", "street")
                     else:
