@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.operators.numbering import running_sum
+from orebody.operators.skew import TASK, plan_load, skew_join
 from orebody.plans.session import materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -81,9 +83,38 @@ def apportion(weights: Sequence[float], caps: Sequence[int], seats: int) -> list
     return out
 
 
+def apportion_table(df: DataFrame, cap: str, seats: int, name: str) -> DataFrame:
+    """df (source, weight, ...) with each source's seats: apportion for any number of sources, by sums over the table. The last
+    quotient that gets a seat is enclosed by some points at a time; equal ones at the end go by source."""
+    c = F.when(F.col("weight") > 0, F.col(cap)).otherwise(0).cast("bigint")
+    every, most = df.agg(F.coalesce(F.sum(c), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0.0))).first()
+    if seats >= every:
+        return df.withColumn(name, c)
+
+    def held(q: float):
+        return F.least(c, F.floor((F.col("weight") / F.lit(q) + 1) / 2))
+
+    low, high = 0.0, most * 2
+    for _ in range(60):
+        points = [x for x in (low + (high - low) * k / 17 for k in range(1, 17)) if low < x < high]
+        if not points or points[0] == points[-1]:
+            break
+        sums = df.agg(*(F.sum(held(x)) for x in points)).first()
+        fits = [x for x, n in zip(points, sums) if n <= seats]
+        low, high = max((x for x, n in zip(points, sums) if n > seats), default=low), min(fits, default=high)
+    out = df.withColumn(name, held(high * (1 + 1e-9)))
+    rest = seats - out.agg(F.sum(name)).first()[0]
+    if not rest:
+        return out
+    next_ = out.where(F.col(name) < c).select("source", (-F.col("weight") / (2 * F.col(name) + 1)).alias("order"), F.lit(1.0).alias("one"))
+    more = running_sum(next_, ["order", "source"], "one", "place").where(F.col("place") <= rest).select("source", F.lit(1).alias("extra"))
+    return out.join(more, "source", "left").withColumn(name, F.col(name) + F.coalesce("extra", F.lit(0))).drop("extra")
+
+
 @dataclass
 class Mixture:
-    """sized: (id, source, n_tokens, shard) of all listed sources; shards: per shard its blocks and its quota."""
+    """sized: (id, source, n_tokens, shard) of all listed sources; shards: per shard its blocks and its quota; table: per listed
+    source its figures, which report has as a list, unless there are more than MOST_SOURCES (few is then false)."""
 
     sized: DataFrame
     shards: DataFrame
@@ -92,6 +123,8 @@ class Mixture:
     block: int
     seed: int
     budget: int
+    table: DataFrame
+    few: bool = True
 
 
 def normal_source(c: str):
@@ -111,11 +144,11 @@ def plan_mixture(docs: DataFrame, doc: str, text: str, source: str, targets: Dat
     goals = targets.select(normal_source("source").alias("source"), "weight", "max_repeat").where("source is not null")
     goals = goals.groupBy("source").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeat", F.lit(1))).alias("max_repeat")).orderBy("source")
     goal = goals.limit(MOST_SOURCES + 1).collect()
-    if len(goal) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} target sources")
     spark = docs.sparkSession
     sized = materialise(with_tokens(docs.select(F.col(doc).alias("id"), normal_source(source).alias("source"), F.col(text).alias("x")), "x", ["id", "source"], tokenizer), "sized")
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    if len(goal) > MOST_SOURCES:
+        return _plan_spread(sized, goals, total, block, seed, total if budget is None else budget)
     listed = F.broadcast(spark.createDataFrame([(g.source,) for g in goal], "source string"))  # at most MOST_SOURCES rows
     per_source = {r.source: r.n for r in sized.join(listed, "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     wide = max(SHARD_TOKENS, -(-total // MOST_SHARDS))
@@ -143,23 +176,59 @@ def plan_mixture(docs: DataFrame, doc: str, text: str, source: str, targets: Dat
         # shard's last block is filled up
         near = c <= e + 2 + share * len(goal) / 2 + g.max_repeat * len(own)
         report.append({"source": g.source, "weight": g.weight, "max_repeat": g.max_repeat, "n_tokens": size, "quota_blocks": q, "short": near and size * g.max_repeat < share * budget})
-    return Mixture(sized, spark.createDataFrame(rows, "source string, shard bigint, n_blocks bigint, quota bigint"), report, total, block, seed, budget)
+    return Mixture(sized, spark.createDataFrame(rows, "source string, shard bigint, n_blocks bigint, quota bigint"), report, total, block, seed, budget, spark.createDataFrame([tuple(r.values()) for r in report], REPORT))
+
+
+REPORT = "source string, weight double, max_repeat bigint, n_tokens bigint, quota_blocks bigint, short boolean"
+
+
+def _plan_spread(sized: DataFrame, goals: DataFrame, total: int, block: int, seed: int, budget: int) -> Mixture:
+    """The plan for any number of listed sources: what plan_mixture does on the driver, as tables."""
+    goals, wide = materialise(goals, "goals"), max(SHARD_TOKENS, -(-total // MOST_SHARDS))
+    size = sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
+    goals = materialise(goals.join(size, "source", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))), "goals")
+    shards = goals.select("source", F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / wide)).alias("n_shards"))
+    own = sized.where("n_tokens > 0 and source is not null")
+    placed = skew_join(own, shards, plan_load(own, ["source"]), ["id"]).drop(TASK)
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), "n_shards")).drop("n_shards")
+    blocks = materialise(placed.groupBy("source", "shard").agg(F.ceil(F.sum("n_tokens") / block).cast("bigint").alias("n_blocks")), "blocks")
+    held = blocks.groupBy("source").agg(F.sum("n_blocks").alias("all_blocks"), F.count("*").alias("own"))
+    full = goals.join(held, "source", "left").withColumns({"capacity": F.col("max_repeat") * F.coalesce("all_blocks", F.lit(0)), "own": F.coalesce("own", F.lit(0))})
+    seats, n = round(budget / block), goals.count()
+    summed = goals.agg(F.sum("weight")).first()[0]
+    whole = summed if abs(summed - 1) > 1e-9 else 1.0
+    full = apportion_table(materialise(full, "sources"), "capacity", seats, "quota_blocks")
+    full = materialise(apportion_table(full.withColumn("seats", F.lit(seats)), "seats", seats, "entitled"), "sources")
+    share = F.col("weight") / whole if whole else F.lit(0.0)
+    near = F.col("capacity") <= F.col("entitled") + 2 + share * n / 2 + F.col("max_repeat") * F.col("own")
+    table = full.select("source", "weight", "max_repeat", "n_tokens", F.col("quota_blocks").cast("bigint").alias("quota_blocks"), (near & (F.col("n_tokens") * F.col("max_repeat") < share * budget)).alias("short"))
+
+    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        n = [int(x) for x in pdf["n_blocks"]]
+        quota = apportion(n, [int(pdf["max_repeat"].iloc[0]) * x for x in n], int(pdf["quota_blocks"].iloc[0]))
+        return pdf.assign(quota=quota)[["source", "shard", "n_blocks", "quota"]]
+
+    of_source = blocks.join(table.select("source", "max_repeat", "quota_blocks"), "source")
+    quotas = of_source.groupBy("source").applyInPandas(divide, "source string, shard bigint, n_blocks bigint, quota bigint")
+    return Mixture(placed.select("id", "source", "n_tokens", "shard"), materialise(quotas, "quotas"), [], total, block, seed, budget, table, False)
 
 
 def mixture(plan: Mixture) -> DataFrame:
     """(id, source, n_tokens, copies) of the records chosen, copies being 1 or more."""
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(plan.seed + 1)), "id")
     before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    placed = plan.sized.withColumn("block", F.floor(before / plan.block)).join(F.broadcast(plan.shards), ["source", "shard"])
+    placed = plan.sized.withColumn("block", F.floor(before / plan.block)).join(F.broadcast(plan.shards) if plan.few else plan.shards, ["source", "shard"])
     copies = F.floor(F.col("quota") / F.col("n_blocks")) + F.when(F.col("block") < F.col("quota") % F.col("n_blocks"), 1).otherwise(0)
     return placed.withColumn("copies", copies.cast("bigint")).where("copies > 0").select("id", "source", "n_tokens", "copies")
 
 
 def shares(plan: Mixture, chosen: DataFrame) -> DataFrame:
     """Per listed source: its target weight, size, quota, tokens in the mixture and the share reached."""
-    spark = chosen.sparkSession
-    goal = spark.createDataFrame([tuple(r.values()) for r in plan.report], "source string, weight double, max_repeat bigint, n_tokens bigint, quota_blocks bigint, short boolean")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
-    out = goal.join(F.broadcast(got), "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    out = plan.table.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    if not plan.few:
+        mixed = chosen.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")), F.lit(0))).first()[0]
+        return out.withColumn("share", F.col("mixed_tokens") / F.lit(mixed) if mixed else F.lit(0.0))
     everything = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # at most MOST_SOURCES rows
     return out.withColumn("share", F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0))

@@ -112,8 +112,7 @@ def _mixture(spark: SparkSession, d: str):
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = _mixture(spark, d)
-    return spark.createDataFrame([(r["source"],) for r in plan.report if r["short"]], "source string")
+    return _mixture(spark, d).table.where("short").select("source")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

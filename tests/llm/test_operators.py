@@ -292,6 +292,26 @@ def test_short_sources_are_at_their_cap(spark):
                 assert g["quota_blocks"] == blocks * g["max_repeat"]
 
 
+def test_many_sources(spark, monkeypatch):
+    """More sources than the driver takes are apportioned by tables, with the same result."""
+    r = random.Random(3)
+    docs = [(i, "word " * r.randint(0, 30), r.choice(["a", "a", "a", "B ", "c", "d", None, "other"])) for i in range(600)]
+    goals = [("a", 0.3, 2), ("b", 0.3, 3), (" C", 0.1, 1), ("c", 0.1, 2), ("d", 0.2, 4), ("gone", 0.1, 2), ("zero", 0.0, 1), ("e1", 0.05, 1), ("e2", 0.05, 1)]
+    df, targets = spark.createDataFrame(docs, "id bigint, text string, source string"), spark.createDataFrame(goals, "source string, weight double, max_repeat bigint")
+
+    def all_of():
+        out = []
+        for budget in (None, 3_000, 10**7):
+            plan = mixture.plan_mixture(df, "id", "text", "source", targets, block=16, budget=budget)
+            chosen = mixture.mixture(plan)
+            out.append((rows(plan.table), rows(chosen), [tuple(x) for x in rows(mixture.shares(plan, chosen).select("source", "mixed_tokens", F.round("share", 9)))]))
+        return out
+
+    few = all_of()
+    monkeypatch.setattr(mixture, "MOST_SOURCES", 2)
+    assert all_of() == few
+
+
 def test_hot_terms(spark, monkeypatch):
     df = spark.createDataFrame([(f"b{i}", f"r{i}", f"the w{i % 7} and all x" + "yz"[i % 2]) for i in range(60)], "b string, p string, t string")
     few = rows(terms.distinctive_terms(df, "b", "p", "t"))
