@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.operators.similar import candidates, hash_family, jaccard_of, signatures
+from orebody.operators import grid
+from orebody.operators.similar import hash_family
 from orebody.operators.skew import TASK, plan_load, skew_join
 from orebody.plans.session import materialise
 
@@ -33,14 +34,20 @@ def _sums(joined: DataFrame, keys: list[str]) -> DataFrame:
     return part.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _SUMS))
 
 
-def pearson_all(ratings: DataFrame, item: str, by: str, least: int = 3) -> DataFrame:
+def pearson_all(ratings: DataFrame, item: str, by: str, least: int = 3, positive: bool = False) -> DataFrame:
     """(i1, i2, sim, n), i1 < i2: Pearson over the raters both items have, for all pairs with `least` or more of them; -1
-    where the numerator or a variance is 0. Raters of many items are cut into shards, with sums added up inside a task."""
-    r = materialise(ratings.select(F.col(item).alias("i"), F.col(by).alias("k"), "stars").dropna(), "ratings")
-    plan = plan_load(r, ["k"])
-    left, right = r.select(F.col("i").alias("i1"), "k", F.col("stars").alias("x")), r.select(F.col("i").alias("i2"), "k", F.col("stars").alias("y"))
-    sums = _sums(skew_join(left, right, plan, ["i1"]).where("i1 < i2"), ["i1", "i2"]).where(F.col("n") >= least)
-    return _correlation(sums, least).select("i1", "i2", "sim", "n")
+    where the numerator or a variance is 0. Common ratings are made and summed up cell by cell (grid), never exchanged."""
+    rows, items, _ = _rows(ratings.dropna(subset=["stars"]), item, by)
+    found = _correlation(grid.pairs(rows, grid.Rule(least, positive=positive)), least).select("i1", "i2", "sim", "n")
+    return grid.named(grid.named(found, "i1", items), "i2", items)
+
+
+def _rows(ratings: DataFrame, item: str, by: str, dense: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Ratings (i, k, x) with numbers for items and raters, stored, and the numbers of either."""
+    r = materialise(ratings.select(F.col(item).alias("i"), F.col(by).alias("k"), F.col("stars").alias("x")).dropna(subset=["i", "k"]), "ratings")
+    rows, items = grid.numbered(r, "i")
+    rows, raters = grid.numbered(rows, "k", dense)
+    return rows, items, raters
 
 
 def pearson_of(pairs: DataFrame, ratings: DataFrame, item: str, by: str, least: int = 3) -> DataFrame:
@@ -53,16 +60,21 @@ def pearson_of(pairs: DataFrame, ratings: DataFrame, item: str, by: str, least:
 
 
 def item_model(ratings: DataFrame, least: int = 3) -> DataFrame:
-    """(b1, b2, sim) with sim > 0 of items that have `least` or more ratings."""
-    return pearson_all(at_least(ratings, "b", least), "b", "u").where("sim > 0").select(F.col("i1").alias("b1"), F.col("i2").alias("b2"), "sim")
+    """(b1, b2, sim) with sim > 0 of items that have `least` or more ratings, three or more of them of the same raters."""
+    kept = at_least(ratings, "b", least) if least > 3 else ratings
+    return pearson_all(kept, "b", "u", positive=True).where("sim > 0").select(F.col("i1").alias("b1"), F.col("i2").alias("b2"), "sim")
+
+
+def _lsh_rule(functions: int, p: int, m: int, high: int, jaccard: float = 0.01, seed: int = 42) -> grid.Rule:
+    return grid.Rule(3, jaccard, True, tuple(hash_family(functions, high, seed)), p, m)
 
 
 def lsh_model(ratings: DataFrame, item: str, by: str, least: int, functions: int, p: int, m: int, high: int, jaccard: float = 0.01, seed: int = 42) -> DataFrame:
-    """(i1, i2, sim) with sim > 0 among candidates of MinHash banding (one row a band) of enough Jaccard similarity."""
-    kept = materialise(at_least(ratings, item, least), "kept")
-    sig = signatures(kept, item, by, hash_family(functions, high, seed), p, m)
-    near = jaccard_of(candidates(sig, item), kept, item, by, jaccard)
-    return pearson_of(near, kept, item, by).where("sim > 0").select("i1", "i2", "sim")
+    """(i1, i2, sim) with sim > 0 among candidates of MinHash banding (one row a band) of enough Jaccard similarity. With one
+    row a band most pairs are candidates, so signatures are compared last, of the pairs that pass the rest."""
+    rows, items, _ = _rows(at_least(ratings, item, least), item, by, dense=True)
+    found = _correlation(grid.pairs(rows, _lsh_rule(functions, p, m, high, jaccard, seed)), 3).where("sim > 0").select("i1", "i2", "sim")
+    return grid.named(grid.named(found, "i1", items), "i2", items)
 
 
 def averages(ratings: DataFrame, key: str) -> DataFrame:
@@ -79,28 +91,47 @@ def _nearest(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("k", rank).where(F.col("k") <= n)
 
 
-def predict_by_items(test: DataFrame, train: DataFrame, model: DataFrame, n: int = 5, default: float = 3.5) -> DataFrame:
+def _near_model(met: DataFrame, model: DataFrame, own: str, n: int) -> DataFrame:
+    return _nearest(met.join(_both_ways(model, *model.columns[:2]).withColumnRenamed("own", own), [own, "far"]), n)
+
+
+def _near_ratings(pairs: DataFrame, ratings: DataFrame, item: str, by: str, rule: grid.Rule, n: int, dense: bool = False) -> DataFrame:
+    """Of stored pairs, (u, b, sim, stars, far_avg) of the n most similar items that the pair's rater has rated: without a
+    stored model, and without an exchange of all items that the raters of the pairs have rated."""
+    rows, items, raters = _rows(ratings, item, by, dense)
+    wanted = materialise(grid.number(materialise(grid.number(pairs.select(F.col(item).alias("own"), F.col(by).alias("key")), "own", items), "wanted"), "key", raters), "wanted")
+    near = grid.neighbours(wanted, rows, rule, n).select(F.col("own").alias(item), F.col("key").alias(by), "sim", F.col("x").alias("stars"), "far_avg")
+    return grid.named(grid.named(materialise(near, "near"), item, items), by, raters)
+
+
+def predict_by_items(test: DataFrame, train: DataFrame, model: DataFrame | None = None, n: int = 5, default: float = 3.5) -> DataFrame:
     """(u, b, stars) for distinct test pairs whose user has ratings: the mean of the user's ratings of the n most similar
-    items, weighted by similarity (equal ones by item); without any, the item's average, else the default."""
+    items, weighted by similarity (equal ones by item); without any, the item's average, else the default. Without a model,
+    similarities are those of item_model(train), made for the test pairs only."""
     pairs = materialise(test.select("u", "b").dropna().distinct(), "wanted")
-    rated = train.select("u", F.col("b").alias("far"), "stars")
-    met = skew_join(pairs, rated, plan_load(pairs, ["u"]), ["b"]).drop(TASK)
-    near = _nearest(met.join(_both_ways(model, "b1", "b2").withColumnRenamed("own", "b"), ["b", "far"]), n)
+    if model is None:
+        near = _near_ratings(pairs, train.dropna(subset=["stars"]), "b", "u", grid.Rule(3, positive=True), n)
+    else:
+        rated = train.select("u", F.col("b").alias("far"), "stars")
+        near = _near_model(skew_join(pairs, rated, plan_load(pairs, ["u"]), ["b"]).drop(TASK), model, "b", n)
     guess = near.groupBy("u", "b").agg(F.sum(F.col("stars") * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den"))
     known = pairs.join(train.select("u").distinct(), "u", "left_semi")
     out = known.join(guess, ["u", "b"], "left").join(averages(train, "b"), "b", "left")
     return out.select("u", "b", F.when(F.coalesce("num", F.lit(0.0)) != 0, F.col("num") / F.col("den")).otherwise(F.coalesce("avg", F.lit(default))).alias("stars"))
 
 
-def predict_by_users(test: DataFrame, train: DataFrame, model: DataFrame, n: int = 5, default: float = 3.5) -> DataFrame:
+def predict_by_users(test: DataFrame, train: DataFrame, model: DataFrame | None = None, n: int = 5, default: float = 3.5, **lsh) -> DataFrame:
     """(u, b, stars) for distinct test pairs whose item has ratings: the user's average plus the similarity-weighted mean
-    of how the n most similar raters of the item deviate from theirs; without any, the user's average, else the default."""
+    of how the n most similar raters of the item deviate from theirs; without any, the user's average, else the default.
+    Without a model, similarities are those of lsh_model(train, "u", "b", **lsh), made for the test pairs only."""
     pairs = materialise(test.select("u", "b").dropna().distinct(), "wanted")
     mean = averages(train, "u")
-    raters = train.select(F.col("u").alias("far"), "b", "stars")
-    met = skew_join(pairs, raters, plan_load(pairs, ["b"]), ["u"]).drop(TASK)
-    near = _nearest(met.join(_both_ways(model, "i1", "i2").withColumnRenamed("own", "u"), ["u", "far"]), n)
-    near = near.join(mean.select(F.col("u").alias("far"), F.col("avg").alias("far_avg")), "far", "left")
+    if model is None:
+        near = _near_ratings(pairs, at_least(train, "u", lsh.pop("least")), "u", "b", _lsh_rule(**lsh), n, dense=True)
+    else:
+        raters = train.select(F.col("u").alias("far"), "b", "stars")
+        near = _near_model(skew_join(pairs, raters, plan_load(pairs, ["b"]), ["u"]).drop(TASK), model, "u", n)
+        near = near.join(mean.select(F.col("u").alias("far"), F.col("avg").alias("far_avg")), "far", "left")
     guess = near.groupBy("u", "b").agg(F.sum((F.col("stars") - F.coalesce("far_avg", F.lit(default))) * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den"))
     known = pairs.join(train.select("b").distinct(), "b", "left_semi")
     own = F.coalesce("avg", F.lit(default))

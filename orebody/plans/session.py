@@ -59,6 +59,13 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI that names its file system, for readers outside of Spark."""
+    at, system = _system(spark, path)
+    uri = system.makeQualified(at).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     """Write df to the shared folder once and read it back: cuts the lineage, and survives the loss of executors."""
     path = shared_path(df.sparkSession, what)
