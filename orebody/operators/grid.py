@@ -23,7 +23,7 @@ from orebody.operators.skew import plan_load, skew_join
 from orebody.plans.session import materialise, qualified, shared_path
 
 #: Rows of a group at most (of one record always in one), and rows for which another group is worth its task.
-GROUP_ROWS, WORTH, GROUPS = 3_000_000, 5_000, 12
+GROUP_ROWS, WORTH, GROUPS = 2_500_000, 5_000, 12
 #: Meetings made at once, counters, and neighbours sent on at once.
 MEETINGS, COUNTERS, SENT = 1_500_000, 1 << 23, 200_000
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.operators import grid
 from orebody.operators.numbering import dense_index
 from orebody.operators.skew import TASK, plan_load, skew_join
 from orebody.plans.session import materialise
@@ -109,8 +110,26 @@ def shared_members(df: DataFrame, record: str, member: str, least: int = 1) -> D
 
 def exact_pairs(df: DataFrame, record: str, member: str, threshold: float) -> DataFrame:
     """(r1, r2, sim) of all pairs of records whose sets reach the threshold (above 0)."""
-    sets = materialise(df.select(F.col(record).alias("r"), F.col(member).alias("t")).dropna().distinct(), "sets")
-    return _similarity(shared_members(sets, "r", "t"), sets.groupBy("r").agg(F.count("*").alias("n")), threshold)
+    return _reaching(df, record, member, grid.Rule(jaccard=threshold)).drop("agree")
+
+
+def lsh_pairs(df: DataFrame, record: str, member: str, family: Sequence[tuple[int, int]], p: int, m: int, threshold: float) -> DataFrame:
+    """(r1, r2, sim) of jaccard_of the candidates with one row a band. Those are a large share of all pairs, so signatures are
+    compared last, of the pairs whose exact similarity reaches the threshold (above 0)."""
+    return marked_pairs(df, record, member, family, p, m, threshold).where("agree").drop("agree")
+
+
+def marked_pairs(df: DataFrame, record: str, member: str, family: Sequence[tuple[int, int]], p: int, m: int, threshold: float) -> DataFrame:
+    """exact_pairs with the column agree: whether they are candidates with one row a band."""
+    return _reaching(df, record, member, grid.Rule(jaccard=threshold, family=tuple(family), p=p, m=m, mark=True))
+
+
+def _reaching(df: DataFrame, record: str, member: str, rule: grid.Rule) -> DataFrame:
+    sets = materialise(df.select(F.col(record).alias("i"), F.col(member).alias("k")).dropna().distinct().withColumn("x", F.lit(0.0)), "sets")
+    rows, records = grid.numbered(sets, "i")
+    rows, _ = grid.numbered(rows, "k", dense=bool(rule.family))
+    found = grid.pairs(rows, rule).select(F.col("i1").alias("r1"), F.col("i2").alias("r2"), (F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("sim"), "agree")
+    return grid.named(grid.named(found, "r1", records), "r2", records)
 
 
 def quality(found: DataFrame, truth: DataFrame) -> DataFrame:

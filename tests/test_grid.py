@@ -117,3 +117,21 @@ def test_user_predictions_need_no_model(spark, monkeypatch):
     pairs = materialise(df.select("u", "b"), "pairs")
     written, exchanged = moved(spark, lambda: ratings.predict_by_users(pairs, df, least=3, **LSH).count())
     assert written < 30 * 6300 and exchanged < 60 * 6300
+
+
+def test_quality_is_of_all_pairs_and_none_are_exchanged(spark, monkeypatch):
+    """lsh_quality and lsh_similar: as with candidates made first; of users alike below the threshold, nothing is written."""
+    from orebody.operators import similar
+
+    monkeypatch.setattr(grid, "WORTH", 100)
+    train = materialise(spark.createDataFrame(rated(5)[0], "u string, b string, stars double"), "given")
+    family = hash_family(2, 996, 7)
+    near = similar.jaccard_of(similar.candidates(similar.signatures(train, "u", "b", family, 997, 997), "u"), train, "u", "b", 0.3)
+    marked = materialise(similar.marked_pairs(train, "u", "b", family, 997, 997, 0.3), "marked")
+    truth = similar.jaccard_of(marked, train, "u", "b", 0.3)
+    want, got = sorted(map(tuple, near.collect())), sorted(map(tuple, similar.lsh_pairs(train, "u", "b", family, 997, 997, 0.3).collect()))
+    assert got == want and 10 < len(want) < marked.count() == truth.count()
+    assert tuple(similar.quality(marked.where("agree"), marked).first()) == tuple(similar.quality(near, similar.exact_pairs(train, "u", "b", 0.3)).first())
+    df = materialise(hot(spark), "hot")
+    written, exchanged = moved(spark, lambda: similar.lsh_pairs(df, "u", "b", family, 997, 997, 0.9).count())
+    assert written < 20 * 6300 and exchanged < 20 * 6300
