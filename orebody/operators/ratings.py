@@ -72,7 +72,8 @@ def _lsh_rule(functions: int, p: int, m: int, high: int, jaccard: float = 0.01,
 def lsh_model(ratings: DataFrame, item: str, by: str, least: int, functions: int, p: int, m: int, high: int, jaccard: float = 0.01, seed: int = 42) -> DataFrame:
     """(i1, i2, sim) with sim > 0 among candidates of MinHash banding (one row a band) of enough Jaccard similarity. With one
     row a band most pairs are candidates, so signatures are compared last, of the pairs that pass the rest."""
-    rows, items, _ = _rows(at_least(ratings, item, least), item, by, dense=True)
+    stored = materialise(ratings.select(item, by, "stars"), "ratings")
+    rows, items, _ = _rows(at_least(stored, item, least), item, by, dense=True)
     found = _correlation(grid.pairs(rows, _lsh_rule(functions, p, m, high, jaccard, seed)), 3).where("sim > 0").select("i1", "i2", "sim")
     return grid.named(grid.named(found, "i1", items), "i2", items)
 

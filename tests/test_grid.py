@@ -135,3 +135,17 @@ def test_quality_is_of_all_pairs_and_none_are_exchanged(spark, monkeypatch):
     df = materialise(hot(spark), "hot")
     written, exchanged = moved(spark, lambda: similar.lsh_pairs(df, "u", "b", family, 997, 997, 0.9).count())
     assert written < 20 * 6300 and exchanged < 20 * 6300
+
+
+def test_lsh_model_reads_its_source_once(spark):
+    """user_model: counting the ratings of each user does not make the ratings again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    df = materialise(hot(spark), "hot")
+    ratings.lsh_model(df.mapInPandas(count, df.schema), "u", "b", 3, **LSH).count()
+    assert seen.value == 6300
