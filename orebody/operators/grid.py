@@ -26,6 +26,8 @@ from orebody.plans.session import materialise, qualified, shared_path
 GROUP_ROWS, WORTH, GROUPS = 2_500_000, 5_000, 12
 #: Meetings made at once, counters, and neighbours sent on at once.
 MEETINGS, COUNTERS, SENT = 1_500_000, 1 << 23, 200_000
+#: Members at most whose meetings are counted by products of matrices, and pairs summed up at once.
+HOT, PIECE = 64, 20_000
 
 PAIR = "i1 bigint, i2 bigint, common bigint, n1 bigint, n2 bigint, n bigint, sx double, sy double, sxx double, syy double, sxy double, agree boolean"
 NEIGHBOUR = "own bigint, key bigint, far bigint, sim double, x double, far_avg double"
@@ -133,8 +135,11 @@ def _read(path: str, g: int, columns: list[str]) -> list[np.ndarray]:
 class _Side:
     """The records of a group: ids in ascending order, and their members k and values x from ptr[r] to ptr[r + 1]."""
 
-    def __init__(self, path: str, g: int):
+    def __init__(self, path: str, g: int, only: np.ndarray | None = None):
         i, k, x = _read(path, g, ["i", "k", "x"])
+        if only is not None:
+            inside = np.isin(i, only)
+            i, k, x = i[inside], k[inside], x[inside]
         order = np.argsort(i, kind="stable")
         self.k, self.x = k[order], x[order]
         self.ids, first = np.unique(i[order], return_index=True)
@@ -184,6 +189,10 @@ def _spread(start: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _blocks(a: _Side, b: _Side, same: bool, once: bool, rule: Rule) -> Iterator[tuple]:
     """(first row, end row, row, col, common, n, sums) of the pairs of a and b that may keep the rule, block by block of rows."""
+    hot = _frequent(a, b)
+    if len(hot):
+        yield from _hot_blocks(a, b, hot, same, once, rule)
+        return
     start, held = b.found(a.k)
     load = np.add.reduceat(held, a.ptr[:-1]) if len(a.ids) else held
     width = len(b.ids)
@@ -193,7 +202,7 @@ def _blocks(a: _Side, b: _Side, same: bool, once: bool, rule: Rule) -> Iterator[
         entry += e0
         row, col = a.row[entry], b.of[place]
         if same:
-            other = row < col if once else row != col
+            other = _other(a, b, row, col, once)
             entry, place, row, col = entry[other], place[other], row[other], col[other]
         code = (row - r0) * width + col
         dense = (r1 - r0) * width <= COUNTERS
@@ -221,6 +230,75 @@ def _blocks(a: _Side, b: _Side, same: bool, once: bool, rule: Rule) -> Iterator[
         yield r0, r1, row[good], col[good], common[good], n[good], [s[good] for s in sums]
 
 
+def _other(a: _Side, b: _Side, row: np.ndarray, col: np.ndarray, once: bool) -> np.ndarray:
+    return a.ids[row] < b.ids[col] if once else a.ids[row] != b.ids[col]
+
+
+def _frequent(a: _Side, b: _Side) -> np.ndarray:
+    """The members that so many records of both sides have that a product of matrices counts them with less to do."""
+    cells = len(a.ids) * len(b.ids)
+    if not cells or len(b.ids) > COUNTERS:
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(b.members, a.k), len(b.members) - 1)
+    load = np.bincount(at[b.members[at] == a.k], minlength=len(b.members)) * b.held
+    top = np.argsort(-load, kind="stable")[:HOT]
+    top = top[load[top] * 500 >= cells]
+    return np.sort(b.members[top]) if load[top].sum() * 25 >= cells else np.empty(0, np.int64)
+
+
+def _matrices(side: _Side, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which records have the hot members, with a value, and the values; which rows are those."""
+    at = np.minimum(np.searchsorted(hot, side.k), len(hot) - 1)
+    inside = hot[at] == side.k
+    row, at, x = side.row[inside], at[inside], side.x[inside]
+    has, there, value = np.zeros((len(side.ids), len(hot)), np.float32), np.zeros((len(side.ids), len(hot))), np.zeros((len(side.ids), len(hot)))
+    has[row, at], there[row, at], value[row, at] = 1, ~np.isnan(x), np.nan_to_num(x)
+    return has, there, value, inside
+
+
+def _hot_blocks(a: _Side, b: _Side, hot: np.ndarray, same: bool, once: bool, rule: Rule) -> Iterator[tuple]:
+    """As _blocks, with meetings in hot members counted by products of matrices and all others one by one."""
+    (ha, ta, va, inside), (hb, tb, vb, _) = _matrices(a, hot), _matrices(b, hot)
+    start, held = b.found(a.k)
+    held = np.where(inside, 0, held)
+    width = len(b.ids)
+    load = np.add.reduceat(held, a.ptr[:-1]) + math.ceil(width * MEETINGS / COUNTERS)
+    for r0, r1 in _spans(load, MEETINGS):
+        count = (ha[r0:r1] @ hb.T).ravel()
+        e0, e1 = a.ptr[r0], a.ptr[r1]
+        entry, place = _spread(start[e0:e1], held[e0:e1])
+        entry += e0
+        met = (a.row[entry] - r0) * width + b.of[place]
+        np.add.at(count, met, np.float32(1))
+        code = np.flatnonzero(count >= max(1, rule.least))
+        row, col = code // width + r0, code % width
+        good = _other(a, b, row, col, once) if same else np.ones(len(code), bool)
+        common = count[code].astype(np.int64)
+        if rule.jaccard:
+            good &= common / (a.size[row] + b.size[col] - common) >= rule.jaccard
+        code, row, col, common = code[good], row[good], col[good], common[good]
+        if not len(code):
+            continue
+        at = np.minimum(np.searchsorted(code, met), len(code) - 1)
+        kept = np.flatnonzero(code[at] == met)
+        at, x, y = at[kept], a.x[entry[kept]], b.of_x[place[kept]]
+        there = ~np.isnan(x + y)
+        x, y = np.where(there, x, 0.0), np.where(there, y, 0.0)
+        sums = [np.bincount(at, v, len(code)).astype(float) for v in (there, x, y, x * x, y * y, x * y)]
+        for p in range(0, len(code), PIECE):
+            q = slice(p, p + PIECE)
+            t1, v1, t2, v2 = ta[row[q]], va[row[q]], tb[col[q]], vb[col[q]]
+            for total, one, two in zip(sums, (t1, v1, t1, v1 * v1, t1, v1), (t2, t2, v2, t2, v2 * v2, v2)):
+                total[q] += np.einsum("ph,ph->p", one, two)
+        n, *sums = sums
+        n = np.rint(n).astype(np.int64)
+        good = n >= rule.least
+        if rule.positive:
+            over, under = _parts(n, *sums)
+            good &= (over > 0) & (under > 0)
+        yield r0, r1, row[good], col[good], common[good], n[good], [v[good] for v in sums]
+
+
 def _parts(n, sx, sy, sxx, syy, sxy) -> tuple[np.ndarray, np.ndarray]:
     m = np.maximum(n, 1)
     return sxy - sx * sy / m, (sxx - sx * sx / m) * (syy - sy * sy / m)
@@ -265,8 +343,8 @@ def _cell(path: str, g1: int, g2: int, rule: Rule) -> Iterator[pd.DataFrame]:
 
 
 def _near(path: str, asked: str, g: int, groups: int, rule: Rule, n: int) -> Iterator[pd.DataFrame]:
-    a = _Side(path, g)
     own, key = _read(asked, g, ["own", "key"])
+    a = _Side(path, g, own)
     order = np.argsort(own, kind="stable")
     own, key = own[order], key[order]
     at = np.searchsorted(own, a.ids)
@@ -274,7 +352,7 @@ def _near(path: str, asked: str, g: int, groups: int, rule: Rule, n: int) -> Ite
     row_of = np.searchsorted(a.ids, own)
     best: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty(0)]
     for other in range(groups):
-        b = a if other == g else _Side(path, other)
+        b = _Side(path, other)
         b.by_member()
         with np.errstate(invalid="ignore"):
             mean = np.array([np.nansum(b.x[p:q]) / max(1, np.count_nonzero(~np.isnan(b.x[p:q]))) for p, q in zip(b.ptr[:-1], b.ptr[1:])])

@@ -75,9 +75,11 @@ def brute(rows, rule):
 
 
 @pytest.mark.parametrize("rule", [grid.Rule(), grid.Rule(3, positive=True), grid.Rule(0, jaccard=0.3), grid.Rule(3, 0.2, True, tuple(hash_family(2, 1000, 5)), 997, 50)])
-@pytest.mark.parametrize("counters", [1 << 23, 1])
-def test_cells_against_brute_force(spark, monkeypatch, rule, counters):
-    """In blocks of few meetings, with one counter for each pair and with hashed ones."""
+@pytest.mark.parametrize("counters, hot", [(1 << 23, 0), (1, 0), (100, 4), (1 << 23, 64)])
+def test_cells_against_brute_force(spark, monkeypatch, rule, counters, hot):
+    """In blocks of few meetings, with one counter for each pair, with hashed ones, and with products of matrices."""
+    monkeypatch.setattr(grid, "HOT", hot)
+    monkeypatch.setattr(grid, "PIECE", 7)
     monkeypatch.setattr(grid, "MEETINGS", 60)
     monkeypatch.setattr(grid, "COUNTERS", counters)
     monkeypatch.setattr(grid, "SENT", 20)
